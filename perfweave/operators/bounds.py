@@ -15,16 +15,10 @@ def bounds(facts: DataFrame, ts: str) -> DataFrame:
 def row_counts(named: dict[str, DataFrame]) -> DataFrame:
     """(table_name, row_count) for every given table, counted in one job."""
     parts = [
-        df.select(F.lit(name).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
         for name, df in named.items()
     ]
-    zeros = [
-        df.sparkSession.range(1).select(F.lit(name).alias("table_name"), F.lit(0).cast("bigint").alias("n"))
-        for name, df in named.items()
-    ]
-    # An empty table has no group; the zero rows keep it in the list.
-    both = reduce(lambda a, b: a.unionByName(b), parts + zeros)
-    return both.groupBy("table_name").agg(F.sum("n").alias("row_count"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def meta_row(named: dict[str, DataFrame], fact: str, ts: str, prefix: str, sources: list[str]) -> DataFrame:

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "DATE": T.DateType()}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema of "name TYPE, ..."; unlike ``StructType.fromDDL`` it needs no running session."""
+    pairs = (column.split() for column in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[type_]) for name, type_ in pairs])
 
 
 DESCRIPTIONS = _schema("description_id BIGINT, source STRING, description STRING")
