@@ -24,15 +24,8 @@ def epoch_date(ts: Column | int) -> Column:
 
 def parse_stamp(stamp: Column, log_tz: str = "UTC") -> Column:
     """Epoch second of ``d/m/yyyy h:m:s``; NULL for other shapes and impossible dates."""
-    part = F.split(stamp, "[/ :]")
-
-    def piece(i: int) -> Column:
-        return F.get(part, F.lit(i)).try_cast("int")
-
-    made = F.try_make_timestamp(
-        years=piece(2), months=piece(1), days=piece(0),
-        hours=piece(3), mins=piece(4), secs=piece(5), timezone=F.lit(log_tz),
-    )
+    zoned = F.concat(stamp, F.lit(f" {log_tz}"))
+    made = F.try_to_timestamp(zoned, F.lit("d/M/yyyy H:m:s VV"))
     return F.when(stamp.rlike(STAMP_PATTERN), F.unix_seconds(made))
 
 

@@ -13,7 +13,7 @@ no window over log text is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfweave.functions import keys
@@ -30,117 +30,123 @@ _META = (
     rf"{_WS}+Other:{_WS}*{_NUM}%{_WS}+Players online:{_WS}*(\d+)"
 )
 _SCI_NUM = r"([\d.+\-eE]+)"
-_HEADER_LINE = rf"\n(?!{_META.replace('(', '(?:')})[^\n]*?Time \(ms\)[^\n]*(?:\n|\z)"
-_STAT_HEAD = rf"\n(?={_WS}+\d+{_WS}+\d+{_WS}+[\d.]+%{_WS}+[\d.]+%{_WS})"
-
-_STAT_TYPE = "ARRAY<STRUCT<time_ms: BIGINT, calls: BIGINT, rel_usage: DOUBLE, real_usage: DOUBLE, description: STRING>>"
+_STAT_LINE = rf"\n{_WS}+\d+{_WS}+\d+{_WS}+[\d.]+%{_WS}+[\d.]+%{_WS}"
+_STAT_HEAD = rf"\n(?={_STAT_LINE[2:]})"
+_NAMED_STAT = rf"{_STAT_LINE}+[^ \t\x0B\f\r\n]"
+_BLANKS = " \t\u000b\f\r"
 _MAX_LONG = 9223372036854775807
 
 
-def _digits(s):
+def _digits(s: Column) -> Column:
     """Digit string to BIGINT; longer numbers saturate."""
     return F.coalesce(s.try_cast("bigint"), F.lit(_MAX_LONG))
 
 
+def _number(s: Column) -> Column:
+    """Plain number, or else the number the string begins with."""
+    return F.coalesce(F.when(~s.rlike("[eE]"), s.try_cast("double")), leading_float(s))
+
+
 def parse_blocks(
     blocks: DataFrame, record_col: str = "record", log_tz: str = "UTC", sci_notation: bool = False
 ) -> DataFrame:
-    """Adds status, lines, reported_at, the header metrics and ``stats`` to raw blocks.
+    """Adds status, lines, reported_at, the header metrics, n_stats and ``stat_texts`` to raw blocks.
 
     ``status``: ``ok`` (has statistics), ``empty`` (none), ``prelude`` (text before the first
-    report of a file) or ``bad timestamp``. ``stats`` is the ordered array of statistics;
-    lines after a statistic that are not one themselves continue its description.
+    report of a file) or ``bad timestamp``. ``stat_texts`` has one text per statistic, in order:
+    its line and the lines that continue its description.
     ``sci_notation`` accepts header numbers such as 3.7e-05, which otherwise leave all five
     header metrics NULL.
     """
     meta = _META.replace(_NUM, _SCI_NUM) if sci_notation else _META
-    header = _HEADER_LINE.replace("[\\d.+\\-]+", "[\\d.+\\-eE]+") if sci_notation else _HEADER_LINE
-    text, parts = F.col("_text"), F.col("_parts")
+    header_line = rf"\n(?!{meta.replace('(', '(?:')})[^\n]*?Time \(ms\)[^\n]*(?:\n|\z)"
+    raw, text, pre, body, found = (F.col(c) for c in ("_raw", "_text", "_pre", "_body", "_meta"))
+
+    # Line ends lose every carriage return, then empty lines vanish.
+    no_cr = F.when(raw.contains("\r"), F.regexp_replace(raw, r"\r+(?=\n|\z)", "")).otherwise(raw)
+    tidy = F.rtrim(no_cr, F.lit("\n"))
     first_line = F.substring_index(text, "\n", 1)
+    is_block = first_line.rlike(r"^\[\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}\]")
     stamp = F.substring(F.substring_index(first_line, "]", 1), 2, 32)
+    number = _number if not sci_notation else (lambda s: F.coalesce(s.try_cast("double"), leading_float(s)))
 
-    raw_text = bytes_to_chars(F.col(record_col))
-    # Line ends lose every carriage return, then empty lines vanish.
-    tidy = F.regexp_replace(
-        F.when(raw_text.contains("\r"), F.regexp_replace(raw_text, r"\r+(?=\n|\z)", "")).otherwise(raw_text),
-        r"\n{2,}", "\n",
-    )
+    def metric(i: int) -> Column:
+        return F.regexp_extract(found, meta, i)
 
-    def stat(chunk):
-        token = F.split(F.ltrim(chunk, F.lit(" \t\u000b\f\r")), rf"{_WS}+", 5)
-        name = F.element_at(token, 5)
-        return F.when(
-            (name != "") & ~name.startswith("\n"),
-            F.struct(
-                _digits(F.element_at(token, 1)).alias("time_ms"),
-                _digits(F.element_at(token, 2)).alias("calls"),
-                leading_float(F.element_at(token, 3)).alias("rel_usage"),
-                leading_float(F.element_at(token, 4)).alias("real_usage"),
-                chars_to_bytes(trim_text(name)).alias("description"),
-            ),
+    cut = (
+        blocks.withColumn("_raw", bytes_to_chars(F.col(record_col)))
+        .withColumn("_tidy", tidy)
+        .withColumn(
+            "_text",
+            F.when(F.col("_tidy").contains("\n\n"), F.regexp_replace("_tidy", r"\n{2,}", "\n")).otherwise(F.col("_tidy")),
         )
-
-    before = rf"(?s)^.*\n{meta}"
-
-    def metric(i: int):
-        return F.regexp_extract(F.col("_pre"), before, i)
-
-    has_meta = metric(1) != ""
-    chunks = F.split(F.concat(F.lit("\n"), F.rtrim(F.get(parts, F.lit(1)), F.lit("\n"))), _STAT_HEAD)
-    stats = F.filter(F.transform(F.slice(chunks, F.lit(2), F.size(chunks)), stat), lambda s: s.isNotNull())
-    parsed = (
-        blocks.withColumn("_text", F.rtrim(tidy, F.lit("\n")))
-        .withColumn("_is_block", first_line.rlike(r"^\[\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}\]"))
+        .withColumn("_is_block", is_block)
         .withColumn("reported_at", F.when(F.col("_is_block"), parse_stamp(stamp, log_tz)))
-        .withColumn("_parts", F.split(text, header, 2))
-        .withColumn("_pre", F.get(parts, F.lit(0)))
-        .withColumn("stats", F.when(F.col("reported_at").isNotNull() & (F.size(parts) == 2), stats).cast(_STAT_TYPE))
-        .withColumn("_n_stats", F.coalesce(F.size("stats"), F.lit(0)))
+        .withColumn("_parts", F.split(text, header_line, 2))
+        .withColumn("_pre", F.get("_parts", F.lit(0)))
+        .withColumn("_body", F.when(F.col("reported_at").isNotNull(), F.concat(F.lit("\n"), F.get("_parts", F.lit(1)))))
+        # The last header metrics line before the column header counts.
+        .withColumn("_meta", F.when(pre.contains("Thread:"), F.regexp_extract(pre, rf"(?s)^.*\n({meta})", 1)))
+        .withColumn("n_stats", F.coalesce(F.regexp_count(body, F.lit(_NAMED_STAT)), F.lit(0)).cast("bigint"))
     )
-    line_feeds = F.length(raw_text) - F.length(F.replace(raw_text, F.lit("\n")))
-    return parsed.select(
+    has_meta = found != ""
+    line_feeds = F.length(raw) - F.length(F.replace(raw, F.lit("\n")))
+    return cut.select(
         *blocks.columns,
         F.when(~F.col("_is_block"), "prelude")
         .when(F.col("reported_at").isNull(), "bad timestamp")
-        .when(F.col("_n_stats") > 0, "ok")
+        .when(F.col("n_stats") > 0, "ok")
         .otherwise("empty")
         .alias("status"),
-        (line_feeds + F.when(raw_text.endswith("\n"), 0).otherwise(1)).cast("bigint").alias("lines"),
+        (line_feeds + F.when(raw.endswith("\n"), 0).otherwise(1)).cast("bigint").alias("lines"),
         "reported_at",
         F.when(has_meta, _digits(metric(1))).alias("thread_id"),
-        F.when(has_meta, leading_double(metric(2), sci_notation)).alias("cpu_usage"),
-        F.when(has_meta, leading_double(metric(3), sci_notation)).alias("idle"),
-        F.when(has_meta, leading_double(metric(4), sci_notation)).alias("other"),
+        F.when(has_meta, number(metric(2))).alias("cpu_usage"),
+        F.when(has_meta, number(metric(3))).alias("idle"),
+        F.when(has_meta, number(metric(4))).alias("other"),
         F.when(has_meta, _digits(metric(5))).alias("players_online"),
-        F.when(F.col("_n_stats") > 0, F.col("stats")).alias("stats"),
+        "n_stats",
+        F.when(F.col("n_stats") > 0, F.split(body, _STAT_HEAD)).alias("stat_texts"),
     )
 
 
-def leading_double(s, sci_notation: bool):
-    return F.coalesce(s.try_cast("double"), leading_float(s)) if sci_notation else leading_float(s)
-
-
-def block_reports(parsed: DataFrame) -> DataFrame:
-    """One header row per block that has statistics; keeps ``stats`` for exploding."""
-    return parsed.filter("status = 'ok'").withColumn(
+def identified(parsed: DataFrame) -> DataFrame:
+    """Blocks with their report id."""
+    return parsed.withColumn(
         "report_id",
         keys.report_id(F.col("source"), F.col("reported_at"), F.col("file_key"), F.col("offset")),
     )
 
 
-def block_stats(reports: DataFrame) -> DataFrame:
-    """One row per statistic, with its position in the block and its dimension id."""
+def block_reports(parsed: DataFrame) -> DataFrame:
+    """The header row of every block that has statistics."""
+    return identified(parsed).filter("n_stats > 0")
+
+
+def block_stats(blocks: DataFrame) -> DataFrame:
+    """Statistics of identified blocks: one row each, with position in the block and dimension id.
+
+    Statistics without a name are dropped, with the lines that continue them.
+    """
     keep = ["file_key", "offset", "source", "report_id", "reported_at", "players_online"]
-    s = F.col("_s")
-    return reports.select(*keep, F.posexplode("stats").alias("stat_no", "_s")).select(
-        *keep,
-        "stat_no",
-        keys.description_id(F.col("source"), s["description"]).alias("description_id"),
-        s["description"].alias("description"),
-        s["time_ms"].alias("time_ms"),
-        s["calls"].alias("calls"),
-        s["rel_usage"].alias("rel_usage"),
-        s["real_usage"].alias("real_usage"),
+    name = F.get("_token", F.lit(4))
+    return (
+        # The outer form: the plain one would make Catalyst test the array before the explode,
+        # and so evaluate the whole parse twice. Blocks without statistics go with the filter.
+        blocks.select(*keep, F.posexplode_outer("stat_texts").alias("stat_no", "_text"))
+        .filter("stat_no > 0")  # 0 is what precedes the first statistic
+        .select(*keep, "stat_no", F.split(F.ltrim("_text", F.lit(_BLANKS)), rf"{_WS}+", 5).alias("_token"))
+        .filter((name != "") & ~name.startswith("\n"))
+        .select(
+            *keep,
+            "stat_no",
+            chars_to_bytes(trim_text(name)).alias("description"),
+            _digits(F.get("_token", F.lit(0))).alias("time_ms"),
+            _digits(F.get("_token", F.lit(1))).alias("calls"),
+            _number(F.rtrim(F.get("_token", F.lit(2)), F.lit("%"))).alias("rel_usage"),
+            _number(F.rtrim(F.get("_token", F.lit(3)), F.lit("%"))).alias("real_usage"),
+        )
+        .withColumn("description_id", keys.description_id(F.col("source"), F.col("description")))
     )
 
 

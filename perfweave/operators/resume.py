@@ -61,13 +61,15 @@ def upsert_state(state: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
-def status_report(state: DataFrame) -> DataFrame:
-    """Import state per file with a readable latest timestamp, in file order."""
+def status_report(state: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Import state per file with a readable latest timestamp in ``tz``, in file order."""
+    utc = F.expr("timestampadd(SECOND, max_occurred_at, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
     return state.select(
         "file_key",
         "byte_offset",
         "file_size",
-        F.from_unixtime("max_occurred_at", "yyyy-MM-dd HH:mm:ss").alias("max_timestamp"),
+        F.date_format(local, "yyyy-MM-dd HH:mm:ss").alias("max_timestamp"),
     ).orderBy("file_key")
 
 

@@ -7,11 +7,11 @@ stage, and de-duplication, names, counts and state are computed from its few col
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfweave import schemas
 from perfweave.config import DEFAULT_CONFIG, EngineConfig
 from perfweave.functions import keys
 from perfweave.functions.time import epoch_date
@@ -22,7 +22,7 @@ from perfweave.operators.filters import keep_dedup_horizon, keep_import_window
 from perfweave.operators.parse_cpu import block_reports, block_stats, parse_blocks
 from perfweave.operators.parse_slow import parse_slow
 from perfweave.operators.resume import READING, ingest_audit, resume_plan, upsert_state
-from perfweave.plans.store import Store, scratch_dir, stage
+from perfweave.plans.store import Store, run_together, scratch_dir, stage
 from perfweave.sources.catalog import list_logs
 from perfweave.sources.ranges import (
     cut_ranges,
@@ -101,8 +101,8 @@ def import_logs(
     committed = store.committed()
     refresh_rollups(store, now)
     scratch = scratch_dir(spark)
-    state = store.read_latest("import_files")
-    marks = store.read_latest("high_water")
+    state = store.read("import_files", committed[-1:])
+    marks = store.read("high_water", committed[-1:])
     incremental = not marks.isEmpty()
 
     plan = plan_files(spark, data_dir, state, now, config)
@@ -123,77 +123,76 @@ def import_logs(
 
     slow_files, cpu_files = todo.filter("type <> 'cpu'"), todo.filter("type = 'cpu'")
     hold = not finalize
-    slow = stage(
-        parse_slow_files(slow_files, range_count(slow_files, config.range_bytes), config, hold), f"{scratch}/slow"
-    )
-    cpu = stage(
-        parse_cpu_files(cpu_files, range_count(cpu_files, config.range_bytes), config, hold), f"{scratch}/cpu"
-    )
 
-    # Slow events
+
+    def parsed(parse, files: DataFrame, name: str) -> DataFrame:
+        return stage(parse(files, range_count(files, config.range_bytes), config, hold), f"{scratch}/{name}")
+
+    slow, cpu = run_together([
+        partial(parsed, parse_slow_files, slow_files, "slow"),
+        partial(parsed, parse_cpu_files, cpu_files, "cpu"),
+    ])
+
+    # What is accepted
+    cpu_marks = marks.filter("severity IS NULL").drop("severity")
+    slow_marks = marks.filter("severity IS NOT NULL")
     events = in_scope(slow.filter("status = 'ok'"), "occurred_at").select(
         "file_key", "offset", "source", "severity", "occurred_at", "execution_ms", "description", "detail"
     )
-    kept_events = accept_slow(events, stored("slow_events", "occurred_at"), marks.filter("severity IS NOT NULL"), incremental)
-    kept_events = kept_events if not incremental else stage(kept_events, f"{scratch}/kept_slow")
-    slow_facts = kept_events.withColumn(
-        "description_id", keys.description_id(F.col("source"), F.col("description"))
-    ).withColumn("event_date", epoch_date(F.col("occurred_at")))
-    store.write_run("slow_events", run_id, slow_facts, ("description_id", "occurred_at"))
-
-    # CPU statistics, and the reports they belong to
     reports = in_scope(block_reports(cpu), "reported_at")
-    stats = block_stats(reports)
-    cpu_marks = marks.filter("severity IS NULL").drop("severity")
-    kept_stats = accept_cpu(stats, stored("cpu_stats", "reported_at"), cpu_marks, incremental)
+    events = accept_slow(events, stored("slow_events", "occurred_at"), slow_marks, incremental)
+    stats = accept_cpu(block_stats(reports), stored("cpu_stats", "reported_at"), cpu_marks, incremental)
     if incremental:
-        kept_stats = stage(kept_stats, f"{scratch}/kept_cpu")
+        events, stats = run_together([
+            partial(stage, events, f"{scratch}/kept_slow"), partial(stage, stats, f"{scratch}/kept_cpu")
+        ])
         # A report is stored if any of its statistics is; past the mark all of them are.
         fresh, overlap = split_fresh(reports, cpu_marks, "reported_at", ("source",))
-        reports = fresh.unionByName(overlap.join(kept_stats.select("report_id"), "report_id", "left_semi"))
-    by_date = epoch_date(F.col("reported_at"))
-    store.write_run("cpu_reports", run_id, reports.withColumn("event_date", by_date), ("reported_at",))
-    store.write_run(
-        "cpu_stats", run_id, kept_stats.withColumn("event_date", by_date), ("description_id", "reported_at")
-    )
-
-    # Names, state, audit, high-water marks
-    named = kept_events.select("source", "description").unionByName(kept_stats.select("source", "description"))
-    store.write_run("descriptions", run_id, new_names(named, store.read("descriptions", committed)))
-    store.write_run("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(cpu)))
+        reports = fresh.unionByName(overlap.join(stats.select("report_id"), "report_id", "left_semi"))
 
+    # Counts per file
     lines_and_rows = slow.select(
         "file_key", F.lit(1).alias("lines"), (F.col("status") == "ok").cast("bigint").alias("rows"), "bytes"
     ).unionByName(
-        cpu.select("file_key", "lines", F.coalesce(F.size("stats"), F.lit(0)).alias("rows"), "bytes")
+        cpu.select("file_key", "lines", F.col("n_stats").alias("rows"), "bytes")
     )
-    accepted = kept_events.select("file_key", F.col("occurred_at").alias("ts")).unionByName(
-        kept_stats.select("file_key", F.col("reported_at").alias("ts"))
+    accepted = events.select("file_key", F.col("occurred_at").alias("ts")).unionByName(
+        stats.select("file_key", F.col("reported_at").alias("ts"))
     )
-    counted = stage(ingest_audit(lines_and_rows, accepted), f"{scratch}/audit")
-    audited = todo.join(counted, "file_key", "left")
+    audited = todo.join(stage(ingest_audit(lines_and_rows, accepted), f"{scratch}/audit"), "file_key", "left")
     zero = F.lit(0).cast("bigint")
-    store.write_small(
-        "ingest_audit", run_id,
-        audited.select(
-            "file_key", "source", "action",
-            *[F.coalesce(c, zero).alias(c) for c in ("bytes_read", "lines_read", "rows_inserted", "rows_skipped")],
-            "max_ts",
-        ),
+    audit = audited.select(
+        "file_key", "source", "action", "max_ts",
+        *[F.coalesce(c, zero).alias(c) for c in ("bytes_read", "lines_read", "rows_inserted", "rows_skipped")],
     )
     done = audited.withColumn("byte_offset", F.col("file_size")) if finalize else with_open_tail(
-        audited.select(*audited.columns)
+        audited
     ).withColumn("byte_offset", F.col("open_offset"))
     updates = done.withColumn("max_occurred_at", F.greatest("prev_max_at", "max_ts")).withColumn(
         "updated_at", F.lit(now).cast("bigint")
     )
-    store.write_small("import_files", run_id, upsert_state(state, updates))
-    new_marks = high_water(slow_facts, "occurred_at", ("source", "severity")).unionByName(
-        high_water(reports, "reported_at", ("source",)).withColumn("severity", F.lit(None).cast("string"))
+    new_marks = high_water(events, "occurred_at", ("source", "severity")).unionByName(
+        high_water(stats, "reported_at", ("source",)).withColumn("severity", F.lit(None).cast("string"))
     )
-    merged = marks.unionByName(new_marks).groupBy("source", "severity").agg(F.max("max_ts").alias("max_ts"))
-    store.write_small("high_water", run_id, merged)
+    marks_now = marks.unionByName(new_marks).groupBy("source", "severity").agg(F.max("max_ts").alias("max_ts"))
 
+    # Everything is written under the new run's number and becomes visible with its record.
+    slow_facts = events.withColumn(
+        "description_id", keys.description_id(F.col("source"), F.col("description"))
+    ).withColumn("event_date", epoch_date(F.col("occurred_at")))
+    by_date = epoch_date(F.col("reported_at"))
+    named = events.select("source", "description").unionByName(stats.select("source", "description"))
+    write = partial(partial, store.write_run)
+    run_together([
+        write("slow_events", run_id, slow_facts, ("description_id", "occurred_at")),
+        write("cpu_reports", run_id, reports.withColumn("event_date", by_date), ("reported_at",)),
+        write("cpu_stats", run_id, stats.withColumn("event_date", by_date), ("description_id", "reported_at")),
+        write("descriptions", run_id, new_names(named, store.read("descriptions", committed))),
+        write("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(cpu))),
+        partial(store.write_small, "ingest_audit", run_id, audit),
+        partial(store.write_small, "import_files", run_id, upsert_state(state, updates)),
+        partial(store.write_small, "high_water", run_id, marks_now),
+    ])
     store.record([run_id], "facts", now)
     refresh_rollups(store, now)
     return ImportRun(run_id, files_read)
@@ -227,8 +226,7 @@ def rebuild_rollups(store: Store, dates: list | None = None) -> None:
         return df if dates is None else df.filter(F.col("event_date").isin(dates))
 
     frames = rollups.all_rollups(scoped(tables.cpu_reports), scoped(tables.cpu_stats), scoped(tables.slow_events))
-    for name in schemas.ROLLUPS:
-        store.write_rollup(name, frames[name], whole=dates is None)
+    run_together([partial(store.write_rollup, n, df, whole=dates is None) for n, df in frames.items()])
 
 
 def status_counts(store: Store) -> DataFrame:

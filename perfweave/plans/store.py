@@ -9,6 +9,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from perfweave import schemas
 from perfweave.functions.time import epoch_date
 from perfweave.tables import LogTables
 
+T_ = TypeVar("T_")
+
 _RUN_TABLES = {
     "descriptions": schemas.DESCRIPTIONS,
     "cpu_reports": schemas.CPU_REPORTS,
@@ -46,6 +51,12 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def run_together(jobs: list[Callable[[], T_]]) -> list[T_]:
+    """Runs independent Spark jobs at the same time, so small ones do not wait for each other."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
@@ -144,13 +155,9 @@ class Store:
             n: self.read_rollup(n) if _exists(self.spark, f"{self.root}/rollups/{n}") else None
             for n in schemas.ROLLUPS
         }
-        return LogTables(
-            descriptions=self.read("descriptions"),
-            cpu_reports=self.read("cpu_reports"),
-            cpu_stats=self.read("cpu_stats"),
-            slow_events=self.read("slow_events"),
-            **rollups,
-        )
+        runs = self.committed()
+        facts = {t: self.read(t, runs) for t in ("descriptions", "cpu_reports", "cpu_stats", "slow_events")}
+        return LogTables(**facts, **rollups)
 
 
 def open_store(spark: SparkSession, root: str) -> Store:

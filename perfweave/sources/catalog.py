@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from perfweave.config import EngineConfig
 
 
-def _classify_for(source: str, name: Column) -> Column:
-    """Type of file ``name`` when read as a file of ``source``; NULL if it is none."""
+def _claims(source: Column, name: Column) -> Column:
+    """Whether file ``name`` is a log of ``source`` at all."""
     return (
-        F.when(~name.startswith(source) | ~name.endswith(".log"), None)
-        .when(name == f"{source}_very_slow.log", "very_slow")
-        .when(name == f"{source}_slow.log", "slow")
-        .when(name == f"{source}.log", "cpu")
-        .when(name.contains("_very_slow"), "very_slow")
-        .when(name.contains("_slow"), "slow")
-        .when(name.startswith(f"{source}_") | name.startswith(f"{source}-"), "cpu")
+        name.startswith(source)
+        & name.endswith(".log")
+        & (
+            (name == F.concat(source, F.lit(".log")))
+            | name.contains("_slow")
+            | name.startswith(F.concat(source, F.lit("_")))
+            | name.startswith(F.concat(source, F.lit("-")))
+        )
     )
 
 
@@ -27,27 +28,29 @@ def classify_files(files: DataFrame, config: EngineConfig, name_col: str = "file
     """Adds source, type, severity and is_rolling from the file name; drops other files.
 
     The first configured source that claims a name gets it. Sources are a short configured
-    list, so this is one CASE chain per row and needs no join.
+    list, looked up inside the row: no join.
     """
-    name = F.col(name_col)
-    claim = F.coalesce(*[
-        F.when(
-            _classify_for(s, name).isNotNull(),
-            F.struct(
-                F.lit(s).alias("source"),
-                _classify_for(s, name).alias("type"),
-                name.isin(f"{s}.log", f"{s}_slow.log", f"{s}_very_slow.log").alias("is_rolling"),
-            ),
-        )
-        for s in config.sources
-    ])
-    tagged = files.withColumn("_claim", claim).filter("_claim IS NOT NULL")
-    return tagged.select(
-        *files.columns,
-        F.col("_claim.source").alias("source"),
-        F.col("_claim.type").alias("type"),
-        F.when(F.col("_claim.type") != "cpu", F.col("_claim.type")).alias("severity"),
-        F.col("_claim.is_rolling").alias("is_rolling"),
+    name, source = F.col(name_col), F.col("source")
+
+    def named(tail: str) -> Column:
+        return name == F.concat(source, F.lit(tail))
+
+    known = F.array(*[F.lit(s) for s in config.sources])
+    type_ = (
+        F.when(named("_very_slow.log"), "very_slow")
+        .when(named("_slow.log"), "slow")
+        .when(named(".log"), "cpu")
+        .when(name.contains("_very_slow"), "very_slow")
+        .when(name.contains("_slow"), "slow")
+        .otherwise("cpu")
+    )
+    rolling = named(".log") | named("_slow.log") | named("_very_slow.log")
+    return (
+        files.withColumn("source", F.get(F.filter(known, lambda s: _claims(s, name)), F.lit(0)))
+        .filter("source IS NOT NULL")
+        .withColumn("type", type_)
+        .withColumn("severity", F.when(F.col("type") != "cpu", F.col("type")))
+        .withColumn("is_rolling", rolling)
     )
 
 
