@@ -50,14 +50,14 @@ def resume_plan(files: DataFrame, state: DataFrame, import_cutoff: int | None) -
 
 
 def upsert_state(state: DataFrame, updates: DataFrame) -> DataFrame:
-    """New state snapshot: the latest row of every file."""
+    """New state snapshot: the latest row of every file; an update wins over an equally old row."""
     cols = state.columns
     rest = [c for c in cols if c not in ("file_key", "updated_at")]
-    return (
-        state.unionByName(updates.select(*cols))
-        .groupBy("file_key")
-        .agg(F.max(F.struct("updated_at", "byte_offset", *[c for c in rest if c != "byte_offset"])).alias("_s"))
-        .select(*[F.col("file_key") if c == "file_key" else F.col(f"_s.{c}").alias(c) for c in cols])
+    both = state.withColumn("_new", F.lit(False)).unionByName(
+        updates.select(*cols).withColumn("_new", F.lit(True))
+    )
+    return both.groupBy("file_key").agg(F.max(F.struct("updated_at", "_new", *rest)).alias("_s")).select(
+        *[F.col("file_key") if c == "file_key" else F.col(f"_s.{c}").alias(c) for c in cols]
     )
 
 

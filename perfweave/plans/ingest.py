@@ -6,6 +6,7 @@ stage, and de-duplication, names, counts and state are computed from its few col
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -60,25 +61,33 @@ def plan_files(
     return plan.filter("action <> 'seek'").unionByName(sought.drop("seek_offset"))
 
 
-def parse_slow_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_open: bool) -> DataFrame:
-    """All lines of the planned slow logs, parsed; rejected ones keep their text."""
-    lines = read_records(cut_ranges(plan, config.range_bytes, n_ranges), blocks=False, hold_open=hold_open)
-    parsed = parse_slow(lines, "record", config.log_tz)
+def keep_slow_columns(parsed: DataFrame) -> DataFrame:
+    """Parsed lines as staged: sizes for the audit, text for rejected lines only."""
     rejected = ~F.col("status").isin("ok", "blank")
     return parsed.withColumn("bytes", F.octet_length("record").cast("bigint")).withColumn(
         "line", F.when(rejected, F.col("record").cast("string"))
     ).drop("record", "range_start")
 
 
-def parse_cpu_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_open: bool) -> DataFrame:
-    """All blocks of the planned CPU logs, parsed; rejected ones keep their text."""
-    blocks = read_records(cut_ranges(plan, config.range_bytes, n_ranges), blocks=True, hold_open=hold_open)
-    parsed = parse_blocks(blocks, "record", config.log_tz)
+def keep_cpu_columns(parsed: DataFrame) -> DataFrame:
+    """Parsed blocks as staged: sizes for the audit, text for rejected blocks only."""
     return parsed.withColumn("bytes", F.octet_length("record").cast("bigint")).withColumn(
         "line", F.when(F.col("status") == "bad timestamp", F.col("record").cast("string"))
     ).drop("record", "range_start", "severity")
 
 
+def parse_slow_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_open: bool) -> DataFrame:
+    """All lines of the planned slow logs, parsed."""
+    lines = read_records(cut_ranges(plan, config.range_bytes, n_ranges), blocks=False, hold_open=hold_open)
+    return keep_slow_columns(parse_slow(lines, "record", config.log_tz))
+
+
+def parse_cpu_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_open: bool) -> DataFrame:
+    """All blocks of the planned CPU logs, parsed."""
+    blocks = read_records(cut_ranges(plan, config.range_bytes, n_ranges), blocks=True, hold_open=hold_open)
+    return keep_cpu_columns(parse_blocks(blocks, "record", config.log_tz))
+
+
 def _quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.filter("line IS NOT NULL").select(
         "file_key", "source", "offset", F.col("status").alias("reason"), "line"
@@ -102,28 +111,15 @@ def import_logs(
     refresh_rollups(store, now)
     scratch = scratch_dir(spark)
     state = store.read("import_files", committed[-1:])
-    marks = store.read("high_water", committed[-1:])
-    incremental = not marks.isEmpty()
 
     plan = plan_files(spark, data_dir, state, now, config)
     todo = stage(plan.filter(F.col("action").isin(*READING)), f"{scratch}/plan")
     files_read = todo.count()
     if files_read == 0:
         return ImportRun(None, 0)
-    run_id = committed[-1] + 1 if committed else 1
-
-    cutoff, horizon = config.import_cutoff(now), config.dedup_cutoff(now)
-
-    def in_scope(rows: DataFrame, ts: str) -> DataFrame:
-        return keep_dedup_horizon(keep_import_window(rows, ts, cutoff), ts, horizon, incremental)
 
-    def stored(table: str, ts: str) -> DataFrame:
-        recent = F.col("event_date") >= epoch_date(F.lit(horizon))
-        return store.read(table, committed).filter(recent & (F.col(ts) >= horizon))
-
-    slow_files, cpu_files = todo.filter("type <> 'cpu'"), todo.filter("type = 'cpu'")
     hold = not finalize
-
+    slow_files, cpu_files = todo.filter("type <> 'cpu'"), todo.filter("type = 'cpu'")
 
     def parsed(parse, files: DataFrame, name: str) -> DataFrame:
         return stage(parse(files, range_count(files, config.range_bytes), config, hold), f"{scratch}/{name}")
@@ -133,6 +129,49 @@ def import_logs(
         partial(parsed, parse_cpu_files, cpu_files, "cpu"),
     ])
 
+    def new_state(audited: DataFrame) -> DataFrame:
+        done = audited.withColumn("byte_offset", F.col("file_size")) if finalize else with_open_tail(
+            audited
+        ).withColumn("byte_offset", F.col("open_offset"))
+        updates = done.withColumn("max_occurred_at", F.greatest("prev_max_at", "max_ts")).withColumn(
+            "updated_at", F.lit(now).cast("bigint")
+        )
+        return upsert_state(state, updates)
+
+    run_id = load_rows(store, slow, cpu, todo, new_state, scratch, now, config)
+    refresh_rollups(store, now)
+    return ImportRun(run_id, files_read)
+
+
+def load_rows(
+    store: Store,
+    slow: DataFrame,
+    cpu: DataFrame,
+    files: DataFrame,
+    new_state: Callable[[DataFrame], DataFrame],
+    scratch: str,
+    now: int,
+    config: EngineConfig,
+    stages: Sequence[str] = ("facts",),
+) -> int:
+    """Stores parsed rows as a new run: facts, names, rejects, audit, state, high-water marks.
+
+    ``slow`` and ``cpu`` are staged parser output. ``files`` (file_key, source, action, ...) lists
+    the files read; ``new_state`` turns it, joined with the counts, into the state to store.
+    """
+    committed = store.committed()
+    run_id = committed[-1] + 1 if committed else 1
+    marks = store.read("high_water", committed[-1:])
+    incremental = not marks.isEmpty()
+    cutoff, horizon = config.import_cutoff(now), config.dedup_cutoff(now)
+
+    def in_scope(rows: DataFrame, ts: str) -> DataFrame:
+        return keep_dedup_horizon(keep_import_window(rows, ts, cutoff), ts, horizon, incremental)
+
+    def stored(table: str, ts: str) -> DataFrame:
+        recent = F.col("event_date") >= epoch_date(F.lit(horizon))
+        return store.read(table, committed).filter(recent & (F.col(ts) >= horizon))
+
     # What is accepted
     cpu_marks = marks.filter("severity IS NULL").drop("severity")
     slow_marks = marks.filter("severity IS NOT NULL")
@@ -159,18 +198,12 @@ def import_logs(
     accepted = events.select("file_key", F.col("occurred_at").alias("ts")).unionByName(
         stats.select("file_key", F.col("reported_at").alias("ts"))
     )
-    audited = todo.join(stage(ingest_audit(lines_and_rows, accepted), f"{scratch}/audit"), "file_key", "left")
+    audited = files.join(stage(ingest_audit(lines_and_rows, accepted), f"{scratch}/audit"), "file_key", "left")
     zero = F.lit(0).cast("bigint")
     audit = audited.select(
         "file_key", "source", "action", "max_ts",
         *[F.coalesce(c, zero).alias(c) for c in ("bytes_read", "lines_read", "rows_inserted", "rows_skipped")],
     )
-    done = audited.withColumn("byte_offset", F.col("file_size")) if finalize else with_open_tail(
-        audited
-    ).withColumn("byte_offset", F.col("open_offset"))
-    updates = done.withColumn("max_occurred_at", F.greatest("prev_max_at", "max_ts")).withColumn(
-        "updated_at", F.lit(now).cast("bigint")
-    )
     new_marks = high_water(events, "occurred_at", ("source", "severity")).unionByName(
         high_water(stats, "reported_at", ("source",)).withColumn("severity", F.lit(None).cast("string"))
     )
@@ -190,12 +223,11 @@ def import_logs(
         write("descriptions", run_id, new_names(named, store.read("descriptions", committed))),
         write("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(cpu))),
         partial(store.write_small, "ingest_audit", run_id, audit),
-        partial(store.write_small, "import_files", run_id, upsert_state(state, updates)),
+        partial(store.write_small, "import_files", run_id, new_state(audited)),
         partial(store.write_small, "high_water", run_id, marks_now),
     ])
-    store.record([run_id], "facts", now)
-    refresh_rollups(store, now)
-    return ImportRun(run_id, files_read)
+    store.record([run_id], stages, now)
+    return run_id
 
 
 def refresh_rollups(store: Store, now: int) -> None:
@@ -205,7 +237,7 @@ def refresh_rollups(store: Store, now: int) -> None:
         return
     first = set(behind) == set(store.committed())
     rebuild_rollups(store, None if first else _touched_dates(store, behind))
-    store.record(behind, "rollups", now)
+    store.record(behind, ["rollups"], now)
 
 
 def _touched_dates(store: Store, run_ids: list[int]) -> list:

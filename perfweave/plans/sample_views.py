@@ -211,7 +211,8 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     A file is one object and has one writer; rows stream through it, sorted by Spark.
     Returns (file_name, rows), to be run by an action.
     """
-    spread = rows.repartition("file_name").sortWithinPartitions("file_name", "at", "id")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(n, "file_name").sortWithinPartitions("file_name", "at", "id")
 
     def run(batches):
         import pyarrow.fs as pafs

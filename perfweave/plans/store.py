@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
@@ -90,8 +90,9 @@ class Store:
     def runs_without_rollups(self) -> list[int]:
         return sorted(set(self.committed()) - set(self._run_ids("rollups")))
 
-    def record(self, run_ids: list[int], stage_: str, at: int) -> None:
-        rows = self.spark.createDataFrame([(r, stage_, at) for r in run_ids], schemas.RUNS)
+    def record(self, run_ids: list[int], stages: Sequence[str], at: int) -> None:
+        """Marks runs as having reached the given stages, all in one file."""
+        rows = self.spark.createDataFrame([(r, s, at) for r in run_ids for s in stages], schemas.RUNS)
         rows.coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
 
     # Facts, dimension, state

@@ -65,12 +65,20 @@ def _slices(buf: bytes, starts: np.ndarray, stop: int) -> pa.Array:
 
 
 def read_range(
-    f, start: int, end: int, base: int, blocks: bool, hold_open: bool = False, read_bytes: int = READ_BYTES
+    f,
+    start: int,
+    end: int,
+    base: int,
+    blocks: bool,
+    hold_open: bool = False,
+    limit: int | None = None,
+    read_bytes: int = READ_BYTES,
 ) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(file offsets, record bytes) of the records whose first byte lies in [start, end).
 
     ``base`` is where reading of the file begins and always starts a record. With ``hold_open``
-    the file's last, possibly unfinished record is left for a later read.
+    the file's last, possibly unfinished record is left for a later read. ``limit`` is taken for
+    the end of the file when it grows meanwhile.
     """
     if start <= base:
         f.seek(base)
@@ -80,7 +88,7 @@ def read_range(
         carry, origin, at_base = b"", start - 1, False
     step = read_bytes
     while True:
-        data = f.read(step)
+        data = f.read(step if limit is None else min(step, max(limit - f.tell(), 0)))
         buf = carry + data
         starts = record_starts(buf, blocks)
         if at_base and (starts.size == 0 or starts[0] != 1) and len(buf) > 1:
@@ -294,7 +302,7 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
     block mode, text before the first timestamp of a file is a record of its own.
     """
     needed = ranges.select(
-        "file_key", "source", "severity", "path", "start_offset", "range_start", "range_end"
+        "file_key", "source", "severity", "path", "file_size", "start_offset", "range_start", "range_end"
     )
 
     def run(batches):
@@ -302,7 +310,7 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
             for row in batch.to_pylist():
                 with open_log(row["path"]) as f:
                     parts = read_range(
-                        f, row["range_start"], row["range_end"], row["start_offset"], blocks, hold_open
+                        f, row["range_start"], row["range_end"], row["start_offset"], blocks, hold_open, row["file_size"]
                     )
                     for offsets, records in parts:
                         n = len(records)
