@@ -198,12 +198,18 @@ def load_rows(
     accepted = events.select("file_key", F.col("occurred_at").alias("ts")).unionByName(
         stats.select("file_key", F.col("reported_at").alias("ts"))
     )
-    audited = files.join(stage(ingest_audit(lines_and_rows, accepted), f"{scratch}/audit"), "file_key", "left")
-    zero = F.lit(0).cast("bigint")
-    audit = audited.select(
-        "file_key", "source", "action", "max_ts",
-        *[F.coalesce(c, zero).alias(c) for c in ("bytes_read", "lines_read", "rows_inserted", "rows_skipped")],
-    )
+
+    def write_counts() -> None:
+        counted = stage(ingest_audit(lines_and_rows, accepted), f"{scratch}/audit")
+        audited = files.join(counted, "file_key", "left")
+        zero = F.lit(0).cast("bigint")
+        audit = audited.select(
+            "file_key", "source", "action", "max_ts",
+            *[F.coalesce(c, zero).alias(c) for c in ("bytes_read", "lines_read", "rows_inserted", "rows_skipped")],
+        )
+        store.write_small("ingest_audit", run_id, audit)
+        store.write_small("import_files", run_id, new_state(audited))
+
     new_marks = high_water(events, "occurred_at", ("source", "severity")).unionByName(
         high_water(stats, "reported_at", ("source",)).withColumn("severity", F.lit(None).cast("string"))
     )
@@ -222,8 +228,7 @@ def load_rows(
         write("cpu_stats", run_id, stats.withColumn("event_date", by_date), ("description_id", "reported_at")),
         write("descriptions", run_id, new_names(named, store.read("descriptions", committed))),
         write("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(cpu))),
-        partial(store.write_small, "ingest_audit", run_id, audit),
-        partial(store.write_small, "import_files", run_id, new_state(audited)),
+        write_counts,
         partial(store.write_small, "high_water", run_id, marks_now),
     ])
     store.record([run_id], stages, now)

@@ -1,4 +1,4 @@
-"""Tables on shared storage: Parquet, one directory per import run, partitioned by source and date.
+"""Tables on shared storage: Parquet, one directory per import run, partitioned by date.
 
 A run's directories are invisible until the run is recorded in ``runs``, which is written
 last; a run that died leaves directories nobody reads and the next attempt overwrites them.
@@ -33,7 +33,6 @@ _RUN_TABLES = {
     "ingest_audit": schemas.INGEST_AUDIT,
     "quarantine": schemas.QUARANTINE,
 }
-_DATED = ("source", "event_date")
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -112,20 +111,18 @@ class Store:
     def write_run(self, table: str, run_id: int, df: DataFrame, sort_by: tuple[str, ...] = ()) -> None:
         """Writes one table of a run; rerunning overwrites what a failed attempt left.
 
-        Dated tables are rebalanced by partition first: AQE then gives a dominant source or
-        day several files and small ones a single file. Sorting narrows Parquet min/max ranges.
+        Dated tables are clustered by day and source before writing: AQE gives a dominant source
+        several tasks and folds small ones together, so a file holds one source or a few, and
+        the sort lets Parquet min/max values skip by source, function and time.
         """
         schema = _RUN_TABLES[table]
         df = df.select(*schema.names)
-        writer = df
-        dated = all(c in schema.names for c in _DATED)
-        if dated:
-            writer = df.hint("rebalance", *_DATED)
-            if sort_by:
-                writer = writer.sortWithinPartitions(*_DATED, *sort_by)
-        out = writer.write.mode("overwrite")
-        out = out.partitionBy(*_DATED) if dated else out
-        out.parquet(f"{self.root}/{table}/run_id={run_id}")
+        path = f"{self.root}/{table}/run_id={run_id}"
+        if "event_date" not in schema.names:
+            df.write.mode("overwrite").parquet(path)
+            return
+        clustered = df.hint("rebalance", "event_date", "source").sortWithinPartitions("event_date", "source", *sort_by)
+        clustered.write.mode("overwrite").partitionBy("event_date").parquet(path)
 
     def write_small(self, table: str, run_id: int, df: DataFrame) -> None:
         """A table of one row per file or stream, as a single file."""
