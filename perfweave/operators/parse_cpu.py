@@ -33,6 +33,7 @@ _SCI_NUM = r"([\d.+\-eE]+)"
 _STAT_LINE = rf"\n{_WS}+\d+{_WS}+\d+{_WS}+[\d.]+%{_WS}+[\d.]+%{_WS}"
 _STAT_HEAD = rf"\n(?={_STAT_LINE[2:]})"
 _NAMED_STAT = rf"{_STAT_LINE}+[^ \t\x0B\f\r\n]"
+_HEADER = "Time (ms)"
 _BLANKS = " \t\u000b\f\r"
 _MAX_LONG = 9223372036854775807
 
@@ -82,9 +83,18 @@ def parse_blocks(
         )
         .withColumn("_is_block", is_block)
         .withColumn("reported_at", F.when(F.col("_is_block"), parse_stamp(stamp, log_tz)))
-        .withColumn("_parts", F.split(text, header_line, 2))
-        .withColumn("_pre", F.get("_parts", F.lit(0)))
-        .withColumn("_body", F.when(F.col("reported_at").isNotNull(), F.concat(F.lit("\n"), F.get("_parts", F.lit(1)))))
+        .withColumn("_pre", F.substring_index(text, _HEADER, 1))
+        .withColumn("_plain", pre.contains("\n") & ~F.substring_index(pre, "\n", -1).startswith("Thread:"))
+        .withColumn("_parts", F.when(~F.col("_plain"), F.split(text, header_line, 2)))
+        .withColumn("_after", F.when(
+            F.col("_plain"), F.substring(text, F.length(pre) + 1 + len(_HEADER), F.length(text))
+        ))
+        .withColumn("_pre", F.when(F.col("_plain"), pre).otherwise(F.get("_parts", F.lit(0))))
+        .withColumn("_body", F.when(
+            F.col("reported_at").isNotNull(),
+            F.when(F.col("_plain"), F.substring(F.col("_after"), F.locate("\n", F.col("_after")), F.length("_after")))
+            .otherwise(F.concat(F.lit("\n"), F.get("_parts", F.lit(1)))),
+        ))
         # The last header metrics line before the column header counts.
         .withColumn("_meta", F.when(pre.contains("Thread:"), F.regexp_extract(pre, rf"(?s)^.*\n({meta})", 1)))
         .withColumn("n_stats", F.coalesce(F.regexp_count(body, F.lit(_NAMED_STAT)), F.lit(0)).cast("bigint"))
@@ -123,33 +133,52 @@ def block_reports(parsed: DataFrame) -> DataFrame:
     return identified(parsed).filter("n_stats > 0")
 
 
-def block_stats(blocks: DataFrame) -> DataFrame:
-    """Statistics of identified blocks: one row each, with position in the block and dimension id.
+def explode_stats(blocks: DataFrame) -> DataFrame:
+    """One row per block (stat_no 0, statistics columns NULL) and one per statistic (from 1 on).
 
-    Statistics without a name are dropped, with the lines that continue them.
+    Statistics without a name are dropped, with the lines that continue them. Column
+    ``stat_texts`` is replaced by stat_no, description, time_ms, calls, rel_usage, real_usage.
     """
-    keep = ["file_key", "offset", "source", "report_id", "reported_at", "players_online"]
-    name = F.get("_token", F.lit(4))
+    keep = [c for c in blocks.columns if c != "stat_texts"]
+    is_stat, name = F.col("stat_no") > 0, F.get("_token", F.lit(4))
+
+    def token(i: int) -> Column:
+        return F.get("_token", F.lit(i))
+
     return (
-        # The outer form: the plain one would make Catalyst test the array before the explode,
-        # and so evaluate the whole parse twice. Blocks without statistics go with the filter.
-        blocks.select(*keep, F.posexplode_outer("stat_texts").alias("stat_no", "_text"))
-        .filter("stat_no > 0")  # 0 is what precedes the first statistic
-        .select(*keep, "stat_no", F.split(F.ltrim("_text", F.lit(_BLANKS)), rf"{_WS}+", 5).alias("_token"))
-        .filter((name != "") & ~name.startswith("\n"))
+        # What precedes the first statistic has position 0 and stands for the block. The outer
+        # form keeps blocks without statistics; besides, the plain one would make Catalyst test
+        # the array before exploding it, and so evaluate the whole parse twice.
+        blocks.select(*keep, F.posexplode_outer("stat_texts").alias("_no", "_text"))
+        .withColumn("stat_no", F.coalesce("_no", F.lit(0)))
+        .withColumn("_token", F.when(is_stat, F.split(F.ltrim("_text", F.lit(_BLANKS)), rf"{_WS}+", 5)))
+        .filter(~is_stat | ((name != "") & ~name.startswith("\n")))
         .select(
             *keep,
             "stat_no",
             chars_to_bytes(trim_text(name)).alias("description"),
-            _digits(F.get("_token", F.lit(0))).alias("time_ms"),
-            _digits(F.get("_token", F.lit(1))).alias("calls"),
-            _number(F.rtrim(F.get("_token", F.lit(2)), F.lit("%"))).alias("rel_usage"),
-            _number(F.rtrim(F.get("_token", F.lit(3)), F.lit("%"))).alias("real_usage"),
+            F.when(is_stat, _digits(token(0))).alias("time_ms"),
+            F.when(is_stat, _digits(token(1))).alias("calls"),
+            F.when(is_stat, _number(F.rtrim(token(2), F.lit("%")))).alias("rel_usage"),
+            F.when(is_stat, _number(F.rtrim(token(3), F.lit("%")))).alias("real_usage"),
         )
-        .withColumn("description_id", keys.description_id(F.col("source"), F.col("description")))
     )
 
 
+def stats_only(exploded: DataFrame) -> DataFrame:
+    """The statistics among exploded rows, with their dimension id."""
+    return exploded.filter("stat_no > 0").select(
+        "file_key", "offset", "source", "report_id", "reported_at", "players_online", "stat_no", "description",
+        "time_ms", "calls", "rel_usage", "real_usage",
+        keys.description_id(F.col("source"), F.col("description")).alias("description_id"),
+    )
+
+
+def block_stats(blocks: DataFrame) -> DataFrame:
+    """Statistics of identified blocks: one row each, with position in the block and dimension id."""
+    return stats_only(explode_stats(blocks))
+
+
 def cpu_quarantine(parsed: DataFrame, record_col: str = "record") -> DataFrame:
     """Blocks whose timestamp is not a date, with their whole text."""
     return parsed.filter("status = 'bad timestamp'").select(

@@ -20,7 +20,7 @@ from perfweave.operators import rollups
 from perfweave.operators.dedup import accept_cpu, accept_slow, high_water, split_fresh
 from perfweave.operators.dims import new_names
 from perfweave.operators.filters import keep_dedup_horizon, keep_import_window
-from perfweave.operators.parse_cpu import block_reports, block_stats, parse_blocks
+from perfweave.operators.parse_cpu import explode_stats, identified, parse_blocks, stats_only
 from perfweave.operators.parse_slow import parse_slow
 from perfweave.operators.resume import READING, ingest_audit, resume_plan, upsert_state
 from perfweave.plans.store import Store, run_together, scratch_dir, stage
@@ -70,10 +70,14 @@ def keep_slow_columns(parsed: DataFrame) -> DataFrame:
 
 
 def keep_cpu_columns(parsed: DataFrame) -> DataFrame:
-    """Parsed blocks as staged: sizes for the audit, text for rejected blocks only."""
-    return parsed.withColumn("bytes", F.octet_length("record").cast("bigint")).withColumn(
+    """Parsed blocks and their statistics as staged, so that no later step parses again.
+
+    Rejected blocks keep their text.
+    """
+    sized = parsed.withColumn("bytes", F.octet_length("record").cast("bigint")).withColumn(
         "line", F.when(F.col("status") == "bad timestamp", F.col("record").cast("string"))
-    ).drop("record", "range_start", "severity")
+    )
+    return explode_stats(identified(sized.drop("record", "range_start", "severity")))
 
 
 def parse_slow_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_open: bool) -> DataFrame:
@@ -178,9 +182,10 @@ def load_rows(
     events = in_scope(slow.filter("status = 'ok'"), "occurred_at").select(
         "file_key", "offset", "source", "severity", "occurred_at", "execution_ms", "description", "detail"
     )
-    reports = in_scope(block_reports(cpu), "reported_at")
+    blocks = cpu.filter("stat_no = 0")
+    reports = in_scope(blocks.filter("n_stats > 0"), "reported_at")
     events = accept_slow(events, stored("slow_events", "occurred_at"), slow_marks, incremental)
-    stats = accept_cpu(block_stats(reports), stored("cpu_stats", "reported_at"), cpu_marks, incremental)
+    stats = accept_cpu(in_scope(stats_only(cpu), "reported_at"), stored("cpu_stats", "reported_at"), cpu_marks, incremental)
     if incremental:
         events, stats = run_together([
             partial(stage, events, f"{scratch}/kept_slow"), partial(stage, stats, f"{scratch}/kept_cpu")
@@ -193,7 +198,7 @@ def load_rows(
     lines_and_rows = slow.select(
         "file_key", F.lit(1).alias("lines"), (F.col("status") == "ok").cast("bigint").alias("rows"), "bytes"
     ).unionByName(
-        cpu.select("file_key", "lines", F.col("n_stats").alias("rows"), "bytes")
+        blocks.select("file_key", "lines", F.col("n_stats").alias("rows"), "bytes")
     )
     accepted = events.select("file_key", F.col("occurred_at").alias("ts")).unionByName(
         stats.select("file_key", F.col("reported_at").alias("ts"))
@@ -227,7 +232,7 @@ def load_rows(
         write("cpu_reports", run_id, reports.withColumn("event_date", by_date), ("reported_at",)),
         write("cpu_stats", run_id, stats.withColumn("event_date", by_date), ("description_id", "reported_at")),
         write("descriptions", run_id, new_names(named, store.read("descriptions", committed))),
-        write("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(cpu))),
+        write("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(blocks))),
         write_counts,
         partial(store.write_small, "high_water", run_id, marks_now),
     ])
