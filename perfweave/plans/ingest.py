@@ -35,6 +35,10 @@ from perfweave.sources.ranges import (
 )
 
 
+# From this much log text on, a run's facts are clustered by source within a day.
+LARGE_RUN_BYTES = 4 * 1024**3
+
+
 @dataclass(frozen=True)
 class ImportRun:
     run_id: int | None
@@ -118,8 +122,10 @@ def import_logs(
 
     plan = plan_files(spark, data_dir, state, now, config)
     todo = stage(plan.filter(F.col("action").isin(*READING)), f"{scratch}/plan")
-    files_read = todo.count()
-    if files_read == 0:
+    size = todo.agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.col("file_size") - F.col("start_offset")).alias("bytes")
+    ).first()
+    if size["files"] == 0:
         return ImportRun(None, 0)
 
     hold = not finalize
@@ -142,9 +148,11 @@ def import_logs(
         )
         return upsert_state(state, updates)
 
-    run_id = load_rows(store, slow, cpu, todo, new_state, scratch, now, config)
+    run_id = load_rows(
+        store, slow, cpu, todo, new_state, scratch, now, config, by_source=size["bytes"] >= LARGE_RUN_BYTES
+    )
     refresh_rollups(store, now)
-    return ImportRun(run_id, files_read)
+    return ImportRun(run_id, size["files"])
 
 
 def load_rows(
@@ -157,6 +165,7 @@ def load_rows(
     now: int,
     config: EngineConfig,
     stages: Sequence[str] = ("facts",),
+    by_source: bool = False,
 ) -> int:
     """Stores parsed rows as a new run: facts, names, rejects, audit, state, high-water marks.
 
@@ -228,9 +237,9 @@ def load_rows(
     named = events.select("source", "description").unionByName(stats.select("source", "description"))
     write = partial(partial, store.write_run)
     run_together([
-        write("slow_events", run_id, slow_facts, ("description_id", "occurred_at")),
-        write("cpu_reports", run_id, reports.withColumn("event_date", by_date), ("reported_at",)),
-        write("cpu_stats", run_id, stats.withColumn("event_date", by_date), ("description_id", "reported_at")),
+        write("slow_events", run_id, slow_facts, ("description_id", "occurred_at"), by_source),
+        write("cpu_reports", run_id, reports.withColumn("event_date", by_date), ("reported_at",), by_source),
+        write("cpu_stats", run_id, stats.withColumn("event_date", by_date), ("description_id", "reported_at"), by_source),
         write("descriptions", run_id, new_names(named, store.read("descriptions", committed))),
         write("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(blocks))),
         write_counts,

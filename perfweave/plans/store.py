@@ -108,12 +108,15 @@ class Store:
         """The snapshot written by the last committed run."""
         return self.read(table, self.committed()[-1:])
 
-    def write_run(self, table: str, run_id: int, df: DataFrame, sort_by: tuple[str, ...] = ()) -> None:
+    def write_run(
+        self, table: str, run_id: int, df: DataFrame, sort_by: tuple[str, ...] = (), by_source: bool = False
+    ) -> None:
         """Writes one table of a run; rerunning overwrites what a failed attempt left.
 
-        Dated tables are clustered by day and source before writing: AQE gives a dominant source
-        several tasks and folds small ones together, so a file holds one source or a few, and
-        the sort lets Parquet min/max values skip by source, function and time.
+        Dated tables are clustered by day before writing, and with ``by_source`` (for runs large
+        enough that a day fills many files) by source too. AQE gives a dominant day or source
+        several tasks and folds small ones together; the sort lets Parquet min/max values skip by
+        source, function and time.
         """
         schema = _RUN_TABLES[table]
         df = df.select(*schema.names)
@@ -121,7 +124,8 @@ class Store:
         if "event_date" not in schema.names:
             df.write.mode("overwrite").parquet(path)
             return
-        clustered = df.hint("rebalance", "event_date", "source").sortWithinPartitions("event_date", "source", *sort_by)
+        cluster = ("event_date", "source") if by_source else ("event_date",)
+        clustered = df.hint("rebalance", *cluster).sortWithinPartitions("event_date", "source", *sort_by)
         clustered.write.mode("overwrite").partitionBy("event_date").parquet(path)
 
     def write_small(self, table: str, run_id: int, df: DataFrame) -> None:
