@@ -217,6 +217,10 @@ FROM cw, cu, pw, pu"""
 
 _STAMP = "strftime(make_timestamp({0} * 1000000), '[%-d/%-m/%Y %-H:%-M:%-S]')"
 
+# Fixed values of the log text.
+_COLUMNS = " Time (ms)     Calls     Rel usage %    Real usage % Description\n"
+_MORE = "\n\n[local\n\tfunction run()"
+
 _FILES = """
 files AS (
   SELECT source || '_slow_' || day || '.log' AS file_key, CASE WHEN day % 11 = 0 THEN 0 ELSE size END AS file_size,
@@ -327,6 +331,19 @@ SELECT file_key, sha256(arg_min(line, pos)) AS first_line FROM (
          {_STAMP.format('occurred_at')} || ' Execution time: ' || execution_ms || ' ms - ' || name || ' - ' || detail AS line
   FROM text_slow UNION ALL
   SELECT file_key, (reported_at, report_id), {_STAMP.format('reported_at')} FROM text_reports) GROUP BY 1""",
+        "log_bytes": _with(*text) + f"""
+SELECT total AS total_bytes, total AS pending_before, CAST(0 AS BIGINT) AS pending_after FROM (SELECT CAST(sum(n) AS BIGINT) AS total FROM (
+  SELECT length({_STAMP.format('occurred_at')} || ' Execution time: ' || execution_ms || ' ms - ' || name || ' - ' || detail)
+         + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END
+         + CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN {len("server restarted") + 1} ELSE 0 END AS n FROM text_slow
+  UNION ALL
+  SELECT length({_STAMP.format('t.reported_at')}) + 2 + {len(_COLUMNS)} + CASE WHEN r.cpu_usage IS NULL THEN 0 ELSE length(
+           'Thread: 1 Cpu usage: ' || format('{{:.5f}}', r.cpu_usage) || '% Idle: ' || format('{{:.5f}}', 100 - r.cpu_usage)
+           || '% Other: -0.5% Players online: ' || r.players_online) + 1 END
+  FROM text_reports t JOIN reports r USING (report_id)
+  UNION ALL
+  SELECT 54 + length(p_name || '#' || p_partkey) + CASE WHEN p_partkey % 5 = 0 THEN {len(_MORE)} ELSE 0 END
+  FROM lineitem JOIN part ON p_partkey = l_partkey))""",
         "seek_offsets": _with(*text) + f"""
 SELECT file_key, min(reported_at) AS reported_at FROM text_reports WHERE reported_at >= {SEEK_CUTOFF} GROUP BY 1""",
         "resume_plan": _with(_SLOW, _FILES) + """
