@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perfweave.config import check_description_id
 from perfweave.functions import keys
+from perfweave.functions.text import clean_text
 
 
 def names_of(rows: DataFrame) -> DataFrame:
@@ -39,11 +40,11 @@ def id_collisions(descriptions: DataFrame) -> DataFrame:
 
 
 def describe(descriptions: DataFrame, description_id: int | Column) -> tuple[str, str]:
-    """(source, description) of one id; an unknown id is an error."""
+    """(source, description for display) of one id; an unknown id is an error."""
     check_description_id(description_id)
     row = (
         descriptions.filter(F.col("description_id") == description_id)
-        .select("source", "description")
+        .select("source", clean_text(F.col("description")).alias("description"))
         .first()
     )
     if row is None:
