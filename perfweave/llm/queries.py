@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from perfweave.llm import exact_dedup, mixing, quality, sharding, toxicity
+from perfweave.llm import decontamination, exact_dedup, html, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_html": html.op5_html,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
 }
