@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from perfweave.llm import decontamination, exact_dedup, html, mixing, quality, sharding, toxicity
+from perfweave.llm import decontamination, exact_dedup, html, mixing, near_dedup, quality, sharding, substrings, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_html": html.op5_html,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
