@@ -1,4 +1,52 @@
-STAGES = []
+"""From raw documents to training shards: five stages, each a text operator applied to what is left."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from perfweave.llm import decontamination, mixing, near_dedup, quality, sharding
+from perfweave.llm.common import stage, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality scorer accepts."""
+    return quality.keep_good(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated, or left out, so that sources have their shares of words."""
+    return mixing.mix(docs)
+
+
+def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of the mix."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("mixing_to_weights", mix_sources),
+    ("sharding", place),
+]
+
+# The scorer, the signatures and the moves are not expressible in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfweave.llm.common import WORD, bucket_count, stage, table, word_count
+from perfweave.llm.common import bucket_count, stage, table, word_count, words_of
 
 MOST_REPEATS = 3
 
@@ -46,6 +46,32 @@ def source_targets(sizes: DataFrame, weight=default_weight, most: int = MOST_REP
     )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"), *more)
+
+
+def _taken(rows: DataFrame, sizes: DataFrame, weight, most: int) -> DataFrame:
+    """``rows`` with ``source_size, target, taken``, from ``sizes``, the same rows without what they carry."""
+    targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weight, most)
+    buckets = bucket_count(sizes.count())
+    bucket = F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).alias("bucket")
+    sums = sizes.groupBy("source", bucket).agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("begin"))
+    starts = stage(starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
+        F.col("s.source").alias("from"), F.col("s.bucket").alias("range"), "s.begin", "t.source_size", "t.target"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.select("*", bucket).join(starts, F.col("source").eqNullSafe(F.col("from")) & (F.col("bucket") == F.col("range")))
+    at = F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    budget = F.floor("target").cast("long")
+    rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    cut = budget - rounds * F.col("source_size") - F.col("at")
+    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), cut))
+    return joined.withColumn("at", at).withColumn("taken", taken.cast("long"))
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weight=default_weight, most: int = MOST_REPEATS) -> DataFrame:
     """What the mix takes of each row: ``id, source, size, source_size, target, taken``.
@@ -55,49 +81,22 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     follow by size, and equal ones are interchangeable. A source's taken words are its target rounded
     down (a document on the cut gives its first words); no row gives more than ``most`` times its size.
     """
-    rows = stage(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    ).withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))))
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weight, most)
-    buckets = bucket_count(rows.count())
-    ranged = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)))
-    same = lambda a, b, *more: a.source.eqNullSafe(b.source) & (a.bucket == b.bucket)
-    sums = ranged.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
-    starts = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
-        "s.source", "s.bucket", "s.start", "t.source_size", "t.target")
-    starts = stage(starts)
-    inside = Window.partitionBy("r.source", "r.bucket").orderBy("r.key", "r.id", "r.size").rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
-    at = F.col("s.start") + F.coalesce(F.sum("r.size").over(inside), F.lit(0))
-    budget = F.floor("target").cast("long")
-    rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    placed = joined.select("r.id", "r.source", "r.size", "s.source_size", "s.target", at.alias("at"))
-    cut = budget - rounds * F.col("source_size") - F.col("at")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), cut))
-    return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = stage(_keyed(docs, id_col, text_col, source_col))
+    return _taken(rows, rows, weight, most).select("id", "source", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weight=default_weight, most: int = MOST_REPEATS) -> DataFrame:
-    """The mixed documents, with the columns of ``docs``: a row for each whole repeat, and one with the
-    first words of a document on a cut. Rows that repeat id, source and size are taken alike in sum."""
-    plan = mix_plan(docs, id_col, text_col, source_col, weight, most).filter("taken > 0")
-    place = Window.partitionBy("id", "source", "size")
-    plan = plan.withColumn("copy", F.row_number().over(place.orderBy("taken")))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("whole"),
-    ).filter("size > 0").withColumn("copy", F.row_number().over(place.orderBy("whole")))
-    r, p = rows.alias("r"), plan.alias("p")
-    both = r.join(p, F.col("r.id").eqNullSafe(F.col("p.id")) & F.col("r.source").eqNullSafe(F.col("p.source"))
-                  & (F.col("r.size") == F.col("p.size")) & (F.col("r.copy") == F.col("p.copy")))
-    left = F.col("p.taken") - F.col("round") * F.col("r.size")
-    repeats = both.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("p.taken") / F.col("r.size")) - 1)))
-    head = F.regexp_extract(F.col("r.whole"), F.concat(F.lit(rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]*){{"), left, F.lit("}")), 0)
-    cut = F.when(left >= F.col("r.size"), F.col("r.whole")).otherwise(head)
-    return repeats.select(*[cut.alias(c) if c == text_col else F.col("r.row").getField(c).alias(c) for c in docs.columns])
+    """The mixed documents, with the columns of ``docs``: a row for each whole repeat, and for the document
+    on a source's cut one with its first words, joined by one space."""
+    sizes = stage(_keyed(docs, id_col, text_col, source_col))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _taken(_keyed(docs, id_col, text_col, source_col, row), sizes, weight, most).filter("taken > 0")
+    repeats = rows.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1)))
+    left = F.col("taken") - F.col("round") * F.col("size")
+    whole = F.col("row").getField(text_col)
+    text = F.when(left >= F.col("size"), whole).otherwise(F.array_join(F.slice(words_of(whole), F.lit(1), left.cast("int")), " "))
+    return repeats.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from perfweave.llm import decontamination, exact_dedup, html, mixing, near_dedup, quality, sharding, substrings, toxicity
+from perfweave.llm import decontamination, exact_dedup, html, mixing, near_dedup, quality, sharding, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_html": html.op5_html,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
