@@ -5,8 +5,8 @@ and coordinate k is the smallest value of the second one, shifted by k along the
 signature bring candidates together; the exact Jaccard similarity of their full sets decides.
 
 Texts with one set of shingles are one class. A bucket never emits all its pairs: classes are compared
-with the bucket's leader, then those in other components with further leaders, until each bucket lies
-in one component or all its classes have been compared.
+with the bucket's leader, then those that can still link with further leaders, until each bucket lies in
+one component or all its classes have been compared.
 """
 
 from __future__ import annotations
@@ -143,24 +143,55 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = stage(labels.join(parents.withColumnRenamed("child", "comp"), "comp", "left").select("cls", F.coalesce("parent", "comp").alias("comp")))
 
 
+def _shared_sizes(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``cls, n, shared`` of the classes in ``rows``: the size of the set, and how many of its shingles any other of them has."""
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                sets = [shingle_set(text) for text in batch["text"][at : at + 500]]
+                owners = np.repeat(batch["c"].to_numpy()[at : at + 500], [len(s) for s in sets])
+                yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64), "c": owners})
+
+    there = texts.join(rows.select("cls").distinct(), "cls", "left_semi").withColumn("c", F.xxhash64("cls"))
+    once = there.select("c", "text").mapInPandas(explode, "shingle long, c long").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("times"), F.min("c").alias("c")).filter("times = 1")
+    own = once.groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+    return stage(there.select("cls", "c", "n").join(own, "c", "left").select("cls", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")))
+
+
 def _linked_classes(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``cls, comp`` of all classes in ``buckets`` (``band, cls``)."""
+    """``cls, comp`` of all classes in ``buckets`` (``band, cls``).
+
+    First all are compared with one leader of their bucket. What is then left in buckets of several
+    components is bounded exactly: two sets that link share at least percent / (100 + percent) of their
+    sizes' sum, and no more than either shares with anyone. Classes that cannot reach that in a bucket
+    leave it. The rest is compared with further leaders, those with the fewest shingles of their own.
+    """
     labels = stage(buckets.select("cls").distinct().withColumn("comp", F.col("cls")))
-    leaders_each = 1
+    leaders_each, bounded = 1, False
+    reaches = lambda shared, n, m: (100 + percent) * shared >= percent * (n + m)
+    buckets = buckets.withColumn("n", F.lit(1)).withColumn("shared", F.lit(1))
     while True:
         rows = buckets.join(labels, "cls")
-        mixed = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band")
-        rows = stage(rows.join(mixed, "band", "left_semi").select("band", "cls", "comp"))
+        mixed = lambda r: stage(r.join(r.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(
+            "low != high").select("band"), "band", "left_semi").select("band", "cls", "comp", "n", "shared"))
+        rows = mixed(rows)
+        if leaders_each > 1 and not bounded and not rows.isEmpty():
+            rows = rows.select("band", "cls", "comp").join(_shared_sizes(rows, texts), "cls")
+            least = rows.groupBy("band").agg(F.min("n").alias("least"))
+            rows, bounded = mixed(rows.join(least, "band").filter(reaches(F.col("shared"), F.col("n"), F.col("least")))), True
         if rows.isEmpty():
             return labels
         slot = F.pmod(F.xxhash64("cls", F.lit(leaders_each)), F.lit(leaders_each))
-        leaders = stage(rows.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("cls", "comp")).alias("lead")).select(
-            "band", F.col("lead.cls").alias("lead"), F.col("lead.comp").alias("lead_comp")))
-        pairs = rows.join(leaders, "band").filter("comp != lead_comp").select(
-            F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
+        leaders = stage(rows.groupBy("band", slot.alias("slot")).agg(
+            F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "cls", "comp", "n", "shared")).alias("lead")).select("band", "lead"))
+        pairs = rows.join(leaders, "band").filter(
+            (F.col("comp") != F.col("lead.comp")) & reaches(F.least("shared", "lead.shared"), F.col("n"), F.col("lead.n"))).select(
+            F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct()
         links = stage(_verified(pairs, texts, percent))
         # A leader has met all others of its bucket.
-        buckets = stage(rows.select("band", "cls").join(leaders.select("band", F.col("lead").alias("cls")), ["band", "cls"], "left_anti"))
+        met = leaders.select("band", F.col("lead.cls").alias("cls"))
+        buckets = stage(rows.select("band", "cls", "n", "shared").join(met, ["band", "cls"], "left_anti"))
         labels = components(labels, links)
         leaders_each = min(64, leaders_each * 8)
 
@@ -177,12 +208,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     describe = F.pandas_udf(_describe, "n int, cls binary, bands array<long>")
     described = stage(rows.select("id", "row_key", describe("text").alias("d")).select("id", "row_key", "d.*"))
     classes = stage(described.filter("n > 0").groupBy("cls").agg(
-        F.min("id").alias("id"), F.min("row_key").alias("row_key"), F.max("bands").alias("bands")))
+        F.min("id").alias("id"), F.min("row_key").alias("row_key"), F.max("n").alias("n"), F.max("bands").alias("bands")))
     banded = classes.select("cls", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     buckets = stage(banded.join(shared, "band", "left_semi"))
-    members = buckets.select("cls").distinct().join(classes.select("cls", "row_key"), "cls")
-    texts = stage(rows.join(members, "row_key").select("cls", "text").dropDuplicates(["cls"]))
+    members = buckets.select("cls").distinct().join(classes.select("cls", "row_key", "n"), "cls")
+    texts = stage(rows.join(members, "row_key").select("cls", "n", "text").dropDuplicates(["cls"]))
     linked = _linked_classes(buckets, texts, percent)
     named = classes.select("cls", "id").join(linked, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
