@@ -25,7 +25,7 @@ WINDOW_BYTES = 100
 SAMPLE_BYTES = 32
 PIECE_BYTES = 1 << 21
 # Bytes of surroundings that one transform holds (whole places only).
-TRANSFORM_BYTES = 1 << 20
+TRANSFORM_BYTES = 1 << 18
 # A place with more different surroundings has its windows compared by 128-bit hashes, spread over tasks.
 MOST_SURROUNDINGS = 2000
 
@@ -76,9 +76,14 @@ def places_of(data: np.ndarray, end: np.ndarray, window: int, sample: int = SAMP
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes by their first ``depth`` symbols or more, and each suffix's place in it."""
     n = len(symbols)
-    rank = symbols.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    length = 1
+    # The first four symbols at once: a quarter of a number each.
+    base = int(symbols.max(initial=0)) + 2
+    rank, length = symbols.astype(np.int64) + 1, 1
+    while length < 4 and base ** (length + 1) < 1 << 62:
+        rank = rank * base
+        rank[: n - length] += symbols[length:] + 1
+        length += 1
+    order = np.argsort(rank)
     while True:
         new = np.ones(n, dtype=bool)
         new[1:] = rank[order[1:]] != rank[order[:-1]]
@@ -89,7 +94,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         key = dense * (n + 1)
         key[: n - length] += dense[length:]
         rank, length = key, length * 2
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
     return order, place
@@ -183,11 +188,13 @@ def _places(window: int):
 def _segments(window: int):
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for owner, text, spans in zip(batch["owner"], batch["text"], batch["spans"], strict=True):
-                data = as_bytes(text)
-                yield pd.DataFrame({
-                    "key": [s["key"] for s in spans], "owner": owner, "start": np.array([s["start"] for s in spans], dtype=np.int32),
-                    "segment": [data[s["start"] : s["start"] + s["count"] - 1 + window] for s in spans]})
+            for at in range(0, len(batch), 500):
+                out: list[tuple] = []
+                part = batch.iloc[at : at + 500]
+                for owner, text, spans in zip(part["owner"], part["text"], part["spans"], strict=True):
+                    data = as_bytes(text)
+                    out += [(s["key"], owner, s["start"], data[s["start"] : s["start"] + s["count"] - 1 + window]) for s in spans]
+                yield pd.DataFrame(out, columns=["key", "owner", "start", "segment"])
 
     return segments
 
