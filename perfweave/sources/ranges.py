@@ -16,6 +16,7 @@ import re
 import sys
 from bisect import bisect_left
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,11 @@ RECORD_SCHEMA = (
 
 def open_log(path: str):
     """Random-access file on any store Arrow knows (local or mounted, HDFS, S3, GCS)."""
-    uri = re.sub(r"^s3[an]:", "s3:", path)
-    fs, inner = pafs.FileSystem.from_uri(uri)
+    # Spark lists paths as they are named, with blanks and percent signs; in a URI these are escaped.
+    if path.startswith("/"):
+        return pafs.LocalFileSystem().open_input_file(path)
+    scheme, _, rest = path.partition(":")
+    fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]$", "s3", scheme) + ":" + quote(rest, safe="/@:[]"))
     return fs.open_input_file(inner)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,10 +63,14 @@ def tail_into_store(
     By default it takes what is there and stops; pass ``trigger`` for a running import.
     ``clock`` gives the time that import window and duplicate horizon count from.
     """
+    def mark() -> str:
+        # The id that a checkpoint keeps over restarts: another checkpoint counts its own batches.
+        return f"{query}:{json.loads(spark.read.text(f'{checkpoint}/metadata').first()[0])['id']}"
+
     stream = tail_logs(spark, data_dir, config, finalize, config.import_cutoff(clock()), max_bytes)
     return (
         stream.writeStream.foreachBatch(
-            lambda df, batch_id: store_batch(df, batch_id, store, query, clock(), config)
+            lambda df, batch_id: store_batch(df, batch_id, store, mark(), clock(), config)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

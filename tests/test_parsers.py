@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from perfweave.operators.parse_cpu import block_reports, block_stats, cpu_quarantine, identified, parse_blocks
 from perfweave.operators.parse_slow import parse_slow, slow_quarantine, slow_rows
 
-HEAD = "[12/3/2026 16:30:56]"
+HEAD = "[2/3/2026 9:12:4]"
 
 
 def slow(spark, *lines, tz="UTC"):
@@ -18,16 +18,16 @@ def one(spark, line, tz="UTC"):
 
 
 @pytest.mark.parametrize("line, want", [
-    (f"{HEAD} Execution time: 32 ms - a(b) - x", (1773333056, 32, "a(b)", "x")),
-    (f"{HEAD} Execution time: 32 ms - savePlayer - Mohamed\r\n", (1773333056, 32, "savePlayer", "Mohamed")),
-    (f"{HEAD} Execution time: 32 ms - savePlayer - AVeryLongName", (1773333056, 32, "AVeryLongName", "AVeryLongName")),
-    (f"{HEAD} Execution time: 5 ms - SELECT 1 - SELECT 1", (1773333056, 5, "SELECT 1", "SELECT 1")),
-    (f"{HEAD} Execution time: 5 ms - SELECT a - b - SELECT a - b", (1773333056, 5, "SELECT a - b - SELECT a", "b")),
-    (f"{HEAD} Execution time: 7 ms - a ms - b - c", (1773333056, 7, "a ms - b", "c")),
-    (f"{HEAD} Execution time: x7 ms - a - b", (1773333056, 0, "a", "b")),
-    (f"{HEAD} Execution time:  -7.9 ms - a - b", (1773333056, -7, "a", "b")),
-    (f"{HEAD} Execution time: 5 ms -   - ", (1773333056, 5, "", "")),
-    (f"{HEAD}?Execution time: 5 ms - a - b", (1773333056, 5, "a", "b")),
+    (f"{HEAD} Execution time: 32 ms - a(b) - x", (1772442724, 32, "a(b)", "x")),
+    (f"{HEAD} Execution time: 32 ms - savePlayer - Renata7\r\n", (1772442724, 32, "savePlayer", "Renata7")),
+    (f"{HEAD} Execution time: 32 ms - savePlayer - QuiteALongOne", (1772442724, 32, "QuiteALongOne", "QuiteALongOne")),
+    (f"{HEAD} Execution time: 5 ms - SELECT 1 - SELECT 1", (1772442724, 5, "SELECT 1", "SELECT 1")),
+    (f"{HEAD} Execution time: 5 ms - SELECT a - b - SELECT a - b", (1772442724, 5, "SELECT a - b - SELECT a", "b")),
+    (f"{HEAD} Execution time: 7 ms - a ms - b - c", (1772442724, 7, "a ms - b", "c")),
+    (f"{HEAD} Execution time: x7 ms - a - b", (1772442724, 0, "a", "b")),
+    (f"{HEAD} Execution time:  -7.9 ms - a - b", (1772442724, -7, "a", "b")),
+    (f"{HEAD} Execution time: 5 ms -   - ", (1772442724, 5, "", "")),
+    (f"{HEAD}?Execution time: 5 ms - a - b", (1772442724, 5, "a", "b")),
     (f"{HEAD} Execution time: 5 ms - only", None),
     (f"{HEAD}  Execution time: 5 ms - a - b", None),
     ("no bracket", None), ("[no end", None), ("", None), ("\r\n", None),
@@ -41,7 +41,7 @@ def test_slow_line(spark, line, want):
 
 
 def test_slow_time_zone(spark):
-    assert one(spark, f"{HEAD} Execution time: 5 ms - a - b", "Europe/Warsaw")[0] == 1773333056 - 3600
+    assert one(spark, f"{HEAD} Execution time: 5 ms - a - b", "Europe/Warsaw")[0] == 1772442724 - 3600
 
 
 def test_slow_bytes_are_kept(spark):
@@ -83,7 +83,7 @@ def row(t, name, rel="1.5", real="2.5"):
 def test_block_basics(spark):
     text = f"{HEAD}\n{META}{HDR}{row(1, 'a')}{row(2, 'b c')}\n"
     r = block(spark, text).first()
-    assert (r.status, r.reported_at, r.lines, r.n_stats) == ("ok", 1773333056, 6, 2)
+    assert (r.status, r.reported_at, r.lines, r.n_stats) == ("ok", 1772442724, 6, 2)
     assert (r.thread_id, r.cpu_usage, r.idle, r.other, r.players_online) == (1, 1.5, 98.25, -0.25, 7)
     assert stats(spark, text) == [(1, 3, 1.5, 2.5, "a"), (2, 3, 1.5, 2.5, "b c")]
 

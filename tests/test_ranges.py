@@ -99,3 +99,10 @@ def test_seek_is_not_misled_by_a_long_tail():
     first = ranges.first_stamp(io.BytesIO(data), 0, len(data), "UTC")[0]
     at = ranges.seek_offset(io.BytesIO(data), len(data), first + 5, "UTC", 64)
     assert data[at:].startswith(b"[1/2/2024 3:0:5]")
+
+
+def test_paths_with_blanks_and_percent_signs(tmp_path):
+    for name in ("lua_slow copy.log", "lua 100%.log", "lua%20slow.log"):
+        (tmp_path / name).write_bytes(b"abc")
+        for path in (f"{tmp_path}/{name}", f"file://{tmp_path}/{name}", f"file:{tmp_path}/{name}"):
+            assert ranges.open_log(path).read() == b"abc"

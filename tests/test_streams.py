@@ -142,3 +142,14 @@ def test_watermarked_streams(spark, tmp_path):
     points = drain(spark, slow_overview_stream(stream, "1 minute"), str(tmp_path / "b")).collect()
     assert sum(p.event_count for p in points) == 200
     assert all(p.bucket_time % 30 == 0 for p in points)
+
+
+def test_two_checkpoints_into_one_store(spark, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"))
+    for name, at in (("one", 1773400000), ("two", 1773400100)):
+        stamp = datetime.fromtimestamp(at, timezone.utc)
+        line = slow_line(f"{stamp.day}/{stamp.month}/{stamp.year} {stamp.hour}:{stamp.minute}:{stamp.second}", name=name)
+        data = write_logs(tmp_path / name, {"lua_slow.log": line, "lua_slow copy.log": ""})
+        tail_into_store(spark, data, store, str(tmp_path / f"checkpoint {name}"), lambda: 1773500000, finalize=True).awaitTermination()
+    assert {r.description for r in store.tables().descriptions.collect()} == {"one", "two"}
+    assert store.tables().slow_events.count() == 2
