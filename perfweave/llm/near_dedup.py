@@ -27,6 +27,12 @@ BANDS, BAND_ROWS = 32, 4
 PERCENT = 75
 # A text's signature is computed over so many shingles at a time.
 _CHUNK = 8192
+# Leaders of a bucket in one round after the first; fewer where their sets could exceed LEADER_SHINGLES.
+LEADERS = 512
+LEADER_SHINGLES = 1_000_000
+# Rows of a bucket that one task compares with the leaders, and shingle meetings counted at a time.
+BLOCK_ROWS = 2000
+_MEETINGS = 8_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -121,6 +127,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInPandas(check, "a binary, b binary")
 
 
+class _Leaders:
+    """Sets of a bucket's leaders, by shingle."""
+
+    def __init__(self, sets: list[np.ndarray], comps: list[bytes]):
+        self.comps, self.sizes = comps, np.array([len(s) for s in sets])
+        shingles = np.concatenate(sets)
+        by = np.argsort(shingles, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[by]
+        self.keys, self.first, self.times = np.unique(shingles[by], return_index=True, return_counts=True)
+
+    def links(self, sets: list[np.ndarray], comps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """``row, leader`` of similar sets, one pair for any two components."""
+        sizes, shingles = np.array([len(s) for s in sets]), np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        met = self.keys[at] == shingles
+        at, row = at[met], row[met]
+        times = self.times[at]
+        each = np.repeat(self.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        width = len(self.sizes)
+        shared = np.bincount(np.repeat(row, times) * width + self.owner[each], minlength=len(sets) * width).reshape(len(sets), width)
+        number: dict[bytes, int] = {}
+        mine, theirs = (np.array([number.setdefault(c, len(number)) for c in cs]) for cs in (comps, self.comps))
+        good = (shared > 0) & (100 * shared >= percent * (sizes[:, None] + self.sizes - shared)) & (mine[:, None] != theirs)
+        row, leader = np.nonzero(good)
+        _, one = np.unique(mine[row] * len(number) + theirs[leader], return_index=True)
+        return row[one], leader[one]
+
+
+def _compared(percent: int):
+    """Blocks come in, a bucket's leaders (role 0) before its rows; links of different components go out."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, index, leaders, rows, size = None, None, [], [], 0
+
+        def settle() -> pd.DataFrame:
+            row, leader = index.links([r[2] for r in rows], [r[1] for r in rows], percent)
+            return pd.DataFrame({"a": [rows[i][0] for i in row], "b": [leaders[i][0] for i in leader]})
+
+        for batch in batches:
+            columns = (batch[c] for c in ("band", "part", "role", "cls", "comp", "text"))
+            for band, part, role, cls, comp, text in zip(*columns, strict=True):
+                if rows and (block != (band, part) or size * len(leaders) >= _MEETINGS or len(rows) * len(leaders) >= _MEETINGS):
+                    yield settle()
+                    rows, size = [], 0
+                if block != (band, part):
+                    block, index, leaders = (band, part), None, []
+                shingles = shingle_set(text)
+                if role == 0:
+                    leaders.append((cls, comp, shingles))
+                    continue
+                index = index or _Leaders([x[2] for x in leaders], [x[1] for x in leaders])
+                rows.append((cls, comp, shingles))
+                size += len(shingles)
+        if rows:
+            yield settle()
+
+    return compare
+
+
+def _block_links(rows: DataFrame, leaders: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between the rows of each bucket and its leaders.
+
+    A bucket is cut into parts of some ``BLOCK_ROWS`` rows, and its leaders go to every part; a text moves
+    once for its bucket, not once for a pair.
+    """
+    parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    ours = rows.select("band", F.pmod(F.xxhash64("cls", F.lit("part")), parts).cast("int").alias("part"), F.lit(1).alias("role"), "cls", "comp")
+    theirs = leaders.select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "lead.cls", "lead.comp")
+    blocks = ours.unionByName(theirs).join(texts.select("cls", "text"), "cls")
+    return blocks.repartition("band", "part").sortWithinPartitions("band", "part", "role").mapInPandas(_compared(percent), "a binary, b binary")
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``cls, comp`` after merging along ``links`` (``a, b``): each component takes its smallest label.
 
@@ -171,29 +249,36 @@ def _linked_classes(buckets: DataFrame, texts: DataFrame, percent: int) -> DataF
     leaders_each, bounded = 1, False
     reaches = lambda shared, n, m: (100 + percent) * shared >= percent * (n + m)
     buckets = buckets.withColumn("n", F.lit(1)).withColumn("shared", F.lit(1))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of buckets of several components, with the bucket's rows (``m``) and largest set (``most``)."""
+        rows = rows.select("band", "cls", "comp", "n", "shared")
+        of_band = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"), F.max("n").alias("most"))
+        return stage(rows.join(of_band.filter("low != high").select("band", "m", "most"), "band"))
+
     while True:
-        rows = buckets.join(labels, "cls")
-        mixed = lambda r: stage(r.join(r.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(
-            "low != high").select("band"), "band", "left_semi").select("band", "cls", "comp", "n", "shared"))
-        rows = mixed(rows)
+        rows = mixed(buckets.join(labels, "cls"))
         if leaders_each > 1 and not bounded and not rows.isEmpty():
             rows = rows.select("band", "cls", "comp").join(_shared_sizes(rows, texts), "cls")
             least = rows.groupBy("band").agg(F.min("n").alias("least"))
             rows, bounded = mixed(rows.join(least, "band").filter(reaches(F.col("shared"), F.col("n"), F.col("least")))), True
         if rows.isEmpty():
             return labels
-        slot = F.pmod(F.xxhash64("cls", F.lit(leaders_each)), F.lit(leaders_each))
-        leaders = stage(rows.groupBy("band", slot.alias("slot")).agg(
-            F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "cls", "comp", "n", "shared")).alias("lead")).select("band", "lead"))
-        pairs = rows.join(leaders, "band").filter(
-            (F.col("comp") != F.col("lead.comp")) & reaches(F.least("shared", "lead.shared"), F.col("n"), F.col("lead.n"))).select(
-            F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct()
-        links = stage(_verified(pairs, texts, percent))
+        slots = F.greatest(F.lit(1), F.least(F.lit(leaders_each), F.floor(F.lit(LEADER_SHINGLES) / F.col("most"))))
+        slot = F.pmod(F.xxhash64("cls", F.lit(leaders_each)), slots)
+        leaders = stage(rows.groupBy("band", "m", slot.alias("slot")).agg(
+            F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "cls", "comp")).alias("lead")).select("band", "m", "lead"))
+        if leaders_each == 1:
+            pairs = rows.join(leaders.select("band", "lead"), "band").filter(F.col("comp") != F.col("lead.comp")).select(
+                F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct()
+            links = stage(_verified(pairs, texts, percent))
+        else:
+            links = stage(_block_links(rows, leaders, texts, percent))
         # A leader has met all others of its bucket.
         met = leaders.select("band", F.col("lead.cls").alias("cls"))
         buckets = stage(rows.select("band", "cls", "n", "shared").join(met, ["band", "cls"], "left_anti"))
         labels = components(labels, links)
-        leaders_each = min(64, leaders_each * 8)
+        leaders_each = LEADERS
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
