@@ -41,48 +41,61 @@ def _hashes(tokens: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64)
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """Keys of neighbouring words."""
-    u = h.view(np.uint64)
-    return ((u[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (u[1:] + (u[:-1] >> np.uint64(29)))).view(np.int64)
+class _Places(dict):
+    """Places of words among a model's, -1 for all others; filled as words are met, and emptied when too full."""
+
+    def __init__(self, word: np.ndarray):
+        super().__init__()
+        self.word = word
+
+    def __missing__(self, token: str) -> int:
+        h = _hashes([token])[0]
+        at = int(np.searchsorted(self.word, h))
+        if len(self) >= 500_000:
+            self.clear()
+        self[token] = at if at < len(self.word) and self.word[at] == h else -1
+        return self[token]
 
 
 @dataclass
 class Model:
-    """Arrays sorted by key; column 0 is the toxic class, 1 the ordinary one."""
+    """Arrays by a word's place in ``word`` (sorted hashes); column 0 is the toxic class, 1 the ordinary one."""
 
     word: np.ndarray
     # P(w) of each class, and of each class the total and the number of followers of w.
     p_word: np.ndarray
     follow_total: np.ndarray
     follow_kinds: np.ndarray
+    # Places of neighbouring words as one number, sorted.
     pair: np.ndarray
     pair_count: np.ndarray
     # Log ratio of a word that neither class has: both fall back to the shared level.
     unseen: float
     curve: tuple[float, float, float] = (10.0, 2.0, -6.0)
+    places: _Places | None = None
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Log-likelihood ratio per word: over all words, and over the ``STRONGEST`` most telling ones."""
         tokens = words(text)
         if not tokens or not len(self.word):
             return 0.0, 0.0
-        h = _hashes(tokens)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        known = self.word[at] == h
-        p = np.where(known[:, None], self.p_word[at], 0.0)
-        base = np.where(known, 0.0, self.unseen)
-        if len(h) > 1 and len(self.pair):
-            key = _pairs(h)
+        if self.places is None:
+            self.places = _Places(self.word)
+        at = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
+        known = at >= 0
+        p = self.p_word[at]
+        both = np.flatnonzero(known[1:] & known[:-1])
+        if len(both) and len(self.pair):
+            before, word = at[both], at[both + 1]
+            key = before * len(self.word) + word
             k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             count = np.where((self.pair[k] == key)[:, None], self.pair_count[k], 0)
-            total = np.where(known[:-1, None], self.follow_total[at[:-1]], 0)
-            kinds = np.where(known[:-1, None], self.follow_kinds[at[:-1]], 0)
-            mixed = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * p[1:]) / np.maximum(total, 1)
-            p = np.vstack([p[:1], np.where(total > 0, mixed, p[1:])])
-        ratio = base.copy()
+            total, lower = self.follow_total[before], p[both + 1]
+            mixed = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * self.follow_kinds[before] * lower) / np.maximum(total, 1)
+            p[both + 1] = np.where(total > 0, mixed, lower)
+        ratio = np.full(len(at), self.unseen)
         ratio[known] = np.log(p[known, 0]) - np.log(p[known, 1])
-        strongest = np.partition(ratio, -STRONGEST)[-STRONGEST:] if len(h) > STRONGEST else ratio
+        strongest = np.partition(ratio, -STRONGEST)[-STRONGEST:] if len(at) > STRONGEST else ratio
         return float(ratio.mean()), float(strongest.sum()) / STRONGEST
 
     def score(self, text: str | None) -> float:
@@ -97,14 +110,18 @@ def fold(doc_id: Column) -> Column:
 
 
 def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many documents of a batch each word occurs, by the word's hash."""
+    """In how many documents of a task each word occurs, by the word's hash."""
+    def counted(seen: Counter[str]) -> pd.DataFrame:
+        return pd.DataFrame({"word": _hashes(list(seen)), "docs": np.fromiter(seen.values(), np.int64, len(seen))})
+
+    seen: Counter[str] = Counter()
     for batch in batches:
-        texts = batch["text"].tolist()
-        for at in range(0, len(texts), 2000):
-            seen: Counter[str] = Counter()
-            for text in texts[at : at + 2000]:
-                seen.update(set(words(text)))
-            yield pd.DataFrame({"word": _hashes(list(seen)), "docs": np.fromiter(seen.values(), np.int64, len(seen))})
+        for text in batch["text"]:
+            seen.update(set(words(text)))
+            if len(seen) > 200_000:
+                yield counted(seen)
+                seen.clear()
+    yield counted(seen)
 
 
 def _class_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,27 +136,27 @@ def _class_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"toxic": int(toxic), "before": keys[:, 0], "word": keys[:, 1], "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` labelled rows of each class, and up to ``TRAIN_CHARS`` characters of them: those
-    with the smallest hashes. ``rows`` holds lengths, not texts."""
-    by = Window.partitionBy("toxic").orderBy("rank", "id")
-    placed = rows.withColumn("place", F.row_number().over(by)).withColumn("chars", F.sum("length").over(by))
-    return placed.filter((F.col("place") <= most) & (F.col("chars") <= TRAIN_CHARS)).select("id", "toxic")
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``toxic, curve, text`` of a sample of the labelled rows; ``curve`` marks fold 1, fold 0 has none.
 
-
-def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) -> DataFrame:
-    known = labels.filter(F.col("toxic").isin(0, 1) & fold(F.col("id")).isin(*folds)).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    Of each class and mark it has up to ``most`` rows and ``TRAIN_CHARS`` characters, those with the
+    smallest hashes of their ids. Up to twice as many labels are looked up, which bounds what is broadcast.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("id")) > 0)).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = known.withColumn("curve", fold(F.col("id")) == 1).withColumn("rank", F.xxhash64("id", F.lit("sample")))
+    sizes = known.groupBy("toxic", "curve").agg(F.count(F.lit(1)).alias("n")).collect()
     # A hash below the mark leaves some twice the rows asked for, before they are ranked.
-    rank = F.xxhash64("id", F.lit("sample"))
-    known = known.withColumn("rank", rank)
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    marks = {t: (min(1.0, 2 * most / n + 100 / n) * 2 - 1) * (1 << 63) for t, n in sizes.items()}
-    near = known.filter(F.lit(False) if not marks else F.coalesce(*[
-        F.when((F.col("toxic") == t) & (F.col("rank") <= F.lit(int(max(-(1 << 63), min((1 << 63) - 1, m))))), True) for t, m in marks.items()
-    ], F.lit(False)))
-    texts = docs.join(near, "id")
-    chosen = _sample(texts.select("id", "toxic", "rank", F.length("text").alias("length")), most)
-    return docs.join(chosen.groupBy("id").agg(F.max("toxic").alias("toxic")), "id").select("toxic", "text")
+    low = F.lit(False)
+    for r in sizes:
+        mark = (min(1.0, (2 * most + 100) / r["n"]) * 2 - 1) * (1 << 63)
+        low |= (F.col("toxic") == r["toxic"]) & (F.col("curve") == r["curve"]) & (F.col("rank") <= min((1 << 63) - 1, int(mark)))
+    by = Window.partitionBy("toxic", "curve").orderBy("rank", "id")
+    near = known.filter(low).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= 2 * most).drop("place")
+    texts = stage(docs.join(F.broadcast(near), "id").select("id", "toxic", "curve", "rank", "text"))
+    placed = texts.select("id", "toxic", "curve", "rank", F.length("text").alias("length")).withColumn(
+        "place", F.row_number().over(by)).withColumn("chars", F.sum("length").over(by))
+    chosen = placed.filter((F.col("place") <= most) & (F.col("chars") <= TRAIN_CHARS)).select("id").distinct()
+    return texts.join(chosen, "id", "left_semi").select("toxic", "curve", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
@@ -149,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     rows; labelled rows are a sample of at most ``train_docs`` of a class, and of them the models hold at
     most ``MODEL_WORDS`` words and ``MODEL_PAIRS`` pairs, the most frequent.
     """
-    pairs = stage(_labelled(docs, labels, list(range(2, FOLDS)), train_docs).mapInPandas(
+    sample = stage(_labelled(docs, labels, train_docs))
+    pairs = stage(sample.filter("NOT curve").select("toxic", "text").mapInPandas(
         _class_pairs, "toxic int, before long, word long, n long").groupBy("toxic", "before", "word").agg(F.sum("n").alias("n")))
     each = [F.col("toxic") == 1, F.col("toxic") == 0]
     count = lambda c, i: F.coalesce(F.sum(F.when(each[i], c)), F.lit(0))
@@ -168,26 +186,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     shared = (vocabulary["docs"].to_numpy() + 0.5) / (sums["docs"] + 0.5 * (sums["words"] + 1))
     left = np.array([DISCOUNT * kinds.loc[t, "words"] / kinds.loc[t, "pairs"] for t in (1, 0)])
     p = np.stack([np.maximum(vocabulary[f"kinds{i}"].to_numpy() - DISCOUNT, 0) / kinds.loc[1 - i, "pairs"] + left[i] * shared for i in (0, 1)], 1)
-    before_word = frequent[["before", "word"]].to_numpy(np.int64)
-    key = np.array([_pairs(row)[0] for row in before_word], dtype=np.int64)
+    word = vocabulary["word"].to_numpy(np.int64)
+    places = [np.minimum(np.searchsorted(word, frequent[c].to_numpy(np.int64)), len(word) - 1) for c in ("before", "word")]
+    held = (word[places[0]] == frequent["before"]) & (word[places[1]] == frequent["word"])
+    key = (places[0] * len(word) + places[1])[held]
     order = np.argsort(key)
     model = Model(
-        vocabulary["word"].to_numpy(np.int64), p, vocabulary[["total0", "total1"]].to_numpy(np.float64),
-        vocabulary[["follow0", "follow1"]].to_numpy(np.float64), key[order], frequent[["n0", "n1"]].to_numpy(np.float64)[order],
+        word, p, vocabulary[["total0", "total1"]].to_numpy(np.float64),
+        vocabulary[["follow0", "follow1"]].to_numpy(np.float64), key[order], frequent[["n0", "n1"]].to_numpy(np.float64)[held][order],
         unseen=float(np.log(left[0] / left[1])))
-    model.curve = _fit_curve(docs, labels, model, train_docs)
+    model.curve = _fit_curve(sample.filter("curve").select("toxic", "text"), model)
     return model
 
 
-def _fit_curve(docs: DataFrame, labels: DataFrame, model: Model, train_docs: int) -> tuple[float, float, float]:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _fit_curve(sample: DataFrame, model: Model) -> tuple[float, float, float]:
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = np.array([shared.value.evidence(t) for t in batch["text"]]).reshape(-1, 2)
             yield pd.DataFrame({"toxic": batch["toxic"], "a": got[:, 0], "b": got[:, 1]})
 
-    seen = _labelled(docs, labels, [1], train_docs).mapInPandas(measure, "toxic int, a double, b double").toPandas()
+    seen = sample.mapInPandas(measure, "toxic int, a double, b double").toPandas()
     y = seen["toxic"].to_numpy(float)
     if len(y) < 8 or y.min() == y.max():
         return model.curve
