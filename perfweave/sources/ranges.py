@@ -41,13 +41,18 @@ RECORD_SCHEMA = (
 )
 
 
-def open_log(path: str):
-    """Random-access file on any store Arrow knows (local or mounted, HDFS, S3, GCS)."""
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store a path lies on, and the path there."""
     # Spark lists paths as they are named, with blanks and percent signs; in a URI these are escaped.
     if path.startswith("/"):
-        return pafs.LocalFileSystem().open_input_file(path)
+        return pafs.LocalFileSystem(), path
     scheme, _, rest = path.partition(":")
-    fs, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]$", "s3", scheme) + ":" + quote(rest, safe="/@:[]"))
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]$", "s3", scheme) + ":" + quote(rest, safe="/@:[]"))
+
+
+def open_log(path: str):
+    """Random-access file on any store Arrow knows (local or mounted, HDFS, S3, GCS)."""
+    fs, inner = file_system(path)
     return fs.open_input_file(inner)
 
 

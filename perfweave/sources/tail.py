@@ -8,6 +8,7 @@ between two positions are cut into ranges that tasks read independently.
 
 from __future__ import annotations
 
+import json
 import sys
 
 import pyarrow as pa
@@ -43,43 +44,87 @@ class _TailReader(DataSourceStreamReader):
         self.finalize = options.get("finalize", "false").lower() == "true"
         self.cutoff = int(options["cutoff"]) if "cutoff" in options else None
         self.log_tz = options.get("logTz", "UTC")
-        self.seen: dict = {}
+        # With a byte limit the position cannot be told from the files; it is kept here over restarts.
+        self.positions = options.get("positions")
+        self.seen: dict | None = None
+        self.known: dict = {}
+        self.turn = 0
 
     def initialOffset(self) -> dict:
         return {}
 
+    def _kept(self) -> dict:
+        if self.positions is None:
+            return {}
+        fs, path = ranges.file_system(self.positions)
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return {}
+        with fs.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def _keep(self, seen: dict) -> None:
+        if self.positions is None:
+            return
+        fs, path = ranges.file_system(self.positions)
+        fs.create_dir(path.rpartition("/")[0])
+        with fs.open_output_stream(f"{path}.new") as f:
+            f.write(json.dumps(seen).encode())
+        fs.move(f"{path}.new", path)
+
+    def _finished(self, fs, info) -> tuple[str | None, int]:
+        """First line's hash and end of the last finished record; files that have not changed are not opened."""
+        state = (info.size, info.mtime_ns)
+        if self.known.get(info.path, (None,))[0] != state:
+            with fs.open_input_file(info.path) as f:
+                first = ranges.first_line_hash(f)
+                end = info.size if self.finalize else ranges.open_tail_offset(f, info.size, 0, _holds_blocks(info.base_name))
+            self.known[info.path] = (state, first, end)
+        return self.known[info.path][1:]
+
+    def _step(self, fs, info, at: int, end: int, left: int) -> int:
+        """End of the whole records from ``at`` that ``left`` bytes hold; the first one's if a fresh limit holds none."""
+        blocks = _holds_blocks(info.base_name)
+        with fs.open_input_file(info.path) as f:
+            cut = ranges.open_tail_offset(f, at + left, at, blocks)
+            if cut > at or left < self.max_bytes:
+                return cut
+            _, records = next(ranges.read_range(f, at, at + 1, at, blocks, limit=end))
+            return at + len(records[0].as_py())
+
     def latestOffset(self) -> dict:
         """Position of every log up to its last finished record.
 
-        With ``maxBytesPerBatch`` the step from the last position is cut at a record's start.
-        (After a restart the first step is whole: the position it starts from is not known yet.)
+        With ``maxBytesPerBatch`` all files together advance by that many bytes at most, in whole records;
+        a longer record is a step of its own. Files take turns in coming first.
         """
-        uri = self.folder if "://" in self.folder else self.folder.removeprefix("file:")
-        fs, base = pafs.FileSystem.from_uri(uri)
-        budget = self.max_bytes or None
+        fs, base = ranges.file_system(self.folder)
+        if self.seen is None:
+            self.seen = self._kept()
+        left = self.max_bytes
+        logs = sorted(
+            (i for i in fs.get_file_info(pafs.FileSelector(base))
+             if i.type == pafs.FileType.File and i.base_name.endswith(".log") and i.size),
+            key=lambda i: i.path,
+        )
+        turn = self.turn % max(1, len(logs))
+        self.turn += 1
         now = {}
-        for info in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda i: i.path):
-            name = info.base_name
-            if info.type != pafs.FileType.File or not name.endswith(".log") or not info.size:
+        for info in logs[turn:] + logs[:turn]:
+            old = self.seen.get(info.base_name)
+            first, end = self._finished(fs, info)
+            if first is None:
                 continue
-            old = self.seen.get(name)
-            with fs.open_input_file(info.path) as f:
-                first = ranges.first_line_hash(f)
-                if first is None:
-                    continue
-                at = old["at"] if old and old["first"] == first else 0
-                blocks = _holds_blocks(name)
-                end = info.size if self.finalize else ranges.open_tail_offset(f, info.size, 0, blocks)
-                if budget is not None and end - at > budget:
-                    end = ranges.open_tail_offset(f, at + budget, at, blocks)
-                    if end <= at:  # one record larger than the budget: take it whole
-                        end = info.size if self.finalize else ranges.open_tail_offset(f, info.size, 0, blocks)
+            at = old["at"] if old and old["first"] == first else 0
             end = max(end, at)
-            if budget is not None:
-                budget = max(0, budget - (end - at))
+            if self.max_bytes:
+                if end - at > left:
+                    end = self._step(fs, info, at, end, left) if left > 0 else at
+                left -= end - at
             if end or old:
-                now[name] = {"first": first, "at": end}
-        self.seen = {**self.seen, **now}
+                now[info.base_name] = {"first": first, "at": end}
+        if {**self.seen, **now} != self.seen:
+            self.seen = {**self.seen, **now}
+            self._keep(self.seen)
         return self.seen
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
@@ -129,8 +174,16 @@ def tail_logs(
     finalize: bool = False,
     cutoff: int | None = None,
     max_bytes: int = 0,
+    positions: str | None = None,
 ) -> DataFrame:
-    """Stream of raw records with source, type and severity from the file name."""
+    """Stream of raw records with source, type and severity from the file name.
+
+    ``max_bytes`` limits a micro-batch and needs a running trigger: Spark asks a Python source once under
+    ``availableNow``. It also needs ``positions``, a file on shared storage, one for each checkpoint, from
+    which a restarted stream takes up its position.
+    """
+    if max_bytes and positions is None:
+        raise ValueError("max_bytes needs a file for positions")
     if any("_slow" in s for s in config.sources):
         raise ValueError("source names containing '_slow' cannot be tailed")
     spark.dataSource.register(LogTail)
@@ -142,6 +195,8 @@ def tail_logs(
         .option("finalize", str(finalize).lower())
         .option("logTz", config.log_tz)
     )
+    if max_bytes:
+        reader = reader.option("positions", positions)
     if cutoff is not None:
         reader = reader.option("cutoff", cutoff)
     return classify_files(reader.load(), config)

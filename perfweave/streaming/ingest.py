@@ -61,18 +61,23 @@ def tail_into_store(
     """Starts importing what is appended under ``data_dir``.
 
     By default it takes what is there and stops; pass ``trigger`` for a running import.
-    ``clock`` gives the time that import window and duplicate horizon count from.
+    ``clock`` gives the time that import window and duplicate horizon count from. ``max_bytes`` limits
+    each batch of a running import; with ``availableNow`` it would leave the rest unread and is refused.
     """
+    trigger = trigger or {"availableNow": True}
+    if max_bytes and trigger.keys() & {"availableNow", "once"}:
+        raise ValueError("max_bytes needs a running trigger")
+
     def mark() -> str:
         # The id that a checkpoint keeps over restarts: another checkpoint counts its own batches.
         return f"{query}:{json.loads(spark.read.text(f'{checkpoint}/metadata').first()[0])['id']}"
 
-    stream = tail_logs(spark, data_dir, config, finalize, config.import_cutoff(clock()), max_bytes)
+    stream = tail_logs(spark, data_dir, config, finalize, config.import_cutoff(clock()), max_bytes, f"{checkpoint}-positions.json")
     return (
         stream.writeStream.foreachBatch(
             lambda df, batch_id: store_batch(df, batch_id, store, mark(), clock(), config)
         )
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
+        .trigger(**trigger)
         .start()
     )

@@ -8,7 +8,7 @@ from perfweave import EngineConfig
 from perfweave.operators.dedup import SLOW_KEY
 from perfweave.plans.ingest import status_counts
 from perfweave.plans.store import open_store
-from perfweave.sources.tail import tail_logs
+from perfweave.sources.tail import _TailReader, tail_logs
 from perfweave.streaming.ingest import store_batch, tail_into_store
 from perfweave.streaming.rollups import dedup_stream, slow_overview_stream, with_event_time
 
@@ -39,8 +39,8 @@ def test_tail_reads_each_record_once(spark, tmp_path):
     def write(cpu, slow):
         write_logs(tmp_path / "d", {"lua.log": cpu, "lua_slow.log": slow, "other.txt": "x", "empty_slow.log": ""})
 
-    def seen(finalize=False, max_bytes=0):
-        rows = drain(spark, tail_logs(spark, data, config, finalize, None, max_bytes), str(tmp_path / "q")).collect()
+    def seen(finalize=False):
+        rows = drain(spark, tail_logs(spark, data, config, finalize, None), str(tmp_path / "q")).collect()
         return sorted((r.type, r.offset, bytes(r.record).decode()) for r in rows)
 
     def want(cpu, slow):
@@ -72,7 +72,7 @@ def test_tail_byte_budget(spark, tmp_path):
     config = EngineConfig(range_bytes=150)
     lines = [slow_line(stamp(NOW - 1000 + i), 10 + i) for i in range(40)]
     data = write_logs(tmp_path / "d", {"lua_slow.log": "".join(lines)})
-    stream = tail_logs(spark, data, config, max_bytes=500)
+    stream = tail_logs(spark, data, config, max_bytes=500, positions=str(tmp_path / "at.json"))
     q = (
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
         .start(str(tmp_path / "sink"))
@@ -85,6 +85,34 @@ def test_tail_byte_budget(spark, tmp_path):
     assert len(batches) > 3 and max(batches) <= 500 // len(lines[0]) + 1
 
 
+def test_byte_budget_over_all_files_and_restarts(spark, tmp_path):
+    lines = [slow_line(stamp(NOW - 1000 + i), 10 + i) for i in range(40)]
+    names = ["lua_slow.log", "lua_slow b.log", "sql_slow.log"]
+    long_line = slow_line(stamp(NOW), 7, name="n" * 3000)
+    data = write_logs(tmp_path / "d", {n: "".join(lines) for n in names} | {"click_slow.log": long_line + lines[0]})
+    options = {"path": data, "maxBytesPerBatch": "1000", "positions": str(tmp_path / "p" / "at.json")}
+    position, records, steps = {}, [], []
+    while True:
+        reader = _TailReader(options)  # a new one each time, as after a restart
+        reader.turn = len(steps)
+        after = reader.latestOffset()
+        if after == position:
+            break
+        assert all(after[n]["at"] >= position[n]["at"] for n in position)
+        steps.append(sum(v["at"] - position.get(n, {"at": 0})["at"] for n, v in after.items()))
+        for part in reader.partitions(position, after):
+            for batch in reader.read(part):
+                records += [(r["file_key"], r["offset"], r["record"]) for r in batch.to_pylist()]
+        position = after
+    assert sorted(r[2].decode() for r in records) == sorted(lines * 3 + [long_line, lines[0]])
+    assert len(set(records)) == len(records)
+    assert sorted(steps)[-1] == len(long_line) and sorted(steps)[-2] <= 1000
+    with pytest.raises(ValueError):
+        tail_logs(spark, data, EngineConfig(), max_bytes=10)
+    with pytest.raises(ValueError):
+        tail_into_store(spark, data, None, str(tmp_path / "c"), lambda: NOW, max_bytes=10)
+
+
 def test_tail_drops_ranges_before_the_window(spark, tmp_path):
     lines = [slow_line(stamp(NOW - 5000 + i)) for i in range(100)]
     data = write_logs(tmp_path / "d", {"lua_slow.log": "".join(lines)})
