@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 
 from perfweave.llm.common import stage, table
 
-# Bounds of the labelled sample (documents of a class) and of the models (entries).
+# Bounds of the labelled sample: documents and characters of a class. The models hold every word and pair of it.
 TRAIN_DOCS = 4096
 TRAIN_CHARS = 20_000_000
-MODEL_WORDS = 400_000
-MODEL_PAIRS = 200_000
 DISCOUNT = 0.75
 STRONGEST = 3
 FOLDS = 5
@@ -41,6 +39,11 @@ def _hashes(tokens: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64)
 
 
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for two words' hashes, modulo 2 ** 64; their order counts."""
+    return before * np.int64(0x1E3779B97F4A7C15) + word
+
+
 class _Places(dict):
     """Places of words among a model's, -1 for all others; filled as words are met, and emptied when too full."""
 
@@ -66,7 +69,7 @@ class Model:
     p_word: np.ndarray
     follow_total: np.ndarray
     follow_kinds: np.ndarray
-    # Places of neighbouring words as one number, sorted.
+    # Hashes of neighbouring words (``pair_hash``), sorted.
     pair: np.ndarray
     pair_count: np.ndarray
     # Log ratio of a word that neither class has: both fall back to the shared level.
@@ -87,7 +90,7 @@ class Model:
         both = np.flatnonzero(known[1:] & known[:-1])
         if len(both) and len(self.pair):
             before, word = at[both], at[both + 1]
-            key = before * len(self.word) + word
+            key = pair_hash(self.word[before], self.word[word])
             k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             count = np.where((self.pair[k] == key)[:, None], self.pair_count[k], 0)
             total, lower = self.follow_total[before], p[both + 1]
@@ -159,12 +162,27 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return texts.join(chosen, "id", "left_semi").select("toxic", "curve", "text")
 
 
+def _collected(rows: DataFrame, turn: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """``width`` whole numbers a row on the driver, eight bytes each: the tasks turn and pack the rows."""
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"data": [turn(batch.to_numpy(np.int64)).tobytes()]})
+
+    parts = [r["data"] for r in rows.mapInPandas(packed, "data binary").collect()]
+    return np.frombuffer(b"".join(parts), np.int64).reshape(-1, width)
+
+
+def _packed_pairs(rows: np.ndarray) -> np.ndarray:
+    """``before, word, n0, n1`` as the pair's hash and both counts in one number."""
+    return np.stack([pair_hash(rows[:, 0], rows[:, 1]), rows[:, 2] << 32 | rows[:, 3]], 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Models from folds 2 and up, the curve from fold 1; fold 0 is never read with its labels.
 
     ``docs`` has ``id, text``, ``labels`` has ``id, toxic``. Word counts of the shared level come from all
-    rows; labelled rows are a sample of at most ``train_docs`` of a class, and of them the models hold at
-    most ``MODEL_WORDS`` words and ``MODEL_PAIRS`` pairs, the most frequent.
+    rows; labelled rows are a sample of at most ``train_docs`` of a class, and of them the models hold all
+    words and all pairs, so the sample alone bounds their size.
     """
     sample = stage(_labelled(docs, labels, train_docs))
     pairs = stage(sample.filter("NOT curve").select("toxic", "text").mapInPandas(
@@ -174,27 +192,27 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     cont = pairs.groupBy("word").agg(*[count(F.lit(1), i).alias(f"kinds{i}") for i in (0, 1)])
     follow = pairs.groupBy(F.col("before").alias("word")).agg(
         *[count(F.col("n"), i).alias(f"total{i}") for i in (0, 1)], *[count(F.lit(1), i).alias(f"follow{i}") for i in (0, 1)])
-    chosen = stage(cont.join(follow, "word", "left").fillna(0).orderBy((-(F.col("kinds0") + F.col("kinds1"))), "word").limit(MODEL_WORDS))
     corpus = stage(docs.select("text").mapInPandas(_document_counts, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs")))
     sums = corpus.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
-    vocabulary = chosen.join(corpus, "word", "left").fillna(0).toPandas().sort_values("word")
+    known = _collected(cont.join(follow, "word", "left").join(corpus, "word", "left").fillna(0).select(
+        "word", "kinds0", "kinds1", "total0", "total1", "follow0", "follow1", "docs"), lambda rows: rows, 8)
+    vocabulary = known[np.argsort(known[:, 0])]
     kinds = pairs.groupBy("toxic").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("word").alias("words")).toPandas().set_index("toxic")
-    frequent = pairs.groupBy("before", "word").agg(*[count(F.col("n"), i).alias(f"n{i}") for i in (0, 1)]).filter(
-        "n0 > 1 OR n1 > 1").orderBy((-(F.col("n0") + F.col("n1"))), "before", "word").limit(MODEL_PAIRS).toPandas()
+    # A text's first word has no word before it to be looked up with.
+    seen = _collected(pairs.filter("before <> 0").groupBy("before", "word").agg(
+        *[count(F.col("n"), i).alias(f"n{i}") for i in (0, 1)]), _packed_pairs, 2)
     if len(kinds) < 2:
         return Model(*[np.zeros(0)] * 6, unseen=0.0, curve=(0.0, 0.0, -2.0))
-    shared = (vocabulary["docs"].to_numpy() + 0.5) / (sums["docs"] + 0.5 * (sums["words"] + 1))
+    word = np.ascontiguousarray(vocabulary[:, 0])
+    shared = (vocabulary[:, 7] + 0.5) / (sums["docs"] + 0.5 * (sums["words"] + 1))
     left = np.array([DISCOUNT * kinds.loc[t, "words"] / kinds.loc[t, "pairs"] for t in (1, 0)])
-    p = np.stack([np.maximum(vocabulary[f"kinds{i}"].to_numpy() - DISCOUNT, 0) / kinds.loc[1 - i, "pairs"] + left[i] * shared for i in (0, 1)], 1)
-    word = vocabulary["word"].to_numpy(np.int64)
-    places = [np.minimum(np.searchsorted(word, frequent[c].to_numpy(np.int64)), len(word) - 1) for c in ("before", "word")]
-    held = (word[places[0]] == frequent["before"]) & (word[places[1]] == frequent["word"])
-    key = (places[0] * len(word) + places[1])[held]
-    order = np.argsort(key)
+    p = np.stack([np.maximum(vocabulary[:, 1 + i] - DISCOUNT, 0) / kinds.loc[1 - i, "pairs"] + left[i] * shared for i in (0, 1)], 1)
+    order = np.argsort(seen[:, 0])
+    counts = np.stack([seen[order, 1] >> 32, seen[order, 1] & 0xFFFFFFFF], 1, dtype=np.int32, casting="unsafe")
     model = Model(
-        word, p, vocabulary[["total0", "total1"]].to_numpy(np.float64),
-        vocabulary[["follow0", "follow1"]].to_numpy(np.float64), key[order], frequent[["n0", "n1"]].to_numpy(np.float64)[held][order],
+        word, p, vocabulary[:, 3:5].astype(np.int32), vocabulary[:, 5:7].astype(np.int32), seen[order, 0], counts,
         unseen=float(np.log(left[0] / left[1])))
+    del known, vocabulary, seen, order
     model.curve = _fit_curve(sample.filter("curve").select("toxic", "text"), model)
     return model
 
