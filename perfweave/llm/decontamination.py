@@ -101,11 +101,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), lowered_words(F.col(text_col)).alias("words"))
     every = rows.select("id", "row_key", "words", F.explode(shingle_places(F.col("words"))).alias("at"))
     hits = every.withColumn("shingle", shingle_at(F.col("words"), F.col("at"))).join(small(places), "shingle")
+    # A window is known by what is left of it: windows of one item cut at the document's start differ in length.
     start = F.greatest(F.lit(0), F.col("at") - F.col("offset"))
-    laid = hits.select("id", "row_key", start.alias("start"), "length", F.slice(
-        "words", start + 1, F.col("at") - F.col("offset") + F.col("length") + (SHINGLE_WORDS - 1) - start).alias("words"))
-    windows = with_shingles(stage(laid.groupBy("row_key", "start", "length").agg(F.first("id").alias("id"), F.first("words").alias("words"))))
-    marked = with_simhash(windows.withColumnRenamed("shingles", "window"), ["row_key", "start", "length"], "window")
+    end = F.least(F.size("words"), F.col("at") - F.col("offset") + F.col("length") + (SHINGLE_WORDS - 1))
+    laid = hits.select("id", "row_key", start.alias("start"), end.alias("end"), F.slice("words", start + 1, end - start).alias("words"))
+    windows = with_shingles(stage(laid.groupBy("row_key", "start", "end").agg(F.first("id").alias("id"), F.first("words").alias("words"))))
+    marked = with_simhash(windows.withColumnRenamed("shingles", "window"), ["row_key", "start", "end"], "window")
     flips = F.array(*[F.lit(f) for f in _FLIPS])
     of_windows = marked.withColumn("i", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("fingerprint"), i).alias("value")) for i in range(8)])))
     of_items = known.withColumn("i", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("fingerprint"), i).alias("value")) for i in range(8)])))
