@@ -131,9 +131,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every document: its items, its best similarity, and whether it stays."""
     docs = table(spark, sf_dir, "documents")
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).groupBy("id").agg(
+    # By row, as ids can be null or stand for several texts.
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).groupBy("row_key").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
-    every = docs.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    every = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key")).join(found, "row_key", "left")
     return every.select(
         "doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
         F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"), F.col("item_ids").isNull().alias("kept"))
