@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
-Every element subtree is hashed, and Spark counts per host in how many pages each hash occurs. Subtrees
-that recur across many pages of a host are its template and are deleted; what a page's own tags and
-class names declare as navigation, advert, form, comment and so on goes as well. The rest is the text.
+Every element subtree is hashed, and Spark counts per host in how many different pages each hash occurs.
+Subtrees that recur across many pages of a host are its template and are deleted; what a page's own tags
+and class names declare as navigation, advert, form, comment and so on goes as well. The rest is the text.
+Pages of one host with equal text count once, and an element that holds the whole article never is template.
 """
 
 from __future__ import annotations
@@ -115,12 +116,38 @@ def mark(node: Node, found: set[int] | None = None) -> int:
         n = todo.pop()
         order.append(n)
         todo.extend(p for p in n.parts if isinstance(p, Node))
+    whole = _whole(node)
     for n in reversed(order):
         content = "\x00".join(_SPACE.sub(" ", p).strip() if isinstance(p, str) else str(p.mark) for p in n.parts)
         n.mark = xxhash.xxh64_intdigest(f"{n.tag}\x01{content}") - (1 << 63)
-        if found is not None and content and n.tag not in ("", "html", "body"):
+        if found is not None and content and n.tag not in ("", "html", "body") and n not in whole:
             found.add(n.mark)
-    return node.mark
+    top = node.mark
+    for n in whole:
+        n.mark = None
+    return top
+
+
+def _whole(root: Node) -> set[Node]:
+    """Elements that hold all article (or else main) elements of a page."""
+    articles = _articles(root, frozenset())
+    if not articles:
+        return set()
+    parent, todo = {}, [root]
+    while todo:
+        n = todo.pop()
+        for p in n.parts:
+            if isinstance(p, Node):
+                parent[p] = n
+                todo.append(p)
+    whole: set[Node] | None = None
+    for n in articles:
+        path = {n}
+        while n in parent:
+            n = parent[n]
+            path.add(n)
+        whole = path if whole is None else whole & path
+    return whole
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -130,6 +157,10 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     root = parse(page)
     if template:
         mark(root)
+    return _text(root, template)
+
+
+def _text(root: Node, template: frozenset[int] | set[int]) -> str:
     articles = _articles(root, template)
     blocks: list[str] = []
     line: list[str] = []
@@ -186,20 +217,26 @@ def host_of(url: Column) -> Column:
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``host, marks``: hashes of the subtrees in at least ``min_pages`` pages and ``min_share`` of a host's
-    pages. Of a host there are at most as many as ``1 / min_share`` times what a page of it has."""
+    pages, where pages of equal text are one. Of a host there are at most as many as ``1 / min_share`` times
+    what a page of it has."""
     def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                counts: dict[tuple[str, int], int] = {}
+                seen: dict[tuple[str, bytes], list[int]] = {}
                 for host, page in zip(batch["host"][at : at + 500], batch["html"][at : at + 500], strict=True):
-                    found: set[int] = set()
-                    mark(parse(page or ""), found)
-                    for m in (*found, 0):  # 0 counts the pages
-                        counts[host, m] = counts.get((host, m), 0) + 1
-                yield pd.DataFrame({"host": [h for h, _ in counts], "mark": [m for _, m in counts], "n": list(counts.values())})
-
-    counts = stage(pages.select("host", "html").mapInPandas(subtrees, "host string, mark long, n long").groupBy("host", "mark").agg(
-        F.sum("n").alias("n")).filter(F.col("n") >= min_pages))
+                    root = parse(page or "")
+                    key = host, xxhash.xxh128_digest(_text(root, frozenset()).encode("utf-8", "surrogatepass"))
+                    if key not in seen:
+                        found: set[int] = set()
+                        mark(root, found)
+                        seen[key] = [0, *sorted(found)]  # 0 counts the pages
+                yield pd.DataFrame({"host": [h for h, _ in seen], "content": [c for _, c in seen], "marks": list(seen.values())})
+
+    # Of pages with equal text each task hands on one, and the smallest list of marks stands for all of them.
+    different = pages.select("host", "html").mapInPandas(subtrees, "host string, content binary, marks array<long>").groupBy(
+        "host", "content").agg(F.min("marks").alias("marks"))
+    counts = stage(different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(
+        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages))
     total = counts.filter("mark = 0").select("host", F.col("n").alias("pages"))
     often = counts.filter("mark != 0").join(total, "host").filter(F.col("n") >= min_share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("mark").alias("marks"))
@@ -210,7 +247,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``id, url, text`` of every row.
 
     Null and empty html give an empty text. Pages without a host (null or odd urls) share the empty one.
-    Where a page has article (or else main) elements, only they count. Repeated rows count as pages each.
+    Where a page has article (or else main) elements, only they count. Copies of a page count as one page.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     templates = stage(site_templates(rows, min_pages, min_share))
