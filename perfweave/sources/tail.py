@@ -44,6 +44,8 @@ class _TailReader(DataSourceStreamReader):
         self.finalize = options.get("finalize", "false").lower() == "true"
         self.cutoff = int(options["cutoff"]) if "cutoff" in options else None
         self.log_tz = options.get("logTz", "UTC")
+        # Only files that grow at their end are surely in time order.
+        self.rolling = frozenset(json.loads(options.get("rolling", "[]")))
         # With a byte limit the position cannot be told from the files; it is kept here over restarts.
         self.positions = options.get("positions")
         self.seen: dict | None = None
@@ -139,7 +141,7 @@ class _TailReader(DataSourceStreamReader):
 
     def read(self, part: _Range):
         with ranges.open_log(part.path) as f:
-            if self.cutoff is not None and part.end < part.size:
+            if self.cutoff is not None and part.name in self.rolling and part.end < part.size:
                 # In a time-sorted log everything here is older than what follows.
                 following = ranges.first_stamp(f, part.end, part.size, self.log_tz)
                 if following is not None and following[0] < self.cutoff:
@@ -194,6 +196,7 @@ def tail_logs(
         .option("maxBytesPerBatch", max_bytes)
         .option("finalize", str(finalize).lower())
         .option("logTz", config.log_tz)
+        .option("rolling", json.dumps([s + end for s in config.sources for end in (".log", "_slow.log", "_very_slow.log")]))
     )
     if max_bytes:
         reader = reader.option("positions", positions)
