@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", place),
 ]
 
-# The scorer, the signatures and the moves are not expressible in SQL; tests hold the stages against plain versions.
+# The scorer, the signatures and the moves are not expressible in SQL; tests hold the pipeline against hand-made cases.
 ORACLE_SQL = None
 
 
