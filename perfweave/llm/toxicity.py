@@ -144,6 +144,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
     Of each class and mark it has up to ``most`` rows and ``TRAIN_CHARS`` characters, those with the
     smallest hashes of their ids. Up to twice as many labels are looked up, which bounds what is broadcast.
+    A text of more than ``TRAIN_CHARS`` characters is left out and takes no other's place.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("id")) > 0)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("curve", fold(F.col("id")) == 1).withColumn("rank", F.xxhash64("id", F.lit("sample")))
@@ -156,10 +157,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     by = Window.partitionBy("toxic", "curve").orderBy("rank", "id")
     near = known.filter(low).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= 2 * most).drop("place")
     texts = stage(docs.join(F.broadcast(near), "id").select("id", "toxic", "curve", "rank", "text"))
-    placed = texts.select("id", "toxic", "curve", "rank", F.length("text").alias("length")).withColumn(
-        "place", F.row_number().over(by)).withColumn("chars", F.sum("length").over(by))
+    placed = texts.select("id", "toxic", "curve", "rank", F.coalesce(F.length("text"), F.lit(0)).alias("length")).filter(
+        F.col("length") <= TRAIN_CHARS).withColumn("place", F.row_number().over(by)).withColumn("chars", F.sum("length").over(by))
     chosen = placed.filter((F.col("place") <= most) & (F.col("chars") <= TRAIN_CHARS)).select("id").distinct()
-    return texts.join(chosen, "id", "left_semi").select("toxic", "curve", "text")
+    return texts.filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).join(chosen, "id", "left_semi").select("toxic", "curve", "text")
 
 
 def _collected(rows: DataFrame, turn: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
