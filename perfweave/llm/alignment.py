@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,18 +30,20 @@ from perfweave.llm.common import stage, table
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-# Text bytes that are aligned at a time; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+# Text bytes that are aligned at a time; a longer text is aligned in parts.
+BATCH_BYTES = 1 << 20
 # Id pairs that are looked up in a broadcast table; 17 bytes each.
 FREQUENT_PAIRS = 1 << 18
 # Encoded pieces that a task remembers.
-KEPT_PIECES = 1 << 19
+KEPT_PIECES = 1 << 18
 # Different pairs that a task counts before it hands them on.
 COUNTED_PAIRS = 1 << 21
 
 # White space at which no cut is made: wider than what either tokenizer takes for white space.
 _NO_CUT = r"(^|[\x09-\x0d\x1c-\x20\x{85}\x{180e}\x{200b}\p{Z}])$"
 
+_CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u180e\u200b]) (?=.)", re.DOTALL)
+
 ALIGNED = (
     "row_key long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
     "a array<int>, b array<int>, times array<long>"
@@ -195,7 +198,10 @@ def _met(a: pa.ListArray, b: pa.ListArray) -> pa.Table:
 
 
 def align(texts: pa.StringArray, pair: Pair) -> tuple[dict[str, np.ndarray | list], pa.Table]:
-    """(per text: n_a, n_b, n_groups, groups_sha256; links: doc, a, b, times) of a batch without nulls."""
+    """(per text: n_a, n_b, n_groups, lines, spelt; links: doc, a, b, times) of a batch without nulls.
+
+    ``lines`` writes a text's groups out; ``spelt`` tells whether it has tokens at all.
+    """
     n = len(texts)
     spaced = pc.binary_join_element_wise(pa.scalar(""), texts, " ")
     pieces, bounds = pieces_of(spaced, pair.cut)
@@ -226,7 +232,8 @@ def align(texts: pa.StringArray, pair: Pair) -> tuple[dict[str, np.ndarray | lis
         "n_a": np.bincount(a["doc"].to_numpy(), minlength=n),
         "n_b": np.bincount(b["doc"].to_numpy(), minlength=n),
         "n_groups": np.diff(group_bounds),
-        "groups_sha256": [hashlib.sha256(x.as_buffer()).hexdigest() if ok else "" for x, ok in zip(lines, good)],
+        "lines": lines,
+        "spelt": good,
     }
 
     met = _met(*groups)
@@ -235,6 +242,26 @@ def align(texts: pa.StringArray, pair: Pair) -> tuple[dict[str, np.ndarray | lis
     return sums, links.rename_columns(["doc", "a", "b", "times"])
 
 
+def align_parts(text: str, pair: Pair, most: int) -> tuple[dict[str, np.ndarray | list], pa.Table]:
+    """``align`` of one long text, in parts of some ``most`` characters: both sides' tokens end at a cut."""
+    parts, start = [], 0
+    while (cut := _CUT.search(text, start + most)) is not None:
+        parts.append(text[start:cut.start()])
+        start = cut.end()
+    parts.append(text[start:])
+    sums, lines, links = np.zeros(3, np.int64), [], []
+    for part in parts:
+        one, met = align(pa.array([part]), pair)
+        if not one["spelt"][0]:
+            return align(pa.array([""]), pair)
+        sums += [one[c][0] for c in ("n_a", "n_b", "n_groups")]
+        lines.append(one["lines"][0].as_py())
+        links.append(met)
+    found = pa.concat_tables(links).group_by(["doc", "a", "b"], use_threads=False).aggregate([("times", "sum")])
+    whole = {c: sums[i:i + 1] for i, c in enumerate(("n_a", "n_b", "n_groups"))}
+    return whole | {"lines": pa.array([";".join(lines)]), "spelt": np.ones(1, bool)}, found.rename_columns(["doc", "a", "b", "times"])
+
+
 def _slices(texts: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
     sizes = pc.binary_length(texts).to_numpy()
     start, held = 0, 0
@@ -268,7 +295,11 @@ def aligned(
         for batch in batches:
             texts = batch["text"].cast(pa.string()).fill_null("")
             for lo, hi in _slices(texts, BATCH_BYTES):
-                sums, links = align(texts.slice(lo, hi - lo), pair)
+                if pair.cut and hi - lo == 1 and len(text := texts[lo].as_py()) > BATCH_BYTES:
+                    sums, links = align_parts(text, pair, BATCH_BYTES)
+                else:
+                    sums, links = align(texts.slice(lo, hi - lo), pair)
+                digests = [hashlib.sha256(x.as_buffer()).hexdigest() if ok else "" for x, ok in zip(sums["lines"], sums["spelt"])]
                 links = links.sort_by([("doc", "ascending"), ("a", "ascending"), ("b", "ascending")]).combine_chunks()
                 at = pa.array(np.searchsorted(links["doc"].to_numpy(), np.arange(hi - lo + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, links[c].combine_chunks()) for c in ("a", "b", "times")]
@@ -277,7 +308,7 @@ def aligned(
                     [
                         pa.array(np.arange(key, key + hi - lo)), batch["doc_id"].slice(lo, hi - lo),
                         *[pa.array(sums[c], pa.int64()) for c in ("n_a", "n_b", "n_groups")],
-                        pa.array(np.diff(total), pa.int64()), pa.array(sums["groups_sha256"], pa.string()), *lists,
+                        pa.array(np.diff(total), pa.int64()), pa.array(digests, pa.string()), *lists,
                     ],
                     names=["row_key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"],
                 )

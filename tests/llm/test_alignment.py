@@ -96,6 +96,7 @@ def test_documents(spark):
 
 def test_small_batches_and_short_memory(spark, monkeypatch):
     import pyarrow as pa
+    import pyarrow.compute
 
     whole = alignment.Pair(*[open(n, "rb").read() for n in NAMES])
     texts = [t or "" for t in ODD]
@@ -105,6 +106,13 @@ def test_small_batches_and_short_memory(spark, monkeypatch):
     one_by_one = [alignment.align(pa.array([t]), forgetful) for t in texts]
     for c in at_once:
         assert list(at_once[c]) == [s[c][0] for s, _ in one_by_one]
+    parts = [alignment.align_parts(t, forgetful, 3) for t in texts]
+    for c in at_once:
+        assert list(at_once[c]) == [s[c][0] for s, _ in parts]
+    order = [("doc", "ascending"), ("a", "ascending"), ("b", "ascending")]
+    for (_, met), i in zip(parts, range(len(texts))):
+        want = links.filter(pa.compute.equal(links["doc"], i)).sort_by(order)
+        assert met.sort_by(order).drop_columns("doc").to_pylist() == want.drop_columns("doc").to_pylist()
     assert len(links) == sum(len(x) for _, x in one_by_one)
 
 
