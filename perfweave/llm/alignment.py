@@ -313,6 +313,7 @@ def aligned(
                     names=["row_key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"],
                 )
                 key += hi - lo
+                pa.default_memory_pool().release_unused()
 
     return stage(rows.mapInArrow(run, ALIGNED.format(id=rows.schema["doc_id"].dataType.simpleString())))
 
