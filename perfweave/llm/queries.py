@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from perfweave.llm import alignment, decontamination, exact_dedup, html, mixing, near_dedup, quality, sharding, substrings, suffixes, toxicity, whitening
+from perfweave.llm import alignment, decontamination, exact_dedup, fingerprints, html, mixing, near_dedup, quality, sharding, substrings, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_token_alignment": alignment.op11_token_alignment,
     "op12_whitening": whitening.op12_whitening,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
 SQL = {
