@@ -14,13 +14,14 @@ def resume_plan(files: DataFrame, state: DataFrame, import_cutoff: int | None) -
 
     skip_empty: nothing in it. replaced: another first line than last time, read from 0.
     up_to_date: read to its end already (``shrunk`` if it has become shorter). append: read on
-    from the stored offset. seek: a new rolling log under a limited import window - reading may
+    from the stored offset, or from the record that was open at the end then. seek: a new rolling log under a limited import window - reading may
     begin at the window. full: anything else.
     """
     known = state.select(
         "file_key",
         F.lit(True).alias("_known"),
         F.col("byte_offset").alias("_offset"),
+        (F.col("open_offset") if "open_offset" in state.columns else F.lit(None).cast("bigint")).alias("_open"),
         F.col("first_line").alias("_first"),
         F.col("max_occurred_at").alias("prev_max_at"),
     )
@@ -39,13 +40,13 @@ def resume_plan(files: DataFrame, state: DataFrame, import_cutoff: int | None) -
         .withColumn("action", action)
         .withColumn(
             "start_offset",
-            F.when(F.col("action") == "append", F.col("_offset"))
+            F.when(F.col("action") == "append", F.coalesce("_open", "_offset"))
             .when(F.col("action") == "up_to_date", F.col("file_size"))
             .otherwise(0)
             .cast("bigint"),
         )
         .withColumn("shrunk", (F.col("action") == "up_to_date") & (F.col("_offset") > F.col("file_size")))
-        .drop("_known", "_offset", "_first")
+        .drop("_known", "_offset", "_open", "_first")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfweave.config import FUNCTION_GRAIN, OVERVIEW_GRAIN
-from perfweave.functions.time import bucket_floor
+from perfweave.functions.time import bucket_floor, epoch_date
 
 
 def timed_stats(stats: DataFrame, reports: DataFrame | None) -> DataFrame:
@@ -103,3 +103,59 @@ def all_rollups(
         "slow_overview_agg": slow_overview(events),
         "slow_function_bucket_agg": slow_function(events),
     }
+
+
+# Partial aggregates: what a part of the facts adds to a rollup. Parts of any cut merge to the whole, as means
+# are kept as a sum and the number of values in it.
+
+
+def _usage_partial(reports: DataFrame, stats: DataFrame) -> DataFrame:
+    """Summed usage of the statistics and number of the reports, per source and 30 s.
+
+    A report counts where its header row is, so statistics that come later do not count it again.
+    """
+    bucket = bucket_floor("reported_at", OVERVIEW_GRAIN).alias("bucket_time")
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    parts = stats.select("source", bucket, F.col("real_usage").alias("_usage"), none.alias("_reports")).unionByName(
+        reports.select("source", bucket, F.lit(0.0).alias("_usage"), one.alias("_reports"))
+    )
+    return parts.groupBy("source", "bucket_time").agg(
+        F.sum("_usage").alias("sum_real_usage"), F.sum("_reports").alias("report_count")
+    )
+
+
+def partials(reports: DataFrame, stats: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """Partial aggregates of all rollups by stored name; statistics carry source and time."""
+    header = reports.groupBy("source", bucket_floor("reported_at", OVERVIEW_GRAIN).alias("bucket_time")).agg(
+        F.sum("cpu_usage").alias("sum_cpu_usage"),
+        F.sum("players_online").alias("sum_players_online"),
+        F.count(F.lit(1)).alias("sample_count"),
+        F.count("cpu_usage").alias("cpu_usage_samples"),
+        F.count("players_online").alias("players_online_samples"),
+    )
+    frames = {
+        "cpu_overview_agg": header,
+        "cpu_source_usage_agg": _usage_partial(reports, stats),
+        "cpu_function_bucket_agg": cpu_function(stats),
+        "slow_overview_agg": slow_overview(events),
+        "slow_function_bucket_agg": slow_function(events),
+    }
+    return {n: df.withColumn("event_date", epoch_date(F.col("bucket_time"))) for n, df in frames.items()}
+
+
+_KEYS = ("source", "event_date", "bucket_time", "description_id")
+
+
+def merged(name: str, parts: DataFrame) -> DataFrame:
+    """A rollup from partial aggregates. Filters on its keys reach the parts."""
+    how = {"min": F.min, "max": F.max}
+    keys = [c for c in _KEYS if c in parts.columns]
+    measures = [how.get(c.split("_")[0], F.sum)(c).alias(c) for c in parts.columns if c not in keys]
+    whole = parts.groupBy(*keys).agg(*measures)
+    if name == "cpu_overview_agg":
+        return whole.withColumn("avg_cpu_usage", F.try_divide("sum_cpu_usage", "cpu_usage_samples")).withColumn(
+            "avg_players_online", F.try_divide("sum_players_online", "players_online_samples")
+        )
+    if name == "cpu_source_usage_agg":
+        return whole.withColumn("avg_report_real_usage", F.try_divide("sum_real_usage", "report_count"))
+    return whole

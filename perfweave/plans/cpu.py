@@ -26,8 +26,13 @@ from perfweave.tables import LogTables
 _SORT_COLUMN = {"max": "max_real_usage", "avg": "avg_real_usage", "total": "total_time_ms"}
 
 
+def _rolled(tables: LogTables) -> frozenset[str] | None:
+    return None if tables.rolled_sources is None else tables.rolled_sources["cpu"]
+
+
 def _window(tables: LogTables, end: int | Column | None, range_: str | None, config: EngineConfig) -> TimeWindow:
-    end = latest(tables.cpu_reports, "reported_at") if end is None else end
+    if end is None:
+        end = (tables.ends or {}).get("cpu_reports") or latest(tables.cpu_reports, "reported_at")
     return config.window(end, range_ or config.default_range)
 
 
@@ -72,7 +77,7 @@ def header_overview(
     """t, cpu_usage, players_online from the reports' header lines."""
     source = config.check_source(source)
     window = _window(tables, end, range_, config)
-    if not use_rollup(tables.cpu_overview_agg, source, mode):
+    if not use_rollup(tables.cpu_overview_agg, source, mode, _rolled(tables)):
         rows = in_window(_of_source(tables.cpu_reports, source), "reported_at", window)
         t = bucket_floor("reported_at", window.bucket_seconds).alias("t")
         return rows.groupBy(t).agg(
@@ -98,7 +103,7 @@ def source_usage(
     """t, real_usage: mean over reports of their summed real usage."""
     source = config.check_source(source)
     window = _window(tables, end, range_, config)
-    if use_rollup(tables.cpu_source_usage_agg, source, mode):
+    if use_rollup(tables.cpu_source_usage_agg, source, mode, _rolled(tables)):
         rows = in_window(_of_source(tables.cpu_source_usage_agg, source), "bucket_time", window)
         weighted = F.sum(F.col("avg_report_real_usage") * F.col("report_count")) / F.sum("report_count")
         return rows.groupBy(bucket_floor("bucket_time", window.bucket_seconds).alias("t")).agg(
@@ -156,7 +161,7 @@ def top_functions(
     sort_column = _SORT_COLUMN[check_sort(sort, CPU_SORTS)]
     limit = config.clamp_limit(limit)
     window = _window(tables, end, range_, config)
-    if use_rollup(tables.cpu_function_bucket_agg, source, mode):
+    if use_rollup(tables.cpu_function_bucket_agg, source, mode, _rolled(tables)):
         rows = in_window(_of_source(tables.cpu_function_bucket_agg, source), "bucket_time", window)
         totals = rows.groupBy("description_id").agg(
             F.max("max_real_usage").alias("max_real_usage"),

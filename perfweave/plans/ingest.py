@@ -2,12 +2,16 @@
 
 All files go through one plan per kind. Raw text is read once: the parse is written to a
 stage, and de-duplication, names, counts and state are computed from its few columns.
+
+A run sees the store as of the last committed run. If another run is committed meanwhile, the parsed
+rows are accepted anew against what that one stored; nothing is parsed again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +20,14 @@ from pyspark.sql import functions as F
 from perfweave.config import DEFAULT_CONFIG, EngineConfig
 from perfweave.functions import keys
 from perfweave.functions.time import epoch_date
-from perfweave.operators import rollups
-from perfweave.operators.dedup import accept_cpu, accept_slow, high_water, split_fresh
+from perfweave.operators.dedup import accept_cpu, accept_slow, high_water, split_fresh, touched_days
 from perfweave.operators.dims import new_names
 from perfweave.operators.filters import keep_dedup_horizon, keep_import_window
 from perfweave.operators.parse_cpu import explode_stats, identified, parse_blocks, stats_only
 from perfweave.operators.parse_slow import parse_slow
-from perfweave.operators.resume import READING, ingest_audit, resume_plan, upsert_state
-from perfweave.plans.store import Store, run_together, scratch_dir, stage
+from perfweave.operators.resume import READING, ingest_audit, resume_plan
+from perfweave.plans.store import FACTS, Store, delete, run_together, stage
+from perfweave.schemas import PARTIALS
 from perfweave.sources.catalog import list_logs
 from perfweave.sources.ranges import (
     cut_ranges,
@@ -37,6 +41,8 @@ from perfweave.sources.ranges import (
 
 # From this much log text on, a run's facts are clustered by source within a day.
 LARGE_RUN_BYTES = 4 * 1024**3
+# How often a run is accepted anew because another one was quicker.
+MOST_ATTEMPTS = 50
 
 
 @dataclass(frozen=True)
@@ -108,27 +114,36 @@ def import_logs(
     store: Store,
     now: int,
     config: EngineConfig = DEFAULT_CONFIG,
-    finalize: bool = True,
+    finalize: bool | None = None,
 ) -> ImportRun:
     """Imports what is new under ``data_dir``.
 
-    With ``finalize=False`` the unfinished end of each file (an open report, a line without its
-    line feed) is left for the next run; by default it is taken as complete.
+    The end of a file may still be written to (an open report, a line without its line feed). By default
+    what is there counts at once, and the next run that finds the file grown reads on from the start of that
+    record and puts its final rows in their place. With ``finalize=True`` the end is taken as complete for
+    good, with ``finalize=False`` it is left alone until it is.
     """
-    committed = store.committed()
-    refresh_rollups(store, now)
-    scratch = scratch_dir(spark)
-    state = store.read("import_files", committed[-1:])
+    scratch = store.scratch()
+    try:
+        return _import(spark, data_dir, store, now, config, finalize, scratch)
+    finally:
+        delete(spark, scratch)
+
 
-    plan = plan_files(spark, data_dir, state, now, config)
-    todo = stage(plan.filter(F.col("action").isin(*READING)), f"{scratch}/plan")
+def _import(
+    spark: SparkSession, data_dir: str, store: Store, now: int, config: EngineConfig, finalize: bool | None, scratch: str
+) -> ImportRun:
+    plan = plan_files(spark, data_dir, store.state(), now, config)
+    todo = plan.filter(F.col("action").isin(*READING))
+    todo = todo.withColumn("open_offset", F.col("file_size")) if finalize else with_open_tail(todo)
+    todo = stage(todo, f"{scratch}/plan")
     size = todo.agg(
         F.count(F.lit(1)).alias("files"), F.sum(F.col("file_size") - F.col("start_offset")).alias("bytes")
     ).first()
     if size["files"] == 0:
         return ImportRun(None, 0)
 
-    hold = not finalize
+    hold = finalize is False
     slow_files, cpu_files = todo.filter("type <> 'cpu'"), todo.filter("type = 'cpu'")
 
     def parsed(parse, files: DataFrame, name: str) -> DataFrame:
@@ -139,19 +154,19 @@ def import_logs(
         partial(parsed, parse_cpu_files, cpu_files, "cpu"),
     ])
 
-    def new_state(audited: DataFrame) -> DataFrame:
-        done = audited.withColumn("byte_offset", F.col("file_size")) if finalize else with_open_tail(
-            audited
-        ).withColumn("byte_offset", F.col("open_offset"))
-        updates = done.withColumn("max_occurred_at", F.greatest("prev_max_at", "max_ts")).withColumn(
+    def read_files(audited: DataFrame) -> DataFrame:
+        """The state of the files read: read to their end, or to the record left alone."""
+        unfinished = F.col("open_offset") < F.col("file_size")
+        to = F.when(unfinished, F.col("open_offset")).otherwise(F.col("file_size")) if hold else F.col("file_size")
+        return audited.withColumn("byte_offset", to).withColumn(
+            "open_offset", F.when(unfinished & F.lit(not hold), F.col("open_offset"))
+        ).withColumn("max_occurred_at", F.greatest("prev_max_at", "max_ts")).withColumn(
             "updated_at", F.lit(now).cast("bigint")
         )
-        return upsert_state(state, updates)
 
     run_id = load_rows(
-        store, slow, cpu, todo, new_state, scratch, now, config, by_source=size["bytes"] >= LARGE_RUN_BYTES
+        store, slow, cpu, todo, read_files, scratch, now, config, by_source=size["bytes"] >= LARGE_RUN_BYTES
     )
-    refresh_rollups(store, now)
     return ImportRun(run_id, size["files"])
 
 
@@ -160,48 +175,90 @@ def load_rows(
     slow: DataFrame,
     cpu: DataFrame,
     files: DataFrame,
-    new_state: Callable[[DataFrame], DataFrame],
+    read_files: Callable[[DataFrame], DataFrame] | None,
     scratch: str,
     now: int,
     config: EngineConfig,
-    stages: Sequence[str] = ("facts",),
+    marks: Sequence[str] = (),
     by_source: bool = False,
-) -> int:
-    """Stores parsed rows as a new run: facts, names, rejects, audit, state, high-water marks.
+) -> int | None:
+    """Stores parsed rows as a new run: facts, names, rejects, audit, state, high-water marks, rollups.
 
     ``slow`` and ``cpu`` are staged parser output. ``files`` (file_key, source, action, ...) lists
-    the files read; ``new_state`` turns it, joined with the counts, into the state to store.
+    the files read; ``read_files`` turns it, joined with the counts, into their state. ``marks`` name
+    what is stored: if a run carries one of them already, nothing is done and None returned.
+    """
+    first_load = not store.committed()
+    for attempt in range(MOST_ATTEMPTS):
+        before = store.committed()
+        if any(store.has_mark(m) for m in marks):
+            return None
+        number = len(before) + 1
+        folder = store.folder(number)
+        wrote, high = _write_run(
+            store, slow, cpu, files, read_files, f"{scratch}/{attempt}", now, config, folder, by_source,
+            bool(before), first_load,
+        )
+        if store.commit(number, folder, wrote, now, marks=list(marks), high_water=high):
+            return number
+    raise RuntimeError(f"{MOST_ATTEMPTS} other runs were quicker")
+
+
+def _write_run(
+    store: Store, slow: DataFrame, cpu: DataFrame, files: DataFrame, read_files: Callable[[DataFrame], DataFrame] | None,
+    scratch: str, now: int, config: EngineConfig, folder: str, by_source: bool, incremental: bool, first_load: bool,
+) -> tuple[dict[str, dict], list[list]]:
+    """Writes a run's tables into ``folder``; returns what its record says of them, and its high-water marks.
+
+    A first load that another run overtook is checked against that one whole: no row is too old for it.
     """
-    committed = store.committed()
-    run_id = committed[-1] + 1 if committed else 1
-    marks = store.read("high_water", committed[-1:])
-    incremental = not marks.isEmpty()
-    cutoff, horizon = config.import_cutoff(now), config.dedup_cutoff(now)
+    known_marks = store.high_water()
+    cutoff = config.import_cutoff(now)
+    horizon = None if first_load else config.dedup_cutoff(now)
 
     def in_scope(rows: DataFrame, ts: str) -> DataFrame:
-        return keep_dedup_horizon(keep_import_window(rows, ts, cutoff), ts, horizon, incremental)
+        rows = keep_import_window(rows, ts, cutoff)
+        return rows if horizon is None else keep_dedup_horizon(rows, ts, horizon, incremental)
 
     def stored(table: str, ts: str) -> DataFrame:
+        if horizon is None:
+            return store.closed(table)
+        since = datetime.fromtimestamp(horizon, timezone.utc).date()
         recent = F.col("event_date") >= epoch_date(F.lit(horizon))
-        return store.read(table, committed).filter(recent & (F.col(ts) >= horizon))
+        return store.closed(table, since).filter(recent & (F.col(ts) >= horizon))
+
+    def with_openness(rows: DataFrame) -> DataFrame:
+        return rows if "is_open" in rows.columns else rows.withColumn("is_open", F.lit(False))
+
+    slow, cpu = with_openness(slow), with_openness(cpu)
 
     # What is accepted
-    cpu_marks = marks.filter("severity IS NULL").drop("severity")
-    slow_marks = marks.filter("severity IS NOT NULL")
+    cpu_marks = known_marks.filter("severity IS NULL").drop("severity")
+    slow_marks = known_marks.filter("severity IS NOT NULL")
     events = in_scope(slow.filter("status = 'ok'"), "occurred_at").select(
-        "file_key", "offset", "source", "severity", "occurred_at", "execution_ms", "description", "detail"
+        "file_key", "offset", "is_open", "source", "severity", "occurred_at", "execution_ms", "description", "detail"
     )
     blocks = cpu.filter("stat_no = 0")
     reports = in_scope(blocks.filter("n_stats > 0"), "reported_at")
-    events = accept_slow(events, stored("slow_events", "occurred_at"), slow_marks, incremental)
-    stats = accept_cpu(in_scope(stats_only(cpu), "reported_at"), stored("cpu_stats", "reported_at"), cpu_marks, incremental)
+    stats = in_scope(stats_only(cpu), "reported_at")
+    left = _left_open(store, files)
+    if left is not None:
+        # Files that were replaced: what was open at their end is finished now, and in no file any more.
+        old_reports, old_stats, old_events = left
+        events = events.unionByName(old_events, allowMissingColumns=True)
+        stats = stats.unionByName(old_stats, allowMissingColumns=True)
+        reports = reports.unionByName(old_reports, allowMissingColumns=True)
+    events = accept_slow(events, stored("slow_events", "occurred_at"), slow_marks, incremental, first_load)
+    stats = accept_cpu(stats, stored("cpu_stats", "reported_at"), cpu_marks, incremental, first_load)
     if incremental:
         events, stats = run_together([
             partial(stage, events, f"{scratch}/kept_slow"), partial(stage, stats, f"{scratch}/kept_cpu")
         ])
-        # A report is stored if any of its statistics is; past the mark all of them are.
-        fresh, overlap = split_fresh(reports, cpu_marks, "reported_at", ("source",))
-        reports = fresh.unionByName(overlap.join(stats.select("report_id"), "report_id", "left_semi"))
+        # A report is stored if any of its statistics is, unless it has been; past the mark all of them are.
+        fresh, overlap = split_fresh(reports, cpu_marks, "reported_at", ("source",), first_load)
+        there = touched_days(stored("cpu_reports", "reported_at"), overlap, "reported_at").select("report_id")
+        again = overlap.join(stats.select("report_id"), "report_id", "left_semi").join(there, "report_id", "left_anti")
+        reports = fresh.unionByName(again)
 
     # Counts per file
     lines_and_rows = slow.select(
@@ -213,7 +270,7 @@ def load_rows(
         stats.select("file_key", F.col("reported_at").alias("ts"))
     )
 
-    def write_counts() -> None:
+    def write_counts() -> dict[str, dict]:
         counted = stage(ingest_audit(lines_and_rows, accepted), f"{scratch}/audit")
         audited = files.join(counted, "file_key", "left")
         zero = F.lit(0).cast("bigint")
@@ -221,70 +278,79 @@ def load_rows(
             "file_key", "source", "action", "max_ts",
             *[F.coalesce(c, zero).alias(c) for c in ("bytes_read", "lines_read", "rows_inserted", "rows_skipped")],
         )
-        store.write_small("ingest_audit", run_id, audit)
-        store.write_small("import_files", run_id, new_state(audited))
-
-    new_marks = high_water(events, "occurred_at", ("source", "severity")).unionByName(
-        high_water(stats, "reported_at", ("source",)).withColumn("severity", F.lit(None).cast("string"))
-    )
-    marks_now = marks.unionByName(new_marks).groupBy("source", "severity").agg(F.max("max_ts").alias("max_ts"))
+        wrote = store.write("ingest_audit", folder, audit)
+        return wrote if read_files is None else wrote | store.write("import_files", folder, read_files(audited))
 
-    # Everything is written under the new run's number and becomes visible with its record.
+    by_date = epoch_date(F.col("reported_at"))
     slow_facts = events.withColumn(
         "description_id", keys.description_id(F.col("source"), F.col("description"))
     ).withColumn("event_date", epoch_date(F.col("occurred_at")))
-    by_date = epoch_date(F.col("reported_at"))
+    facts = {
+        "slow_events": (slow_facts, ("description_id", "occurred_at")),
+        "cpu_reports": (reports.withColumn("event_date", by_date), ("reported_at",)),
+        "cpu_stats": (stats.withColumn("event_date", by_date), ("description_id", "reported_at")),
+    }
     named = events.select("source", "description").unionByName(stats.select("source", "description"))
-    write = partial(partial, store.write_run)
-    run_together([
-        write("slow_events", run_id, slow_facts, ("description_id", "occurred_at"), by_source),
-        write("cpu_reports", run_id, reports.withColumn("event_date", by_date), ("reported_at",), by_source),
-        write("cpu_stats", run_id, stats.withColumn("event_date", by_date), ("description_id", "reported_at"), by_source),
-        write("descriptions", run_id, new_names(named, store.read("descriptions", committed))),
-        write("quarantine", run_id, _quarantine(slow).unionByName(_quarantine(blocks))),
-        write_counts,
-        partial(store.write_small, "high_water", run_id, marks_now),
-    ])
-    store.record([run_id], stages, now)
-    return run_id
-
-
-def refresh_rollups(store: Store, now: int) -> None:
-    """Brings the rollups up to date with every committed run that is not in them yet."""
-    behind = store.runs_without_rollups()
-    if not behind:
-        return
-    first = set(behind) == set(store.committed())
-    rebuild_rollups(store, None if first else _touched_dates(store, behind))
-    store.record(behind, ["rollups"], now)
-
-
-def _touched_dates(store: Store, run_ids: list[int]) -> list:
-    """Calendar days with rows in the given runs: a short list, read from partition columns."""
-    days = store.read("slow_events", run_ids).select("event_date").unionByName(
-        store.read("cpu_reports", run_ids).select("event_date")
+    jobs = [write_counts]
+    for table, (rows, sort_by) in facts.items():
+        jobs.append(partial(store.write, table, folder, rows.filter("NOT is_open"), sort_by, by_source))
+        jobs.append(partial(store.write, f"open_{table}", folder, rows.filter("is_open")))
+    jobs += [
+        partial(store.write, "descriptions", folder, new_names(named, store.closed("descriptions"))),
+        partial(store.write, "quarantine", folder, _quarantine(slow).unionByName(_quarantine(blocks))),
+    ]
+    wrote = {k: v for one in run_together(jobs) for k, v in one.items()}
+
+    # From here on the run's own facts are read, which are few columns and sorted.
+    written = {t: store.read_folders(t, [folder] if t in wrote else []) for t in FACTS}
+    wrote |= store.write_partials(folder, written["cpu_reports"], written["cpu_stats"], written["slow_events"])
+    marks = high_water(written["slow_events"], "occurred_at", ("source", "severity")).unionByName(
+        high_water(written["cpu_stats"], "reported_at", ("source",)).withColumn("severity", F.lit(None).cast("string"))
     )
-    return [r["event_date"] for r in days.distinct().collect()]
-
-
-def rebuild_rollups(store: Store, dates: list | None = None) -> None:
-    """Recomputes all rollups, or only those of the given days (buckets never cross a UTC day)."""
-    if dates is not None and not dates:
-        return
-    tables = store.tables()
-
-    def scoped(df: DataFrame) -> DataFrame:
-        return df if dates is None else df.filter(F.col("event_date").isin(dates))
-
-    frames = rollups.all_rollups(scoped(tables.cpu_reports), scoped(tables.cpu_stats), scoped(tables.slow_events))
-    run_together([partial(store.write_rollup, n, df, whole=dates is None) for n, df in frames.items()])
+    # One row per configured source and severity.
+    return wrote, [[r["source"], r["severity"], r["max_ts"]] for r in marks.collect()]
+
+
+def _left_open(store: Store, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(reports, statistics, events) read from the open ends of files that have been replaced since."""
+    opened = [store.open_rows(t) for t in ("cpu_reports", "cpu_stats", "slow_events")]
+    if all(df is None for df in opened):
+        return None
+    gone = files.filter("action = 'replaced'").select("file_key")
+    reports, stats, events = [
+        (store.read_folders(f"open_{t}", []).drop("run") if df is None else df).join(gone, "file_key", "left_semi")
+        .drop("event_date").withColumn("is_open", F.lit(False)).withColumn("offset", F.lit(-1).cast("bigint"))
+        for t, df in zip(("cpu_reports", "cpu_stats", "slow_events"), opened)
+    ]
+    names = store.closed("descriptions").select("description_id", "description")
+    # Copies within a report are told apart by their other columns, as their place in it is not stored.
+    numbered = stats.join(names, "description_id").withColumn("stat_no", F.monotonically_increasing_id().cast("int"))
+    return reports, numbered, events.drop("description_id")
+
+
+def rebuild_rollups(store: Store, dates: list | None = None, now: int = 0) -> int:
+    """Recomputes all rollups, or those of the given days, from the facts and puts them in place of the runs' parts."""
+    for _ in range(MOST_ATTEMPTS):
+        number = len(store.committed()) + 1
+        folder = store.folder(number)
+        kept: dict[str, DataFrame] = {}
+        facts = {t: store.closed(t) for t in FACTS}
+        if dates is not None:
+            facts = {t: df.filter(F.col("event_date").isin(dates)) for t, df in facts.items()}
+            kept = {n: store.closed(n).filter(~F.col("event_date").isin(dates)) for n in PARTIALS}
+        wrote = store.write_partials(folder, facts["cpu_reports"], facts["cpu_stats"], facts["slow_events"], kept=kept)
+        # Also a rollup without rows is replaced.
+        wrote = {n: wrote.get(n, {"rows": 0, "first_day": None, "last_day": None, "latest": None}) for n in PARTIALS}
+        if store.commit(number, folder, wrote, now, rebuilt=True):
+            return number
+    raise RuntimeError(f"{MOST_ATTEMPTS} other runs were quicker")
 
 
 def status_counts(store: Store) -> DataFrame:
     """Row counts of the stored tables for the status report."""
     from perfweave.operators.bounds import row_counts
 
-    return row_counts({t: store.read(t) for t in ("descriptions", "cpu_reports", "cpu_stats", "slow_events")})
+    return row_counts({t: store.read(t) for t in ("descriptions", *FACTS[1:], FACTS[0])})
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "json") -> None:

@@ -30,8 +30,13 @@ _SORT_COLUMN = {
 }
 
 
+def _rolled(tables: LogTables) -> frozenset[str] | None:
+    return None if tables.rolled_sources is None else tables.rolled_sources["slow"]
+
+
 def _window(tables: LogTables, end: int | Column | None, range_: str | None, config: EngineConfig) -> TimeWindow:
-    end = latest(tables.slow_events, "occurred_at") if end is None else end
+    if end is None:
+        end = (tables.ends or {}).get("slow_events") or latest(tables.slow_events, "occurred_at")
     return config.window(end, range_ or config.default_range)
 
 
@@ -88,7 +93,7 @@ def overview(
     """t, event_count, min/max/avg execution_ms per bucket."""
     source = config.check_source(source)
     window = _window(tables, end, range_, config)
-    if use_rollup(tables.slow_overview_agg, source, mode):
+    if use_rollup(tables.slow_overview_agg, source, mode, _rolled(tables)):
         rows = in_window(_of_source(tables.slow_overview_agg, source), "bucket_time", window)
         return _points(rows, "bucket_time", window, _rollup_measures())
     rows = in_window(_of_source(tables.slow_events, source), "occurred_at", window)
@@ -110,7 +115,7 @@ def top_functions(
     sort_column = _SORT_COLUMN[check_sort(sort, SLOW_SORTS)]
     limit = config.clamp_limit(limit)
     window = _window(tables, end, range_, config)
-    if use_rollup(tables.slow_function_bucket_agg, source, mode):
+    if use_rollup(tables.slow_function_bucket_agg, source, mode, _rolled(tables)):
         rows = in_window(_of_source(tables.slow_function_bucket_agg, source), "bucket_time", window)
         totals = rows.groupBy("description_id").agg(*_rollup_measures())
     else:
@@ -141,7 +146,7 @@ def function_series(
     source = describe(tables.descriptions, description_id)[0] if source is None else config.check_source(source)
     window = _window(tables, end, range_, config)
     rollup = tables.slow_function_bucket_agg
-    by_rollup = use_rollup(rollup, source, mode)
+    by_rollup = use_rollup(rollup, source, mode, _rolled(tables))
     rows = rollup if by_rollup else tables.slow_events
     rows = _of_source(rows, source).filter(F.col("description_id") == description_id)
     ts = "bucket_time" if by_rollup else "occurred_at"
@@ -191,7 +196,7 @@ def _summaries(
     plain count of groups and nothing is kept per event.
     """
     span = window.with_previous() if with_previous else window
-    by_rollup = use_rollup(tables.slow_overview_agg, source, mode)
+    by_rollup = use_rollup(tables.slow_overview_agg, source, mode, _rolled(tables))
 
     def per_function(df: DataFrame, ts: str, measures: list[Column], *keys: str) -> DataFrame:
         is_now = (F.col(ts) > window.start).alias("is_now")

@@ -59,7 +59,7 @@ SLOW_FUNCTION_AGG = _schema(
 
 IMPORT_FILES = _schema(
     "file_key STRING, path STRING, file_size BIGINT, file_mtime BIGINT, byte_offset BIGINT, "
-    "max_occurred_at BIGINT, first_line STRING, updated_at BIGINT"
+    "max_occurred_at BIGINT, first_line STRING, updated_at BIGINT, open_offset BIGINT"
 )
 
 HIGH_WATER = _schema("source STRING, severity STRING, max_ts BIGINT")
@@ -71,8 +71,6 @@ INGEST_AUDIT = _schema(
 
 QUARANTINE = _schema("file_key STRING, source STRING, offset BIGINT, reason STRING, line STRING")
 
-RUNS = _schema("run_id BIGINT, stage STRING, at BIGINT")
-
 ROLLUPS = {
     "cpu_overview_agg": CPU_OVERVIEW_AGG,
     "cpu_source_usage_agg": CPU_SOURCE_USAGE_AGG,
@@ -80,3 +78,20 @@ ROLLUPS = {
     "slow_overview_agg": SLOW_OVERVIEW_AGG,
     "slow_function_bucket_agg": SLOW_FUNCTION_AGG,
 }
+
+# What a run stores of a rollup: sums and counts that add up over runs.
+PARTIALS = {
+    **ROLLUPS,
+    "cpu_overview_agg": _schema(
+        "bucket_time BIGINT, sum_cpu_usage DOUBLE, sum_players_online BIGINT, sample_count BIGINT, "
+        "cpu_usage_samples BIGINT, players_online_samples BIGINT, source STRING, event_date DATE"
+    ),
+    "cpu_source_usage_agg": _schema(
+        "bucket_time BIGINT, sum_real_usage DOUBLE, report_count BIGINT, source STRING, event_date DATE"
+    ),
+}
+
+
+def opened(schema: T.StructType) -> T.StructType:
+    """Schema of rows read from a record that is still open."""
+    return T.StructType([T.StructField("file_key", T.StringType()), *schema.fields])

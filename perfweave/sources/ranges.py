@@ -37,7 +37,7 @@ _STAMP = rb"\n\[(\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2})\]"
 
 RECORD_SCHEMA = (
     "file_key STRING, source STRING, severity STRING, range_start BIGINT, "
-    "offset BIGINT, record BINARY"
+    "offset BIGINT, record BINARY, is_open BOOLEAN"
 )
 
 
@@ -307,11 +307,14 @@ def range_count(plan: DataFrame, range_bytes: int) -> int:
 def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> DataFrame:
     """Records of the given ranges: whole report blocks, or single lines.
 
-    Columns of ``RECORD_SCHEMA``; ``offset`` is the record's byte position in its file. In
+    Columns of ``RECORD_SCHEMA``; ``offset`` is the record's byte position in its file, and ``is_open``
+    marks a record from the file's ``open_offset`` on (if the ranges have one), which may still grow. In
     block mode, text before the first timestamp of a file is a record of its own.
     """
+    open_at = F.col("open_offset") if "open_offset" in ranges.columns else F.lit(None).cast("bigint")
     needed = ranges.select(
-        "file_key", "source", "severity", "path", "file_size", "start_offset", "range_start", "range_end"
+        "file_key", "source", "severity", "path", "file_size", "start_offset", "range_start", "range_end",
+        F.coalesce(open_at, F.col("file_size")).alias("open_offset"),
     )
 
     def run(batches):
@@ -331,8 +334,8 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
                             )
                         ]
                         yield pa.RecordBatch.from_arrays(
-                            [*fixed, pa.array(offsets, pa.int64()), records],
-                            names=["file_key", "source", "severity", "range_start", "offset", "record"],
+                            [*fixed, pa.array(offsets, pa.int64()), records, pa.array(offsets >= row["open_offset"])],
+                            names=["file_key", "source", "severity", "range_start", "offset", "record", "is_open"],
                         )
 
     return needed.mapInArrow(run, RECORD_SCHEMA)

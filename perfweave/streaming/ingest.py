@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from perfweave.config import DEFAULT_CONFIG, EngineConfig
 from perfweave.operators.parse_cpu import parse_blocks
 from perfweave.operators.parse_slow import parse_slow
-from perfweave.plans.ingest import keep_cpu_columns, keep_slow_columns, load_rows, refresh_rollups
-from perfweave.plans.store import Store, run_together, scratch_dir, stage
+from perfweave.plans.ingest import keep_cpu_columns, keep_slow_columns, load_rows
+from perfweave.plans.store import Store, delete, run_together, stage
 from perfweave.sources.tail import tail_logs
 
 
@@ -22,28 +22,26 @@ def store_batch(
 ) -> None:
     """Stores one micro-batch of raw records as a run. A repeated batch is recognised and skipped."""
     mark = f"stream:{query}:{batch_id}"
-    if not store.runs().filter(F.col("stage") == mark).isEmpty():
-        refresh_rollups(store, now)
+    if store.has_mark(mark):
         return
-    scratch = scratch_dir(store.spark)
-    raw = stage(records, f"{scratch}/raw")
-    if raw.isEmpty():
-        return
-    slow, cpu = run_together([
-        lambda: stage(
-            keep_slow_columns(parse_slow(raw.filter("type <> 'cpu'").drop("type", "is_rolling"), "record", config.log_tz)),
-            f"{scratch}/slow",
-        ),
-        lambda: stage(
-            keep_cpu_columns(parse_blocks(raw.filter("type = 'cpu'").drop("type", "is_rolling"), "record", config.log_tz)),
-            f"{scratch}/cpu",
-        ),
-    ])
-    files = raw.select("file_key", "source").distinct().withColumn("action", F.lit("stream"))
-    # Positions live in the stream's checkpoint; the batch import's state is carried over.
-    state = store.read_latest("import_files")
-    load_rows(store, slow, cpu, files, lambda _: state, scratch, now, config, ("facts", mark))
-    refresh_rollups(store, now)
+    scratch = store.scratch()
+    try:
+        raw = stage(records, f"{scratch}/raw")
+        if raw.isEmpty():
+            return
+
+        def of(kind: str) -> DataFrame:
+            return raw.filter(kind).drop("type", "is_rolling")
+
+        slow, cpu = run_together([
+            lambda: stage(keep_slow_columns(parse_slow(of("type <> 'cpu'"), "record", config.log_tz)), f"{scratch}/slow"),
+            lambda: stage(keep_cpu_columns(parse_blocks(of("type = 'cpu'"), "record", config.log_tz)), f"{scratch}/cpu"),
+        ])
+        files = raw.select("file_key", "source").distinct().withColumn("action", F.lit("stream"))
+        # Positions live in the stream's checkpoint, so the batch import's state has nothing to add.
+        load_rows(store, slow, cpu, files, None, scratch, now, config, [mark])
+    finally:
+        delete(store.spark, scratch)
 
 
 def tail_into_store(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,3 +25,7 @@ class LogTables:
     cpu_function_bucket_agg: DataFrame | None = None
     slow_overview_agg: DataFrame | None = None
     slow_function_bucket_agg: DataFrame | None = None
+    # What a store knows from its commit log, so that planning a query runs no job: the latest time of each
+    # fact, and the sources whose rollups have rows, by kind ("slow", "cpu").
+    ends: Mapping[str, int] | None = None
+    rolled_sources: Mapping[str, frozenset[str]] | None = None
