@@ -19,3 +19,8 @@ def description_id(source: Column, description: Column) -> Column:
 def report_id(source: Column, reported_at: Column, file_key: Column, offset: Column) -> Column:
     """Id of a report block: where it lies, so it does not depend on how the file was split."""
     return F.xxhash64(source, reported_at, file_key, offset)
+
+
+def file_no(file_key: Column) -> Column:
+    """A file's number: rows carry it instead of the name, as it is of fixed width."""
+    return F.xxhash64(file_key)

@@ -4,17 +4,17 @@ The rule is asymmetric on purpose. A first load keeps everything. Afterwards row
 the high-water mark of their stream are kept as they are, repeats included; the others are
 kept once, and only if not stored already.
 
-A key may be hugely repeated, so neither side is joined row by row: hashes of the keys are grouped, new
-and stored together, which combines copies on the map side before anything is shuffled. All that moves
-for a row is its hashes and its place; texts stay where they are. Of the stored rows only the days that
-the overlap itself touches are read.
+A key may be hugely repeated, so neither side is joined row by row: new and stored rows are grouped
+together by key, which combines copies on the map side before anything is shuffled. A group holds
+fixed-width values only, so it is hash aggregated and nothing is sorted. Of the stored rows only the days
+that the overlap itself touches are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfweave.functions.time import epoch_date
@@ -45,57 +45,21 @@ def split_fresh(
     return fresh, tagged.filter("NOT _fresh").drop("_mark", "_fresh")
 
 
-def _hash(columns: Sequence[str], kinds: dict[str, str], seed: int) -> Column:
-    """A 64-bit hash in which a null differs from any value, and zero has one sign."""
-    parts = [F.col(c) + F.lit(0.0) if kinds[c] == "double" else F.col(c) for c in columns]
-    return F.xxhash64(F.lit(seed), *parts, *[F.isnull(c) for c in columns])
-
-
-def key_hashes(rows: DataFrame, key: Sequence[str]) -> list[Column]:
-    """Two hashes that stand for a key, and a third that tells whether keys of equal hashes are equal."""
-    kinds = dict(rows.dtypes)
-    return [_hash(key, kinds, seed).alias(name) for seed, name in enumerate(("_h1", "_h2", "_h3"))]
-
-
-def _first_unseen(rows: DataFrame, stored: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
-    """Per group of ``by``: place of its first row, whether it is stored, and ``more``, by hash aggregation."""
-    none = F.lit(None).cast("bigint")
-    carried = [c for c in rows.columns if c in (*by, "_h3")]
-    both = rows.select(*carried, "_place", F.lit(False).alias("_stored")).unionByName(
-        stored.select(*carried, none.alias("_place"), F.lit(True).alias("_stored"))
-    )
-    return both.groupBy(*by).agg(F.min("_place").alias("_first"), F.max("_stored").alias("_seen"), *more)
-
-
-def unseen(
-    rows: DataFrame, stored: DataFrame, key: Sequence[str], order: Sequence[str] = (), hashes=key_hashes
-) -> DataFrame:
+def unseen(rows: DataFrame, stored: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row of every key in ``rows`` that does not occur in ``stored``.
 
-    Which of several copies stays follows from a hash of the ``order`` columns, which should tell rows
-    apart (the file and place a row comes from). ``hashes`` gives the three hashes of a key; keys that agree
-    in the first two and not in the third are compared as they are.
+    One shuffle on the key serves both the duplicate check among new rows and the anti join
+    against stored ones. Which of several copies stays follows from a hash of the ``order`` columns, which
+    should tell rows apart (the file and place a row comes from). Columns besides the key should be of
+    fixed width: Spark has to sort the groups to carry texts along.
     """
-    place = [c for c in order if c in rows.columns]
-    if not place:
-        rows = rows.distinct()
-        place = [c for c in rows.columns if c not in key]
-    hashed = rows.select("*", *hashes(rows, key), _hash(place, dict(rows.dtypes), 3).alias("_place"))
-    kept = stored.select(*key, *hashes(stored, key))
-    groups = _first_unseen(hashed, kept, ("_h1", "_h2"), (F.min("_h3") != F.max("_h3")).alias("_mixed"))
-    first = groups.filter("NOT _seen AND NOT _mixed").select("_h1", "_h2", F.col("_first").alias("_place"))
-    plain = hashed.join(first, ["_h1", "_h2", "_place"], "left_semi")
-
-    # Different keys of equal hashes: next to none, so next to nothing is read for them.
-    mixed = groups.filter("_mixed").select("_h1", "_h2")
-    suspects = hashed.join(mixed, ["_h1", "_h2"], "left_semi")
-    exact = _first_unseen(suspects, kept.join(mixed, ["_h1", "_h2"], "left_semi"), key)
-    winners = exact.filter("NOT _seen").select(*[F.col(c).alias(f"_{c}_") for c in key], F.col("_first").alias("_first_"))
-    same = F.col("_place") == F.col("_first_")
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_"))
-    told = suspects.join(winners, same, "left_semi")
-    return plain.unionByName(told).select(*rows.columns)
+    extra = [c for c in rows.columns if c not in key]
+    apart = [c for c in order if c in extra] or extra
+    both = rows.select("*", F.xxhash64(F.lit(0), *apart).alias("_place"), F.lit(False).alias("_stored")).unionByName(
+        stored.select(*key, F.lit(True).alias("_stored")), allowMissingColumns=True
+    )
+    picked = both.groupBy(*key).agg(F.max("_stored").alias("_stored"), *[F.min_by(c, "_place").alias(c) for c in extra])
+    return picked.filter("NOT _stored").select(*rows.columns)
 
 
 def touched_days(stored: DataFrame, rows: DataFrame, ts: str) -> DataFrame:
@@ -135,7 +99,7 @@ def accept_slow(
     rows: DataFrame, stored: DataFrame, marks: DataFrame, incremental: bool, unmarked_fresh: bool = False
 ) -> DataFrame:
     return accept_rows(
-        rows, stored, marks, "occurred_at", SLOW_STREAM, SLOW_KEY, incremental, ("file_key", "offset"), unmarked_fresh
+        rows, stored, marks, "occurred_at", SLOW_STREAM, SLOW_KEY, incremental, ("file_no", "offset"), unmarked_fresh
     )
 
 
@@ -144,5 +108,5 @@ def accept_cpu(
 ) -> DataFrame:
     return accept_rows(
         stats, stored, marks, "reported_at", CPU_STREAM, CPU_KEY, incremental,
-        ("file_key", "offset", "stat_no"), unmarked_fresh,
+        ("file_no", "offset", "stat_no"), unmarked_fresh,
     )

@@ -167,7 +167,7 @@ def explode_stats(blocks: DataFrame) -> DataFrame:
 
 def stats_only(exploded: DataFrame) -> DataFrame:
     """The statistics among exploded rows, with their dimension id."""
-    more = [c for c in ("is_open",) if c in exploded.columns]
+    more = [c for c in ("file_no", "is_open") if c in exploded.columns]
     return exploded.filter("stat_no > 0").select(
         *more,
         "file_key", "offset", "source", "report_id", "reported_at", "players_online", "stat_no", "description",

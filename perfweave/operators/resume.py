@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perfweave.functions.keys import file_no
+
 # Actions that read something.
 READING = ("replaced", "append", "seek", "full")
 
@@ -77,17 +79,17 @@ def status_report(state: DataFrame, tz: str = "UTC") -> DataFrame:
 def ingest_audit(read: DataFrame, accepted: DataFrame) -> DataFrame:
     """Per file: lines read, rows inserted, rows skipped, bytes read, latest timestamp.
 
-    ``read`` has (file_key, lines, rows, bytes); ``accepted`` has (file_key, ts), one row per
-    stored row. Both are pre-aggregated on the map side, so a dominant file is no hot spot.
+    ``read`` has (file_key, lines, rows, bytes); ``accepted`` has (file_no, ts), one row per
+    stored row, with the file's number (``keys.file_no``). Both are pre-aggregated on the map side, so a dominant file is no hot spot.
     """
     seen = read.groupBy("file_key").agg(
         F.sum("lines").alias("lines_read"), F.sum("rows").alias("_rows"), F.sum("bytes").alias("bytes_read")
     )
-    kept = accepted.groupBy("file_key").agg(
+    kept = accepted.groupBy("file_no").agg(
         F.count(F.lit(1)).alias("rows_inserted"), F.max("ts").alias("max_ts")
     )
     inserted = F.coalesce(F.col("rows_inserted"), F.lit(0).cast("bigint"))
-    return seen.join(kept, "file_key", "left").select(
+    return seen.withColumn("file_no", file_no(F.col("file_key"))).join(kept, "file_no", "left").select(
         "file_key",
         "lines_read",
         inserted.alias("rows_inserted"),

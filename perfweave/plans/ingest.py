@@ -227,20 +227,24 @@ def _write_run(
         recent = F.col("event_date") >= epoch_date(F.lit(horizon))
         return store.closed(table, since).filter(recent & (F.col(ts) >= horizon))
 
-    def with_openness(rows: DataFrame) -> DataFrame:
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("file_no", keys.file_no(F.col("file_key")))
         return rows if "is_open" in rows.columns else rows.withColumn("is_open", F.lit(False))
 
-    slow, cpu = with_openness(slow), with_openness(cpu)
+    slow, cpu = placed(slow), placed(cpu)
 
     # What is accepted
     cpu_marks = known_marks.filter("severity IS NULL").drop("severity")
     slow_marks = known_marks.filter("severity IS NOT NULL")
     events = in_scope(slow.filter("status = 'ok'"), "occurred_at").select(
-        "file_key", "offset", "is_open", "source", "severity", "occurred_at", "execution_ms", "description", "detail"
+        "file_no", "offset", "is_open", "source", "severity", "occurred_at", "execution_ms", "description", "detail"
     )
     blocks = cpu.filter("stat_no = 0")
     reports = in_scope(blocks.filter("n_stats > 0"), "reported_at")
     stats = in_scope(stats_only(cpu), "reported_at")
+    # Names of rows that turn out to be stored are known already, so all may be offered.
+    named = events.select("source", "description").unionByName(stats.select("source", "description"))
+    stats = stats.drop("description", "file_key")
     left = _left_open(store, files)
     if left is not None:
         # Files that were replaced: what was open at their end is finished now, and in no file any more.
@@ -266,8 +270,8 @@ def _write_run(
     ).unionByName(
         blocks.select("file_key", "lines", F.col("n_stats").alias("rows"), "bytes")
     )
-    accepted = events.select("file_key", F.col("occurred_at").alias("ts")).unionByName(
-        stats.select("file_key", F.col("reported_at").alias("ts"))
+    accepted = events.select("file_no", F.col("occurred_at").alias("ts")).unionByName(
+        stats.select("file_no", F.col("reported_at").alias("ts"))
     )
 
     def write_counts() -> dict[str, dict]:
@@ -290,11 +294,11 @@ def _write_run(
         "cpu_reports": (reports.withColumn("event_date", by_date), ("reported_at",)),
         "cpu_stats": (stats.withColumn("event_date", by_date), ("description_id", "reported_at")),
     }
-    named = events.select("source", "description").unionByName(stats.select("source", "description"))
+    numbers = files.select("file_key", keys.file_no(F.col("file_key")).alias("file_no"))
     jobs = [write_counts]
     for table, (rows, sort_by) in facts.items():
         jobs.append(partial(store.write, table, folder, rows.filter("NOT is_open"), sort_by, by_source))
-        jobs.append(partial(store.write, f"open_{table}", folder, rows.filter("is_open")))
+        jobs.append(partial(store.write, f"open_{table}", folder, rows.filter("is_open").drop("file_key").join(numbers, "file_no")))
     jobs += [
         partial(store.write, "descriptions", folder, new_names(named, store.closed("descriptions"))),
         partial(store.write, "quarantine", folder, _quarantine(slow).unionByName(_quarantine(blocks))),
@@ -319,13 +323,15 @@ def _left_open(store: Store, files: DataFrame) -> tuple[DataFrame, DataFrame, Da
     gone = files.filter("action = 'replaced'").select("file_key")
     reports, stats, events = [
         (store.read_folders(f"open_{t}", []).drop("run") if df is None else df).join(gone, "file_key", "left_semi")
-        .drop("event_date").withColumn("is_open", F.lit(False)).withColumn("offset", F.lit(-1).cast("bigint"))
+        .withColumns({
+            "file_no": keys.file_no(F.col("file_key")), "is_open": F.lit(False),
+            "offset": F.lit(-1).cast("bigint"), "stat_no": F.lit(1),
+        })
         for t, df in zip(("cpu_reports", "cpu_stats", "slow_events"), opened)
     ]
-    names = store.closed("descriptions").select("description_id", "description")
-    # Copies within a report are told apart by their other columns, as their place in it is not stored.
-    numbered = stats.join(names, "description_id").withColumn("stat_no", F.monotonically_increasing_id().cast("int"))
-    return reports, numbered, events.drop("description_id")
+    return reports.drop("event_date"), stats.drop("event_date", "file_key"), events.drop(
+        "event_date", "description_id", "file_key", "stat_no"
+    )
 
 
 def rebuild_rollups(store: Store, dates: list | None = None, now: int = 0) -> int:

@@ -1,13 +1,17 @@
 """Streaming source for logs that grow in place.
 
 Spark's own file stream takes files as finished. Here the stream position of a file is a byte
-offset with the fingerprint of its first line, so appended bytes are read once, a replaced
-file is read again from its start, and an unfinished record waits for its end. The bytes
-between two positions are cut into ranges that tasks read independently.
+offset with the fingerprints of its first line and of the last bytes before the offset, so appended
+bytes are read once, a replaced file is read again from its start, and an unfinished record waits for
+its end. The bytes between two positions are cut into ranges that tasks read independently.
+
+With a byte limit the position cannot be told from the files. It is the one that Spark has written to
+the query's checkpoint, and no other copy is kept, so the two cannot differ.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 
@@ -23,6 +27,9 @@ from perfweave.sources.catalog import classify_files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Bytes before a position that tell whether the file is still the one that was read.
+LAST_BYTES = 256
+
 TAIL_SCHEMA = "file_key STRING, offset BIGINT, record BINARY"
 
 
@@ -36,6 +43,43 @@ def _holds_blocks(name: str) -> bool:
     return "_slow" not in name
 
 
+def last_bytes_hash(f, at: int) -> str:
+    """sha256 of the bytes just before ``at``."""
+    start = max(0, at - LAST_BYTES)
+    f.seek(start)
+    return hashlib.sha256(f.read(at - start)).hexdigest()
+
+
+def planned_position(checkpoint: str) -> dict:
+    """End of the last batch that Spark planned for a query with this one source; empty before the first.
+
+    A batch that was planned and not finished is run again up to the same end, so reading goes on there.
+    """
+    fs, path = ranges.file_system(checkpoint)
+    files = fs.get_file_info(pafs.FileSelector(f"{path}/offsets", allow_not_found=True))
+    batches = [i for i in files if i.type == pafs.FileType.File and i.base_name.isdigit()]
+    if not batches:
+        return {}
+    with fs.open_input_stream(max(batches, key=lambda i: int(i.base_name)).path) as f:
+        # Spark's log: a version, the batch's metadata, then a line for each source.
+        lines = f.read().decode().splitlines()
+    return {} if len(lines) < 3 or lines[2] == "-" else json.loads(lines[2])
+
+
+def _goes_on(path: str, before: dict | None, to: dict) -> bool:
+    """Whether ``to`` is a later position in the file that ``before`` was in.
+
+    A reader that does not know the checkpoint cannot tell a rewritten file by itself; the bytes before the
+    old position do.
+    """
+    if not before or before["first"] != to["first"] or before.get("life", 0) != to.get("life", 0) or to["at"] < before["at"]:
+        return False
+    if "last" not in before:
+        return True
+    with ranges.open_log(path) as f:
+        return last_bytes_hash(f, before["at"]) == before["last"]
+
+
 class _TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
@@ -46,8 +90,7 @@ class _TailReader(DataSourceStreamReader):
         self.log_tz = options.get("logTz", "UTC")
         # Only files that grow at their end are surely in time order.
         self.rolling = frozenset(json.loads(options.get("rolling", "[]")))
-        # With a byte limit the position cannot be told from the files; it is kept here over restarts.
-        self.positions = options.get("positions")
+        self.checkpoint = options.get("checkpoint")
         self.seen: dict | None = None
         self.known: dict = {}
         self.turn = 0
@@ -55,33 +98,23 @@ class _TailReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
 
-    def _kept(self) -> dict:
-        if self.positions is None:
-            return {}
-        fs, path = ranges.file_system(self.positions)
-        if fs.get_file_info(path).type == pafs.FileType.NotFound:
-            return {}
-        with fs.open_input_stream(path) as f:
-            return json.loads(f.read())
-
-    def _keep(self, seen: dict) -> None:
-        if self.positions is None:
-            return
-        fs, path = ranges.file_system(self.positions)
-        fs.create_dir(path.rpartition("/")[0])
-        with fs.open_output_stream(f"{path}.new") as f:
-            f.write(json.dumps(seen).encode())
-        fs.move(f"{path}.new", path)
-
-    def _finished(self, fs, info) -> tuple[str | None, int]:
-        """First line's hash and end of the last finished record; files that have not changed are not opened."""
+    def _finished(self, fs, info, old: dict | None) -> tuple[str | None, int, bool]:
+        """First line's hash, end of the last finished record, and whether this is another file than before.
+
+        Files that have not changed since the last look are not opened.
+        """
         state = (info.size, info.mtime_ns)
         if self.known.get(info.path, (None,))[0] != state:
             with fs.open_input_file(info.path) as f:
                 first = ranges.first_line_hash(f)
                 end = info.size if self.finalize else ranges.open_tail_offset(f, info.size, 0, _holds_blocks(info.base_name))
+                other = bool(old) and (
+                    old["first"] != first or info.size < old["at"]
+                    or "last" in old and last_bytes_hash(f, old["at"]) != old["last"]
+                )
             self.known[info.path] = (state, first, end)
-        return self.known[info.path][1:]
+            return first, end, other
+        return *self.known[info.path][1:], False
 
     def _step(self, fs, info, at: int, end: int, left: int) -> int:
         """End of the whole records from ``at`` that ``left`` bytes hold; the first one's if a fresh limit holds none."""
@@ -101,7 +134,7 @@ class _TailReader(DataSourceStreamReader):
         """
         fs, base = ranges.file_system(self.folder)
         if self.seen is None:
-            self.seen = self._kept()
+            self.seen = planned_position(self.checkpoint) if self.checkpoint else {}
         left = self.max_bytes
         logs = sorted(
             (i for i in fs.get_file_info(pafs.FileSelector(base))
@@ -113,30 +146,35 @@ class _TailReader(DataSourceStreamReader):
         now = {}
         for info in logs[turn:] + logs[:turn]:
             old = self.seen.get(info.base_name)
-            first, end = self._finished(fs, info)
+            first, end, other = self._finished(fs, info, old)
             if first is None:
                 continue
-            at = old["at"] if old and old["first"] == first else 0
+            at = old["at"] if old and not other else 0
             end = max(end, at)
             if self.max_bytes:
                 if end - at > left:
                     end = self._step(fs, info, at, end, left) if left > 0 else at
                 left -= end - at
-            if end or old:
-                now[info.base_name] = {"first": first, "at": end}
-        if {**self.seen, **now} != self.seen:
-            self.seen = {**self.seen, **now}
-            self._keep(self.seen)
+            if old and not other and end == at:
+                now[info.base_name] = old
+            elif end or old:
+                # A file's life ends when another file takes its name.
+                life = (old.get("life", 0) if old else 0) + other
+                with fs.open_input_file(info.path) as f:
+                    now[info.base_name] = {"first": first, "at": end, "life": life, "last": last_bytes_hash(f, end)}
+        self.seen = {**self.seen, **now}
         return self.seen
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
         out = []
         for name, to in end.items():
-            before = start.get(name)
-            base = before["at"] if before and before["first"] == to["first"] else 0
+            before, path = start.get(name), f"{self.folder.rstrip('/')}/{name}"
+            if before == to:
+                continue
+            base = before["at"] if _goes_on(path, before, to) else 0
             for lo in range(base, to["at"], self.range_bytes):
                 hi = min(lo + self.range_bytes, to["at"])
-                out.append(_Range(name, f"{self.folder.rstrip('/')}/{name}", lo, hi, base, to["at"]))
+                out.append(_Range(name, path, lo, hi, base, to["at"]))
         return out
 
     def read(self, part: _Range):
@@ -176,16 +214,16 @@ def tail_logs(
     finalize: bool = False,
     cutoff: int | None = None,
     max_bytes: int = 0,
-    positions: str | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Stream of raw records with source, type and severity from the file name.
 
-    ``max_bytes`` limits a micro-batch and needs a running trigger: Spark asks a Python source once under
-    ``availableNow``. It also needs ``positions``, a file on shared storage, one for each checkpoint, from
-    which a restarted stream takes up its position.
+    ``max_bytes`` limits a micro-batch. It needs the ``checkpoint`` that the query will be started with, from
+    which the position is taken; the stream must be that query's only source. Under ``availableNow`` Spark
+    asks a Python source for one batch, so a run is one step then.
     """
-    if max_bytes and positions is None:
-        raise ValueError("max_bytes needs a file for positions")
+    if max_bytes and checkpoint is None:
+        raise ValueError("max_bytes needs the query's checkpoint")
     if any("_slow" in s for s in config.sources):
         raise ValueError("source names containing '_slow' cannot be tailed")
     spark.dataSource.register(LogTail)
@@ -198,8 +236,8 @@ def tail_logs(
         .option("logTz", config.log_tz)
         .option("rolling", json.dumps([s + end for s in config.sources for end in (".log", "_slow.log", "_very_slow.log")]))
     )
-    if max_bytes:
-        reader = reader.option("positions", positions)
+    if checkpoint is not None:
+        reader = reader.option("checkpoint", checkpoint)
     if cutoff is not None:
         reader = reader.option("cutoff", cutoff)
     return classify_files(reader.load(), config)

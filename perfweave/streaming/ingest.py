@@ -14,7 +14,7 @@ from perfweave.operators.parse_cpu import parse_blocks
 from perfweave.operators.parse_slow import parse_slow
 from perfweave.plans.ingest import keep_cpu_columns, keep_slow_columns, load_rows
 from perfweave.plans.store import Store, delete, run_together, stage
-from perfweave.sources.tail import tail_logs
+from perfweave.sources.tail import planned_position, tail_logs
 
 
 def store_batch(
@@ -60,22 +60,31 @@ def tail_into_store(
 
     By default it takes what is there and stops; pass ``trigger`` for a running import.
     ``clock`` gives the time that import window and duplicate horizon count from. ``max_bytes`` limits
-    each batch of a running import; with ``availableNow`` it would leave the rest unread and is refused.
+    each batch; with ``availableNow`` steps of that size follow each other until nothing is left, and the
+    query returned is the last of them.
     """
     trigger = trigger or {"availableNow": True}
-    if max_bytes and trigger.keys() & {"availableNow", "once"}:
-        raise ValueError("max_bytes needs a running trigger")
+    in_steps = bool(max_bytes and trigger.keys() & {"availableNow", "once"})
 
     def mark() -> str:
         # The id that a checkpoint keeps over restarts: another checkpoint counts its own batches.
         return f"{query}:{json.loads(spark.read.text(f'{checkpoint}/metadata').first()[0])['id']}"
 
-    stream = tail_logs(spark, data_dir, config, finalize, config.import_cutoff(clock()), max_bytes, f"{checkpoint}-positions.json")
-    return (
-        stream.writeStream.foreachBatch(
-            lambda df, batch_id: store_batch(df, batch_id, store, mark(), clock(), config)
+    def start() -> StreamingQuery:
+        stream = tail_logs(spark, data_dir, config, finalize, config.import_cutoff(clock()), max_bytes, checkpoint)
+        return (
+            stream.writeStream.foreachBatch(
+                lambda df, batch_id: store_batch(df, batch_id, store, mark(), clock(), config)
+            )
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
         )
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+
+    query_ = start()
+    while in_steps:
+        query_.awaitTermination()
+        before, query_ = planned_position(checkpoint), start()
+        query_.awaitTermination()
+        in_steps = planned_position(checkpoint) != before
+    return query_

@@ -6,11 +6,14 @@ has passed its end; state is one row per open bucket and key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfweave.operators.dedup import split_fresh
+
 
 def with_event_time(rows: DataFrame, ts: str) -> DataFrame:
     return rows.withColumn("event_time", F.timestamp_seconds(ts))
@@ -65,9 +68,52 @@ def cpu_function_stream(stats: DataFrame, delay: str = "7 days") -> DataFrame:
     ])
 
 
+def _hashes(rows: DataFrame, key: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a key, nulls told apart from values."""
+    parts = [*[F.col(c) for c in key], *[F.isnull(c) for c in key]]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"_h{seed}") for seed in (1, 2)]
+
+
 def dedup_stream(rows: DataFrame, key: Sequence[str], horizon: str = "7 days") -> DataFrame:
     """First row per key; later copies are dropped, and rows older than the horizon are too.
 
-    Stricter than the batch rule: rows past the high-water mark are not exempt.
+    State is two hashes and a time per key, whatever the key holds; with 10^10 keys at a time any two have
+    the same hashes with a chance of 10^-19. Stricter than the batch rule: rows past the high-water mark
+    are not exempt, as they are in ``dedup_fresh_stream``.
+    """
+    hashed = rows.select("*", *_hashes(rows, key)).withWatermark("event_time", horizon)
+    return hashed.dropDuplicatesWithinWatermark(["_h1", "_h2"]).select(*rows.columns)
+
+
+def dedup_fresh_stream(
+    rows: DataFrame, marks: DataFrame, key: Sequence[str], ts: str, by: Sequence[str], horizon: str = "7 days"
+) -> DataFrame:
+    """The batch rule on a stream: rows past the mark of their stream are kept as they are, repeats too.
+
+    Of the others one row per key is kept. ``marks`` (``by``, max_ts) are the high-water marks of what was
+    stored before the stream; streams without one are checked. State holds the checked keys alone. Rows
+    stored before the stream are known to ``marks`` only, so a batch import has to be complete up to them.
     """
-    return rows.withWatermark("event_time", horizon).dropDuplicatesWithinWatermark(list(key))
+    fresh, rest = split_fresh(rows, marks, ts, by)
+    return fresh.unionByName(dedup_stream(rest, key, horizon))
+
+
+# Where the state of long horizons belongs: on the executors' disks, with changes in the checkpoint.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; a query's checkpoint remembers it."""
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

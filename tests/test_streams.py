@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timezone
 
 import pytest
@@ -8,9 +9,9 @@ from perfweave import EngineConfig
 from perfweave.operators.dedup import SLOW_KEY
 from perfweave.plans.ingest import status_counts
 from perfweave.plans.store import open_store
-from perfweave.sources.tail import _TailReader, tail_logs
+from perfweave.sources.tail import _TailReader, planned_position, tail_logs
 from perfweave.streaming.ingest import store_batch, tail_into_store
-from perfweave.streaming.rollups import dedup_stream, slow_overview_stream, with_event_time
+from perfweave.streaming.rollups import dedup_fresh_stream, dedup_stream, rocksdb_state, slow_overview_stream, with_event_time
 
 NOW = 1773500000
 
@@ -72,7 +73,7 @@ def test_tail_byte_budget(spark, tmp_path):
     config = EngineConfig(range_bytes=150)
     lines = [slow_line(stamp(NOW - 1000 + i), 10 + i) for i in range(40)]
     data = write_logs(tmp_path / "d", {"lua_slow.log": "".join(lines)})
-    stream = tail_logs(spark, data, config, max_bytes=500, positions=str(tmp_path / "at.json"))
+    stream = tail_logs(spark, data, config, max_bytes=500, checkpoint=str(tmp_path / "c"))
     q = (
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
         .start(str(tmp_path / "sink"))
@@ -90,7 +91,8 @@ def test_byte_budget_over_all_files_and_restarts(spark, tmp_path):
     names = ["lua_slow.log", "lua_slow b.log", "sql_slow.log"]
     long_line = slow_line(stamp(NOW), 7, name="n" * 3000)
     data = write_logs(tmp_path / "d", {n: "".join(lines) for n in names} | {"click_slow.log": long_line + lines[0]})
-    options = {"path": data, "maxBytesPerBatch": "1000", "positions": str(tmp_path / "p" / "at.json")}
+    options = {"path": data, "maxBytesPerBatch": "1000", "checkpoint": str(tmp_path / "p")}
+    (tmp_path / "p" / "offsets").mkdir(parents=True)
     position, records, steps = {}, [], []
     while True:
         reader = _TailReader(options)  # a new one each time, as after a restart
@@ -104,13 +106,12 @@ def test_byte_budget_over_all_files_and_restarts(spark, tmp_path):
             for batch in reader.read(part):
                 records += [(r["file_key"], r["offset"], r["record"]) for r in batch.to_pylist()]
         position = after
+        (tmp_path / "p" / "offsets" / str(len(steps))).write_text(f"v1\n{{}}\n{json.dumps(position)}")
     assert sorted(r[2].decode() for r in records) == sorted(lines * 3 + [long_line, lines[0]])
     assert len(set(records)) == len(records)
     assert sorted(steps)[-1] == len(long_line) and sorted(steps)[-2] <= 1000
     with pytest.raises(ValueError):
         tail_logs(spark, data, EngineConfig(), max_bytes=10)
-    with pytest.raises(ValueError):
-        tail_into_store(spark, data, None, str(tmp_path / "c"), lambda: NOW, max_bytes=10)
 
 
 def test_tail_drops_ranges_before_the_window(spark, tmp_path):
@@ -181,3 +182,51 @@ def test_two_checkpoints_into_one_store(spark, tmp_path):
         tail_into_store(spark, data, store, str(tmp_path / f"checkpoint {name}"), lambda: 1773500000, finalize=True).awaitTermination()
     assert {r.description for r in store.tables().descriptions.collect()} == {"one", "two"}
     assert store.tables().slow_events.count() == 2
+
+
+def test_limit_switched_on_for_an_old_checkpoint(spark, tmp_path):
+    lines = [slow_line(stamp(NOW - 3000 + i), 10 + i) for i in range(120)]
+    data = write_logs(tmp_path / "d", {"lua_slow.log": "".join(lines[:60])})
+    store, checkpoint = open_store(spark, str(tmp_path / "s")), str(tmp_path / "c")
+    tail_into_store(spark, data, store, checkpoint, lambda: NOW).awaitTermination()
+    before = planned_position(checkpoint)["lua_slow.log"]["at"]
+    assert before == len("".join(lines[:60]))
+    with open(f"{data}/lua_slow.log", "a") as f:
+        f.write("".join(lines[60:]))
+    tail_into_store(spark, data, store, checkpoint, lambda: NOW, max_bytes=len(lines[0]) * 25)
+    assert store.tables().slow_events.count() == 120
+    assert len(store.committed()) == 4  # three steps of 25 lines at most
+    audit = store.read("ingest_audit").agg(F.sum("bytes_read"), F.sum("rows_inserted")).first()
+    assert tuple(audit) == (len("".join(lines)), 120)
+
+
+def test_rewritten_file_with_the_same_first_line(spark, tmp_path):
+    first = slow_line(stamp(NOW - 9000), 5)
+    lives = [[first] + [slow_line(stamp(NOW - 8000 + 1000 * k + i), 10 + i, name=f"life{k}") for i in range(n)] for k, n in enumerate((80, 30, 200))]
+    data, seen = tmp_path / "d", []
+    for life in lives:  # longer, shorter and longer again than what was read before
+        write_logs(data, {"lua_slow.log": "".join(life)})
+        rows = drain(spark, tail_logs(spark, str(data), EngineConfig(), True, None), str(tmp_path / "q")).collect()
+        seen += life
+        assert sorted(bytes(r.record).decode() for r in rows) == sorted(seen)
+    # Grown past the old position before anyone looked.
+    late = [first] + [slow_line(stamp(NOW - 2000 + i), 10 + i, name="late") for i in range(400)]
+    write_logs(data, {"lua_slow.log": "".join(late)})
+    rows = drain(spark, tail_logs(spark, str(data), EngineConfig(), True, None), str(tmp_path / "q")).collect()
+    assert sorted(bytes(r.record).decode() for r in rows) == sorted(seen + late)
+
+
+def test_fresh_rows_are_exempt_and_state_is_hashes(spark, tmp_path):
+    schema = "source STRING, severity STRING, occurred_at BIGINT, execution_ms BIGINT, description STRING, detail STRING"
+    old = [("lua", "slow", NOW + i // 3, 1, "f" * 1000, None) for i in range(30)]  # each three times
+    new = [("lua", "slow", NOW + 100 + i // 2, 1, "f", "d") for i in range(20)]  # each twice
+    other = [("sql", "slow", NOW + 100, 1, None, "f"), ("sql", "slow", NOW + 100, 1, "f", None)] * 2
+    spark.createDataFrame(old + new + other, schema).write.parquet(str(tmp_path / "in"))
+    stream = with_event_time(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "occurred_at")
+    marks = spark.createDataFrame([("lua", "slow", NOW + 50)], "source STRING, severity STRING, max_ts BIGINT")
+    with rocksdb_state(spark):
+        kept = drain(spark, dedup_fresh_stream(stream, marks, SLOW_KEY, "occurred_at", ("source", "severity")).select(*SLOW_KEY), str(tmp_path / "a"))
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert kept.count() == 10 + 20 + 2
+    state = spark.read.format("statestore").load(str(tmp_path / "a" / "c"))
+    assert sorted(state.schema["key"].dataType.names) == ["_h1", "_h2"] and state.count() == 12
