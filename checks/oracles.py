@@ -240,6 +240,7 @@ all_files AS (
 
 
 def all_sql() -> dict[str, str]:
+    from checks.lives import life_sql
     from checks.streams import stream_sql
 
     text = [_SLOW, _REPORTS, _STATS, _TEXT_EVENTS, _TEXT_REPORTS]
@@ -424,4 +425,4 @@ SELECT file_key, strftime(make_timestamp(max(stamp) * 1000000), '%Y-%m-%d %H:%M:
     for sort in ("max", "avg", "total"):
         sql[f"cpu_top_{sort}"] = _cpu_top(False, sort)
         sql[f"cpu_top_rollup_{sort}"] = _cpu_top(True, sort)
-    return {**sql, **stream_sql()}
+    return {**sql, **stream_sql(), **life_sql()}

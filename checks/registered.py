@@ -435,6 +435,7 @@ def import_status(spark, sf_dir):
 
 
 def all_queries():
+    from checks.lives import life_queries
     from checks.streams import stream_queries
 
     named = {
@@ -501,4 +502,4 @@ def all_queries():
         "slow_function": "slow_function_bucket_agg",
     }.items():
         named[f"rollup_{short}"] = partial(rollup, name=name)
-    return {**named, **stream_queries()}
+    return {**named, **stream_queries(), **life_queries()}

@@ -103,7 +103,7 @@ def parse_cpu_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_o
 
 
 def _quarantine(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("line IS NOT NULL").select(
+    return parsed.filter("line IS NOT NULL AND NOT is_open").select(
         "file_key", "source", "offset", F.col("status").alias("reason"), "line"
     )
 
@@ -135,7 +135,10 @@ def _import(
 ) -> ImportRun:
     plan = plan_files(spark, data_dir, store.state(), now, config)
     todo = plan.filter(F.col("action").isin(*READING))
-    todo = todo.withColumn("open_offset", F.col("file_size")) if finalize else with_open_tail(todo)
+    if finalize:
+        todo = todo.withColumn("open_offset", F.col("file_size")).withColumn("whole_first", F.lit(True))
+    else:
+        todo = with_open_tail(todo)
     todo = stage(todo, f"{scratch}/plan")
     size = todo.agg(
         F.count(F.lit(1)).alias("files"), F.sum(F.col("file_size") - F.col("start_offset")).alias("bytes")
@@ -160,6 +163,9 @@ def _import(
         to = F.when(unfinished, F.col("open_offset")).otherwise(F.col("file_size")) if hold else F.col("file_size")
         return audited.withColumn("byte_offset", to).withColumn(
             "open_offset", F.when(unfinished & F.lit(not hold), F.col("open_offset"))
+        ).withColumn(
+            # Half a first line is no fingerprint.
+            "first_line", F.when(F.col("whole_first"), F.col("first_line"))
         ).withColumn("max_occurred_at", F.greatest("prev_max_at", "max_ts")).withColumn(
             "updated_at", F.lit(now).cast("bigint")
         )

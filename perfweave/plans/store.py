@@ -82,10 +82,10 @@ def delete(spark: SparkSession, path: str) -> None:
 class Store:
     """Reads and writes the tables under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, as_of: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.log = CommitLog(spark, f"{self.root}/runs")
+        self.log = CommitLog(spark, f"{self.root}/runs", as_of)
 
     def scratch(self) -> str:
         """A folder for a run's intermediate tables; the run removes it."""
@@ -275,7 +275,8 @@ class Store:
         )
 
 
-def open_store(spark: SparkSession, root: str) -> Store:
+def open_store(spark: SparkSession, root: str, as_of: int | None = None) -> Store:
+    """The store under ``root``, or read-only as it was after run ``as_of``."""
     if "://" not in root and not root.startswith("file:"):
         root = os.path.abspath(root)
-    return Store(spark, root)
+    return Store(spark, root, as_of)

@@ -264,23 +264,26 @@ def with_seek_offsets(files: DataFrame, cutoff: int, log_tz: str) -> DataFrame:
 
 
 def with_open_tail(files: DataFrame) -> DataFrame:
-    """Adds open_offset: where the unfinished last record of each file begins.
+    """Adds open_offset: where the unfinished last record of each file begins, and whole_first: whether
+    the first line has been written to its end.
 
     Reads each file's tail only. Input needs path, type, file_size and start_offset.
     """
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, whole = [], []
             cols = (batch[c].to_pylist() for c in ("path", "type", "file_size", "start_offset"))
             for path, kind, size, base in zip(*cols):
                 with open_log(path) as f:
                     out.append(open_tail_offset(f, size, base, kind == "cpu"))
+                    whole.append(out[-1] > 0 or open_tail_offset(f, size, 0, False) > 0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "open_offset"]
+                [*batch.columns, pa.array(out, pa.int64()), pa.array(whole, pa.bool_())],
+                names=[*batch.schema.names, "open_offset", "whole_first"],
             )
 
-    return files.mapInArrow(run, _plus(files, "open_offset BIGINT"))
+    return files.mapInArrow(run, _plus(files, "open_offset BIGINT, whole_first BOOLEAN"))
 
 
 def cut_ranges(plan: DataFrame, range_bytes: int, n_tasks: int) -> DataFrame:
