@@ -1,9 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary labelled text, share their lowest level: in how
-many documents of the whole corpus a word occurs. A text's evidence is the difference of its two log
-likelihoods, per word of the whole text and per word of its strongest expression; a logistic curve,
-fitted on labelled rows that the models have not seen, turns both into a score.
+Two bigram models, one of toxic and one of ordinary labelled text, back off to the same lowest level: in
+how many documents of the whole corpus a word occurs. Both give their lower levels the same weight, that of
+the model which needs it more, so an expression that neither class has often is as likely in both and
+says nothing; else the smaller class would find every rare word likelier. Of a count up to ``DISCOUNT`` is
+taken off, so what was seen that rarely counts through the level below only, which also keeps the models
+small without leaving anything out.
+
+A text's evidence is its likelihood ratio normalised by length: the power mean of order ``POWER`` of the
+ratios of its words, in logarithms, so a few words that are much likelier in toxic text are not drowned
+by many that say little. A logistic curve, fitted on labelled rows that the models have not seen, turns it
+into a score.
 """
 
 from __future__ import annotations
@@ -21,11 +28,11 @@ from pyspark.sql import functions as F
 
 from perfweave.llm.common import stage, table
 
-# Bounds of the labelled sample: documents and characters of a class. The models hold every word and pair of it.
+# Bounds of the labelled sample: documents and characters of a class.
 TRAIN_DOCS = 4096
 TRAIN_CHARS = 20_000_000
-DISCOUNT = 0.75
-STRONGEST = 3
+DISCOUNT = 3
+POWER = 2
 FOLDS = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,46 +72,51 @@ class Model:
     """Arrays by a word's place in ``word`` (sorted hashes); column 0 is the toxic class, 1 the ordinary one."""
 
     word: np.ndarray
-    # P(w) of each class, and of each class the total and the number of followers of w.
+    # P(w) of each class, and of the words that follow w: their counts' sum in each class after discounts, and
+    # the weight given to it. Classes that both have the word give the same weight.
     p_word: np.ndarray
-    follow_total: np.ndarray
-    follow_kinds: np.ndarray
-    # Hashes of neighbouring words (``pair_hash``), sorted.
+    follow: np.ndarray
+    weight: np.ndarray
+    # Hashes of neighbouring words (``pair_hash``), sorted, and their discounted counts.
     pair: np.ndarray
     pair_count: np.ndarray
-    # Log ratio of a word that neither class has: both fall back to the shared level.
-    unseen: float
-    curve: tuple[float, float, float] = (10.0, 2.0, -6.0)
+    curve: tuple[float, float] = (2.0, -2.0)
     places: _Places | None = None
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Log-likelihood ratio per word: over all words, and over the ``STRONGEST`` most telling ones."""
+    def ratios(self, text: str | None) -> np.ndarray:
+        """Log-likelihood ratio of every word; 0 for one that the models know from below only."""
         tokens = words(text)
         if not tokens or not len(self.word):
-            return 0.0, 0.0
+            return np.zeros(len(tokens))
         if self.places is None:
             self.places = _Places(self.word)
         at = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
         known = at >= 0
         p = self.p_word[at]
         both = np.flatnonzero(known[1:] & known[:-1])
-        if len(both) and len(self.pair):
+        both = both[self.weight[at[both]].any(1)]
+        if len(both):
             before, word = at[both], at[both + 1]
             key = pair_hash(self.word[before], self.word[word])
             k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             count = np.where((self.pair[k] == key)[:, None], self.pair_count[k], 0)
-            total, lower = self.follow_total[before], p[both + 1]
-            mixed = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * self.follow_kinds[before] * lower) / np.maximum(total, 1)
-            p[both + 1] = np.where(total > 0, mixed, lower)
-        ratio = np.full(len(at), self.unseen)
+            w = self.weight[before]
+            p[both + 1] = w * count / self.follow[before] + (1 - w) * p[both + 1]
+        ratio = np.zeros(len(at))
         ratio[known] = np.log(p[known, 0]) - np.log(p[known, 1])
-        strongest = np.partition(ratio, -STRONGEST)[-STRONGEST:] if len(at) > STRONGEST else ratio
-        return float(ratio.mean()), float(strongest.sum()) / STRONGEST
+        return ratio
+
+    def evidence(self, text: str | None) -> float:
+        """Logarithm of the power mean of the words' likelihood ratios; 0 without words."""
+        ratio = POWER * self.ratios(text)
+        if not len(ratio):
+            return 0.0
+        top = ratio.max()
+        return float(top + np.log(np.exp(ratio - top).mean())) / POWER
 
     def score(self, text: str | None) -> float:
-        per_word, strongest = self.evidence(text)
-        a, b, c = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * per_word + b * strongest + c, -30, 30))))
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-np.clip(a * self.evidence(text) + b, -30, 30))))
 
 
 def fold(doc_id: Column) -> Column:
@@ -173,69 +185,77 @@ def _collected(rows: DataFrame, turn: Callable[[np.ndarray], np.ndarray], width:
     return np.frombuffer(b"".join(parts), np.int64).reshape(-1, width)
 
 
-def _packed_pairs(rows: np.ndarray) -> np.ndarray:
-    """``before, word, n0, n1`` as the pair's hash and both counts in one number."""
-    return np.stack([pair_hash(rows[:, 0], rows[:, 1]), rows[:, 2] << 32 | rows[:, 3]], 1)
+def _discounted(column: str) -> Column:
+    return F.greatest(F.col(column) - DISCOUNT, F.lit(0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Models from folds 2 and up, the curve from fold 1; fold 0 is never read with its labels.
 
     ``docs`` has ``id, text``, ``labels`` has ``id, toxic``. Word counts of the shared level come from all
-    rows; labelled rows are a sample of at most ``train_docs`` of a class, and of them the models hold all
-    words and all pairs, so the sample alone bounds their size.
+    rows; labelled rows are a sample of at most ``train_docs`` of a class. The driver gets the words and pairs
+    of the sample with a count above the discount; of the others nothing but their sums enters a score.
     """
     sample = stage(_labelled(docs, labels, train_docs))
     pairs = stage(sample.filter("NOT curve").select("toxic", "text").mapInPandas(
         _class_pairs, "toxic int, before long, word long, n long").groupBy("toxic", "before", "word").agg(F.sum("n").alias("n")))
-    each = [F.col("toxic") == 1, F.col("toxic") == 0]
-    count = lambda c, i: F.coalesce(F.sum(F.when(each[i], c)), F.lit(0))
-    cont = pairs.groupBy("word").agg(*[count(F.lit(1), i).alias(f"kinds{i}") for i in (0, 1)])
-    follow = pairs.groupBy(F.col("before").alias("word")).agg(
-        *[count(F.col("n"), i).alias(f"total{i}") for i in (0, 1)], *[count(F.lit(1), i).alias(f"follow{i}") for i in (0, 1)])
     corpus = stage(docs.select("text").mapInPandas(_document_counts, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs")))
     sums = corpus.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
-    known = _collected(cont.join(follow, "word", "left").join(corpus, "word", "left").fillna(0).select(
-        "word", "kinds0", "kinds1", "total0", "total1", "follow0", "follow1", "docs"), lambda rows: rows, 8)
-    vocabulary = known[np.argsort(known[:, 0])]
-    kinds = pairs.groupBy("toxic").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("word").alias("words")).toPandas().set_index("toxic")
-    # A text's first word has no word before it to be looked up with.
-    seen = _collected(pairs.filter("before <> 0").groupBy("before", "word").agg(
-        *[count(F.col("n"), i).alias(f"n{i}") for i in (0, 1)]), _packed_pairs, 2)
-    if len(kinds) < 2:
-        return Model(*[np.zeros(0)] * 6, unseen=0.0, curve=(0.0, 0.0, -2.0))
-    word = np.ascontiguousarray(vocabulary[:, 0])
-    shared = (vocabulary[:, 7] + 0.5) / (sums["docs"] + 0.5 * (sums["words"] + 1))
-    left = np.array([DISCOUNT * kinds.loc[t, "words"] / kinds.loc[t, "pairs"] for t in (1, 0)])
-    p = np.stack([np.maximum(vocabulary[:, 1 + i] - DISCOUNT, 0) / kinds.loc[1 - i, "pairs"] + left[i] * shared for i in (0, 1)], 1)
-    order = np.argsort(seen[:, 0])
-    counts = np.stack([seen[order, 1] >> 32, seen[order, 1] & 0xFFFFFFFF], 1, dtype=np.int32, casting="unsafe")
-    model = Model(
-        word, p, vocabulary[:, 3:5].astype(np.int32), vocabulary[:, 5:7].astype(np.int32), seen[order, 0], counts,
-        unseen=float(np.log(left[0] / left[1])))
-    del known, vocabulary, seen, order
+
+    def by_class(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+        """Columns of the toxic class (0) and of the ordinary one (1) side by side; 0 where a class has no row."""
+        each = [F.max(F.when(F.col("toxic") == 1 - i, F.col(c))).alias(f"{c}{i}") for c in columns for i in (0, 1)]
+        return rows.groupBy(*keys).agg(*each).fillna(0)
+
+    # A word counts by how many different words it follows; a text's first word follows the key 0.
+    kinds = pairs.groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("top", _discounted("n"))
+    whole = {r["toxic"]: r for r in kinds.groupBy("toxic").agg(F.sum("n").alias("n"), F.sum("top").alias("top")).collect()}
+    inner = pairs.filter("before <> 0").withColumn("top", _discounted("n"))
+    follow = by_class(
+        inner.groupBy("toxic", "before").agg(F.sum("n").alias("n"), F.sum("top").alias("top")), ["before"], "n", "top"
+    ).filter("least(top0, top1) > 0 OR n0 = 0 AND top1 > 0 OR n1 = 0 AND top0 > 0")
+    kept = by_class(inner.filter("top > 0"), ["before", "word"], "top").join(follow.select("before"), "before", "left_semi")
+    ends = kept.select("word").unionByName(kept.select(F.col("before").alias("word"))).distinct().withColumn("paired", F.lit(1))
+    tops = by_class(kinds.filter("top > 0"), ["word"], "top")
+    vocabulary = ends.join(tops, "word", "full").join(corpus, "word", "left").fillna(0)
+    known = _collected(vocabulary.select("word", "top0", "top1", "docs"), lambda rows: rows, 4)
+    after = _collected(follow.select("before", "n0", "n1", "top0", "top1"), lambda rows: rows, 5)
+    seen = _collected(kept.select("before", "word", "top0", "top1"), lambda rows: np.stack([pair_hash(rows[:, 0], rows[:, 1]), rows[:, 2], rows[:, 3]], 1), 3)
+    if len(whole) < 2:
+        return Model(*[np.zeros(0)] * 6, curve=(0.0, -2.0))
+    known, seen = known[np.argsort(known[:, 0])], seen[np.argsort(seen[:, 0])]
+    word = np.ascontiguousarray(known[:, 0])
+    shared = (known[:, 3] + 0.5) / (sums["docs"] + 0.5 * (sums["words"] + 1))
+    below = max(1 - r["top"] / r["n"] for r in whole.values())
+    p = np.stack([(1 - below) * known[:, 1 + i] / max(whole[1 - i]["top"], 1) + below * shared for i in (0, 1)], 1)
+    weight, rest = np.zeros((len(word), 2)), np.ones((len(word), 2))
+    at = np.searchsorted(word, after[:, 0])
+    own = after[:, 3:5] / np.maximum(after[:, 1:3], 1)
+    weight[at] = np.where(after[:, 1:3].min(1, keepdims=True) > 0, own.min(1, keepdims=True), own)
+    rest[at] = np.maximum(after[:, 3:5], 1)
+    model = Model(word, p, rest, weight, np.ascontiguousarray(seen[:, 0]), seen[:, 1:3].astype(float))
     model.curve = _fit_curve(sample.filter("curve").select("toxic", "text"), model)
     return model
 
 
-def _fit_curve(sample: DataFrame, model: Model) -> tuple[float, float, float]:
+def _fit_curve(sample: DataFrame, model: Model) -> tuple[float, float]:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = np.array([shared.value.evidence(t) for t in batch["text"]]).reshape(-1, 2)
-            yield pd.DataFrame({"toxic": batch["toxic"], "a": got[:, 0], "b": got[:, 1]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "a": [shared.value.evidence(t) for t in batch["text"]]})
 
-    seen = sample.mapInPandas(measure, "toxic int, a double, b double").toPandas()
+    seen = sample.mapInPandas(measure, "toxic int, a double").toPandas()
+    shared.unpersist()
     y = seen["toxic"].to_numpy(float)
     if len(y) < 8 or y.min() == y.max():
         return model.curve
-    x = np.stack([seen["a"], seen["b"], np.ones(len(y))], 1)
+    x = np.stack([seen["a"], np.ones(len(y))], 1)
     scale = np.maximum(np.abs(x).max(0), 1e-9)
-    x, w = x / scale, np.zeros(3)
+    x, w = x / scale, np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([1e-3] * 3), x.T @ (p - y) + 1e-3 * w)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([1e-3] * 2), x.T @ (p - y) + 1e-3 * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
