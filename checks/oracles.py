@@ -392,6 +392,14 @@ SELECT DISTINCT source, description FROM slow
 EXCEPT SELECT source, description FROM slow WHERE description_id % 2 = 0""",
         "dim_lookup": _with(_SLOW) + """
 SELECT source, CASE WHEN description_id % 2 = 0 THEN description_id END AS description_id, count(*) AS n FROM slow GROUP BY 1, 2""",
+        "slow_envelope": _with(_SLOW) + f"""
+SELECT 'click' AS source, '30d' AS range, {_SLOW_END} - {_DUR['30d']} AS start, {_SLOW_END} AS "end", {_BUCKET['30d']} AS bucket_seconds,
+  CAST(NULL AS BIGINT) AS description_id, CAST(NULL AS VARCHAR) AS description
+UNION ALL
+SELECT min(source), '7d', {_SLOW_END} - {_DUR['7d']}, {_SLOW_END}, {_BUCKET['7d']}, description_id, min(description) FROM slow
+WHERE description_id = (SELECT description_id FROM slow GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) GROUP BY description_id""",
+        "cpu_envelope": _with(_REPORTS) + f"""
+SELECT '2-HIGH' AS source, 'all' AS range, {_CPU_END} - {_DUR['all']} AS start, {_CPU_END} AS "end", {_BUCKET['all']} AS bucket_seconds""",
         "dim_collisions": "SELECT CAST(0 AS BIGINT) AS collisions",
         "import_slow_events": _with(*text) + slow_rows,
         "import_cpu_stats": _with(*text) + """

@@ -18,6 +18,7 @@ from perfweave.operators.parse_cpu import block_reports, block_stats, identified
 from perfweave.operators.parse_slow import parse_slow, slow_quarantine, slow_rows
 from perfweave.operators.resume import resume_plan, status_report, upsert_state
 from perfweave.plans import cpu, sample_views as views, slow
+from perfweave.plans.envelope import envelope
 from perfweave.plans.ingest import import_logs, plan_files, status_counts
 from perfweave.plans.store import Store, open_store, scratch_dir
 from perfweave.sources.catalog import classify_files, list_logs, pending_bytes, total_log_bytes
@@ -126,6 +127,18 @@ def auto_routing_raw(spark, sf_dir):
     return rounded(slow.overview(_slow(spark, sf_dir), SLOW_SOURCE, None, "7d", "auto", views.SLOW_CONFIG))
 
 
+def slow_envelope(spark, sf_dir):
+    """Source and window of the overview with the default end, and of the busiest function's series."""
+    tables = _slow(spark, sf_dir)
+    whole = envelope(tables, "slow", SLOW_SOURCE, None, "30d", config=views.SLOW_CONFIG)
+    function = envelope(tables, "slow", None, None, "7d", _busiest(tables.slow_events), views.SLOW_CONFIG)
+    return whole.unionByName(function, allowMissingColumns=True)
+
+
+def cpu_envelope(spark, sf_dir):
+    return envelope(_cpu(spark, sf_dir), "cpu", CPU_SOURCE, None, "all", config=views.CPU_CONFIG)
+
+
 def cpu_meta(spark, sf_dir):
     meta = cpu.cpu_meta(_cpu(spark, sf_dir), views.CPU_CONFIG)
     return meta.withColumn("sources", F.array_join("sources", ","))
@@ -459,6 +472,8 @@ def all_queries():
         "sparse_min": sparse_min,
         "auto_routing": auto_routing,
         "auto_routing_raw": auto_routing_raw,
+        "slow_envelope": slow_envelope,
+        "cpu_envelope": cpu_envelope,
         "cpu_meta": cpu_meta,
         "slow_meta": slow_meta,
         "time_bounds": time_bounds,
