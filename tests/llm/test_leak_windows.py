@@ -1,4 +1,4 @@
-"""Leaks against a search over all item-sized windows, those that begin before the document too."""
+"""Leaks against a search over all item-sized windows, those that reach beyond the document too."""
 
 from collections import Counter
 
@@ -29,9 +29,6 @@ def plain_leaks(texts, items):
             if len(wanted) < 5:
                 continue
             for at in range(5 - len(wanted), len(words) - 4):
-                # One that begins before the document counts where a shingle stands at its place in the item.
-                if at < 0 and not any(words[at + k : at + k + 5] == wanted[k : k + 5] for k in range(-at, len(wanted) - 4)):
-                    continue
                 start, end = max(0, at), min(len(words), at + len(wanted))
                 similarity = similar(words[start:end], wanted)
                 if similarity >= 0.75:
@@ -39,13 +36,6 @@ def plain_leaks(texts, items):
     return found
 
 
-def best(found):
-    most = {}
-    for (d, i, *_), similarity in found.items():
-        most[d, i] = max(similarity, most.get((d, i), 0))
-    return most
-
-
 def cases():
     rng = np.random.default_rng(11)
     names = [f"w{i}" for i in range(300)]
@@ -58,22 +48,44 @@ def cases():
         changed = list(item)
         changed[-3] = "other"
         texts += [item + word(30), word(3) + item + word(4), word(30) + item, item[2:] + word(9), changed + word(5), item[: len(item) // 2] + word(40)]
-    texts += [word(60), lead * 4, []]
+        half = len(item) // 2
+        texts += [word(20) + item[half:] + item[:half] + word(20), item[half:] + item[:half]]
+    x, y = word(50), word(50)
+    items.append(x + y)
+    texts += [y + x, word(40) + y + x + word(30), word(9) + y[:45], x + y[10:], x + y + word(2) + x + y]
+    texts += [word(60), lead * 4, [], items[0] * 5]
     return [(i, " ".join(t)) for i, t in enumerate(texts)], [(i, " ".join(t)) for i, t in enumerate(items)]
 
 
-# Other numbers of partitions meet the windows in another order.
-@pytest.mark.parametrize("parts", [1, 5])
-def test_all_windows(spark, parts):
+# Other numbers of partitions meet the windows in another order; without broadcasts the keys are shuffled.
+@pytest.mark.parametrize(("parts", "broadcast"), [(1, 500_000), (5, 0)])
+def test_all_windows(spark, monkeypatch, parts, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast)
     texts, items = cases()
     want = plain_leaks(texts, items)
     docs, bench = spark.createDataFrame(texts, DOCS).repartition(parts), spark.createDataFrame(items, ITEMS)
-    got = {(r.id, r.item_id, r.start, r.n_words): r.similarity for r in decontamination.leaks(docs, bench).collect()}
-    # Windows are laid where a shingle stands at its place in the item: the most similar one of each leak is among them.
-    assert best(got) == pytest.approx(best(want))
-    # Windows of one item's length are held against the others too: each is as similar as it says.
-    words, wanted = ({i: (t or "").lower().split() for i, t in rows} for rows in (texts, items))
-    for (d, i, start, n), similarity in got.items():
-        assert similarity == pytest.approx(similar(words[d][start : start + n], wanted[i]))
+    rows = decontamination.leaks(docs, bench).collect()
+    got = {(r.id, r.item_id, r.start, r.n_words): r.similarity for r in rows}
+    assert len(got) == len(rows)
+    # All windows within the threshold are within the radius too, here; elsewhere one in some ten thousand is not.
+    assert got == pytest.approx(want)
     kept = {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()}
     assert kept == {d for d, _ in texts} - {d for d, *_ in want}
+
+
+def test_halves_swapped(spark):
+    x, y = [" ".join(f"{c}{i}" for i in range(50)) for c in "xy"]
+    docs = spark.createDataFrame([(1, f"{y} {x}"), (2, f"{x} z"), (3, f"{y} {y}"), (None, f"a b c {y} {x} d")], DOCS)
+    found = decontamination.leaks(docs, spark.createDataFrame([(7, f"{x} {y}")], ITEMS)).collect()
+    best = {}
+    for r in found:
+        best[r.id] = max(best.get(r.id, 0), r.similarity)
+    assert best == pytest.approx({1: 92 / 100, None: 92 / 100})
+
+
+def test_no_items(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, ""), (1, "a b c d e f")], DOCS)
+    short = spark.createDataFrame([(1, "a b c"), (2, None)], ITEMS)
+    assert decontamination.leaks(docs, short).count() == 0
+    assert decontamination.decontaminate(docs, short).count() == 4
+    assert decontamination.decontaminate(docs.limit(0), short).count() == 0
