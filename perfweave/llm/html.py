@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -23,16 +24,19 @@ from perfweave.llm.common import stage, table
 MIN_PAGES = 10
 MIN_SHARE = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+# No pattern goes back over what it took, so each reads a place once.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+_SPECIAL = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]++))?")
 _SPACE = re.compile(r"\s+")
 
-# HTML's void elements, elements that stand in running text, and elements never part of an article.
+# HTML's void elements, elements that stand in running text, elements whose content is not read, and
+# elements never part of an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template svg textarea iframe title".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu object audio video canvas map".split())
 # Elements that a new one of the same group closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -54,11 +58,11 @@ class Node:
         self.tag, self.declared, self.parts, self.mark = tag, declared, [], 0
 
 
-def _declared(tag: str, attributes: str, inside: set[str]) -> bool:
+def _declared(tag: str, attributes: str, opened: Counter[str]) -> bool:
     if tag in DROPPED:
         return True
     if tag == "header":
-        return "article" not in inside and "main" not in inside
+        return not opened["article"] and not opened["main"]
     if not attributes or tag in ("body", "html", "main", "article"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -70,41 +74,125 @@ def _declared(tag: str, attributes: str, inside: set[str]) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
 
 
+def _tag_ends(page: str) -> Callable[[int], int]:
+    """A function that gives the ``>`` outside quotes that ends what begins at a place, or -1; asked at rising places.
+
+    Where a way through quotes and brackets leads is kept for each of them, so that all calls together take linear time.
+    """
+    last = {c: page.rfind(c) for c in ">\"'"}
+    leads: dict[int, int] = {}
+    near = 0 if max(last.values()) >= 0 else -1
+
+    def following(at: int) -> int:
+        return _SPECIAL.search(page, at).start() if at <= max(last.values()) else -1
+
+    def end(at: int) -> int:
+        nonlocal near
+        if near >= 0 and (near < at or near == 0):
+            near = following(at)
+        way, q = [], near
+        while q >= 0 and q not in leads:
+            way.append(q)
+            if page[q] == ">":
+                leads[q] = q
+            elif q == last[page[q]]:
+                leads[q] = -1
+            else:
+                q = following(page.find(page[q], q + 1) + 1)
+        found = leads[q] if q >= 0 else -1
+        leads.update(dict.fromkeys(way, found))
+        return found
+
+    return end
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """``kind, tag, attributes, text``: kinds are text, open, close and raw. Comments and declarations give none.
+
+    A tag whose quotes or bracket are never closed is text from its ``<`` on. Time is linear in any markup.
+    """
+    at, size, ends, last_end = 0, len(page), None, page.rfind(">")
+    while at < size:
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = size if stop < 0 else stop
+            yield "text", "", "", page[at:stop]
+            at = stop
+            continue
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = size if stop < 0 else stop + 3
+            continue
+        tag = None
+        if ends is None:
+            m = _TAG.match(page, at)
+            if m:
+                tag, attributes, stop = m[2].lower(), m[3], m.end()
+        if tag is None:
+            m = _NAME.match(page, at)
+            if m:
+                ends = ends or _tag_ends(page)  # from the first broken tag of a page on
+                stop = ends(m.end()) + 1
+                if stop:
+                    tag, attributes = m[2].lower(), page[m.end() : stop - 1]
+        if tag is not None:
+            if m[1]:
+                yield "close", tag, "", ""
+            elif tag in RAW:
+                close = re.compile(rf"</{tag}\s*+>", re.I).search(page, stop)
+                stop = close.end() if close else size
+                yield "raw", tag, "", page[at:stop]
+            else:
+                yield "open", tag, attributes, ""
+            at = stop
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and at < last_end:
+            at = page.find(">", at) + 1
+        else:
+            yield "text", "", "", "<"
+            at += 1
+
+
 def parse(page: str) -> Node:
     """Element tree of a page. Broken markup never fails: open elements end with their parents."""
     root = Node("", False)
     stack = [root]
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
-        if tag is None:
-            text = m[0]
-            if m[1] is None and text[0] != "<" or text == "<":
-                stack[-1].parts.append(text)
-            elif m[1] is not None:
-                raw = Node(m[1].lower(), True)
-                raw.parts.append(text)
-                stack[-1].parts.append(raw)
-            continue
-        tag = tag.lower()
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at:
-                del stack[at:]
-            continue
-        ends = CLOSES.get(tag, frozenset())
-        if tag in PARAGRAPH_ENDS:
-            ends = ends | {"p"}
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
+    # For each open element the place of the closest one, itself included, that does not stand in running text.
+    block = [0]
+    opened: Counter[str] = Counter()
+
+    def close(at: int) -> None:
+        opened.subtract(n.tag for n in stack[at:])
+        del stack[at:], block[at:]
+
+    for kind, tag, attributes, text in tokens(page):
+        if kind == "text":
+            stack[-1].parts.append(text)
+        elif kind == "raw":
+            raw = Node(tag, True)
+            raw.parts.append(text)
+            stack[-1].parts.append(raw)
+        elif kind == "close":
+            if opened[tag] > 0:
+                # All that is walked over is closed.
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+        else:
+            ends = CLOSES.get(tag, frozenset())
+            if tag in PARAGRAPH_ENDS:
+                ends = ends | {"p"}
+            i = block[-1] if ends else 0
+            while i > 0:
                 if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE and stack[i].tag not in ("tr", "td", "th"):
-                    break
-        node = Node(tag, _declared(tag, m[4], {n.tag for n in stack} if tag == "header" else set()))
-        stack[-1].parts.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append(node)
+                    close(i)
+                elif stack[i].tag in ("tr", "td", "th"):
+                    i = block[i - 1]
+                    continue
+                break
+            node = Node(tag, _declared(tag, attributes, opened))
+            stack[-1].parts.append(node)
+            if tag not in VOID and not attributes.endswith("/"):
+                block.append(block[-1] if tag in INLINE else len(stack))
+                stack.append(node)
+                opened[tag] += 1
     return root
 
 
@@ -133,21 +221,15 @@ def _whole(root: Node) -> set[Node]:
     articles = _articles(root, frozenset())
     if not articles:
         return set()
-    parent, todo = {}, [root]
+    order, todo = [], [root]
     while todo:
         n = todo.pop()
-        for p in n.parts:
-            if isinstance(p, Node):
-                parent[p] = n
-                todo.append(p)
-    whole: set[Node] | None = None
-    for n in articles:
-        path = {n}
-        while n in parent:
-            n = parent[n]
-            path.add(n)
-        whole = path if whole is None else whole & path
-    return whole
+        order.append(n)
+        todo.extend(p for p in n.parts if isinstance(p, Node))
+    inside = dict.fromkeys(articles, 1)  # none of them lies in another
+    for n in reversed(order):
+        inside[n] = inside.get(n, 0) + sum(inside[p] for p in n.parts if isinstance(p, Node))
+    return {n for n in order if inside[n] == len(articles)}
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
