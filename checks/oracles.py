@@ -191,6 +191,10 @@ def _summary(table: str, fagg: str, ts: str, m: str, lo: int, hi: int, prefix: s
 {prefix}u AS (SELECT count(DISTINCT description_id) AS unique_functions FROM {fagg} WHERE {span})"""
 
 
+def _side_by_side(points: str, one_row: str) -> str:
+    return f"SELECT * FROM ({points}) points, ({one_row}) one_row"
+
+
 def _summary_sql(rollup: bool, duration: int, compare: bool) -> str:
     table, fagg, ts, m = ("agg", "fagg", "bucket_time", _ROLL) if rollup else ("slow", "slow", "occurred_at", _RAW)
     ctes = [_SLOW, *([_SLOW30, _SLOW3600] if rollup else []), _summary(table, fagg, ts, m, duration, 0, "c")]
@@ -257,6 +261,10 @@ def all_sql() -> dict[str, str]:
         "slow_window_summary_rollup": _summary_sql(True, _DUR["30d"], False),
         "slow_comparison": _summary_sql(False, _DUR["14d"], True),
         "slow_comparison_rollup": _summary_sql(True, _DUR["14d"], True),
+        "slow_overview_comparison": _side_by_side(
+            _slow_points([], "slow", "occurred_at", _RAW, "14d"), _summary_sql(False, _DUR["14d"], True)),
+        "slow_overview_comparison_rollup": _side_by_side(
+            _slow_points([_SLOW30], "agg", "bucket_time", _ROLL, "14d"), _summary_sql(True, _DUR["14d"], True)),
         "dispatcher_overview_raw": _header_points(False, "all"),
         "dispatcher_overview_rollup": _header_points(True, "all"),
         "dispatcher_overview_rollup_7d": _header_points(True, "7d"),

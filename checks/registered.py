@@ -78,6 +78,12 @@ def slow_comparison(spark, sf_dir, mode):
     return rounded(slow.comparison(tables, SLOW_SOURCE, None, "14d", mode, views.SLOW_CONFIG))
 
 
+def slow_overview_comparison(spark, sf_dir, mode):
+    tables = _slow(spark, sf_dir, mode == "rollup")
+    one = slow.overview_with_comparison(tables, SLOW_SOURCE, None, "14d", mode, views.SLOW_CONFIG)
+    return rounded(one.select(*[c for c in one.columns if c != "points"], F.inline("points")))
+
+
 def dispatcher_overview(spark, sf_dir, mode, range_="all"):
     return rounded(cpu.header_overview(_cpu(spark, sf_dir, mode == "rollup"), None, None, range_, mode, views.CPU_CONFIG))
 
@@ -461,6 +467,8 @@ def all_queries():
         "slow_window_summary_rollup": partial(slow_summary, mode="rollup"),
         "slow_comparison": partial(slow_comparison, mode="raw"),
         "slow_comparison_rollup": partial(slow_comparison, mode="rollup"),
+        "slow_overview_comparison": partial(slow_overview_comparison, mode="raw"),
+        "slow_overview_comparison_rollup": partial(slow_overview_comparison, mode="rollup"),
         "dispatcher_overview_raw": partial(dispatcher_overview, mode="raw"),
         "dispatcher_overview_rollup": partial(dispatcher_overview, mode="rollup"),
         "dispatcher_overview_rollup_7d": partial(dispatcher_overview, mode="rollup", range_="7d"),

@@ -39,6 +39,14 @@ def id_collisions(descriptions: DataFrame) -> DataFrame:
     return named.groupBy("description_id").agg(F.count(F.lit(1)).alias("names")).filter("names > 1")
 
 
+def clashing_names(new: DataFrame, known: DataFrame) -> DataFrame:
+    """Names in ``new`` whose id another name has, in ``new`` or in ``known``, with that name."""
+    other = new.select("description_id", "source", "description").unionByName(known.select("description_id", "source", "description"))
+    other = other.withColumnsRenamed({"source": "other_source", "description": "other_description"})
+    differ = (F.col("source") != F.col("other_source")) | (F.col("description") != F.col("other_description"))
+    return new.join(other, "description_id").filter(differ)
+
+
 def describe(descriptions: DataFrame, description_id: int | Column) -> tuple[str, str]:
     """(source, description for display) of one id; an unknown id is an error."""
     check_description_id(description_id)

@@ -21,7 +21,7 @@ from perfweave.config import DEFAULT_CONFIG, EngineConfig
 from perfweave.functions import keys
 from perfweave.functions.time import epoch_date
 from perfweave.operators.dedup import accept_cpu, accept_slow, high_water, split_fresh, touched_days
-from perfweave.operators.dims import new_names
+from perfweave.operators.dims import clashing_names, new_names
 from perfweave.operators.filters import keep_dedup_horizon, keep_import_window
 from perfweave.operators.parse_cpu import explode_stats, identified, parse_blocks, stats_only
 from perfweave.operators.parse_slow import parse_slow
@@ -311,6 +311,9 @@ def _write_run(
     ]
     wrote = {k: v for one in run_together(jobs) for k, v in one.items()}
 
+    if "descriptions" in wrote:
+        _refuse_clashes(store, folder)
+
     # From here on the run's own facts are read, which are few columns and sorted.
     written = {t: store.read_folders(t, [folder] if t in wrote else []) for t in FACTS}
     wrote |= store.write_partials(folder, written["cpu_reports"], written["cpu_stats"], written["slow_events"])
@@ -321,6 +324,14 @@ def _write_run(
     return wrote, [[r["source"], r["severity"], r["max_ts"]] for r in marks.collect()]
 
 
+def _refuse_clashes(store: Store, folder: str) -> None:
+    """Two names with one id would be taken for one function: such a run is not stored."""
+    clash = clashing_names(store.read_folders("descriptions", [folder]), store.closed("descriptions")).first()
+    if clash is not None:
+        names = [(clash["source"], clash["description"]), (clash["other_source"], clash["other_description"])]
+        raise ValueError(f"Names share the id {clash['description_id']}: {names}")
+
+
 def _left_open(store: Store, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(reports, statistics, events) read from the open ends of files that have been replaced since."""
     opened = [store.open_rows(t) for t in ("cpu_reports", "cpu_stats", "slow_events")]

@@ -216,6 +216,11 @@ def _summaries(
             "*", F.lit(1).alias("functions")
         )
 
+    return groups.agg(*_both_sides())
+
+
+def _both_sides() -> list[Column]:
+    """The measures of both windows from groups with ``is_now``, counts and ``functions``."""
     out = []
     for name, when in (("current", F.col("is_now")), ("previous", ~F.col("is_now"))):
         n = F.coalesce(F.sum(F.when(when, F.col("event_count"))), F.lit(0)).cast("bigint")
@@ -228,7 +233,7 @@ def _summaries(
                 f"{name}_unique_functions"
             ),
         ]
-    return groups.agg(*out)
+    return out
 
 
 def _pct(now: str, before: str) -> Column:
@@ -250,9 +255,56 @@ def comparison(
     """
     source = config.check_source(source)
     window = _window(tables, end, range_, config)
-    both = _summaries(tables, source, window, mode, with_previous=True)
-    changes = [
+    return _summaries(tables, source, window, mode, with_previous=True).select("*", *_changes())
+
+
+def _changes() -> list[Column]:
+    return [
         _pct(f"current_{m}", f"previous_{m}").alias(f"{m}_pct")
         for m in ("event_count", "max_execution_ms", "avg_execution_ms")
     ]
-    return both.select("*", *changes)
+
+
+def overview_with_comparison(
+    tables: LogTables,
+    source: str | None = None,
+    end: int | Column | None = None,
+    range_: str | None = None,
+    mode: str = "auto",
+    config: EngineConfig = DEFAULT_CONFIG,
+) -> DataFrame:
+    """One row: the columns of ``comparison``, and the rows of ``overview`` in ``points``, in order of time.
+
+    Both come from one scan of both windows (of the 30 s rollup, with functions from the hourly one): it is reduced to
+    one row per (bucket, function), and these to buckets and to functions. There are as many points as a range has buckets.
+    """
+    source = config.check_source(source)
+    window = _window(tables, end, range_, config)
+    span = window.with_previous()
+
+    def of_bucket(ts: str) -> list[Column]:
+        is_now = F.col(ts) > window.start
+        return [is_now.alias("is_now"), F.when(is_now, bucket_floor(ts, window.bucket_seconds)).alias("t")]
+
+    measures = ("event_count", "min_execution_ms", "max_execution_ms", "total_execution_ms")
+    again = [
+        (F.min if m.startswith("min") else F.max if m.startswith("max") else F.sum)(m).alias(m) for m in measures
+    ]
+    if use_rollup(tables.slow_overview_agg, source, mode, _rolled(tables)):
+        rows = in_window(_of_source(tables.slow_overview_agg, source), "bucket_time", span)
+        buckets = rows.groupBy(*of_bucket("bucket_time")).agg(*_rollup_measures()).withColumn("functions", F.lit(0))
+        named = in_window(_of_source(tables.slow_function_bucket_agg, source), "bucket_time", span)
+        functions = named.select((F.col("bucket_time") > window.start).alias("is_now"), "description_id").distinct().select(
+            "is_now", F.lit(1).alias("functions"))
+        groups = buckets.unionByName(functions, allowMissingColumns=True)
+    else:
+        rows = in_window(_of_source(tables.slow_events, source), "occurred_at", span)
+        fine = rows.groupBy(*of_bucket("occurred_at"), "description_id").agg(*_raw_measures())
+        sets = [[F.col("is_now"), F.col("t")], [F.col("is_now"), F.col("description_id")]]
+        either = fine.groupingSets(sets, "is_now", "t", "description_id").agg(
+            F.grouping("t").alias("functions"), *again)
+        # A function's row only counts it: the events are in the buckets' rows.
+        groups = either.select("is_now", "t", "functions", *[F.when(F.col("functions") == 0, F.col(m)).alias(m) for m in measures])
+    point = F.struct("t", "event_count", "min_execution_ms", "max_execution_ms", F.expr(_MEAN))
+    points = F.array_sort(F.collect_list(F.when(F.col("is_now") & (F.col("functions") == 0), point)))
+    return groups.agg(*_both_sides(), points.alias("points")).select("*", *_changes())

@@ -204,6 +204,10 @@ class Store:
             cluster = ("event_date", "source") if by_source else ("event_date",)
             df = df.hint("rebalance", *cluster).sortWithinPartitions("event_date", "source", *sort_by)
             df.write.mode("overwrite").partitionBy("event_date").parquet(path)
+        elif table == "descriptions":
+            # By ranges of id, so that a look-up opens one file of a run; the filter spares it where the id is not in.
+            by_id = df.repartitionByRange("description_id").sortWithinPartitions("description_id")
+            by_id.write.mode("overwrite").option("parquet.bloom.filter.enabled#description_id", "true").parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)
         # From the folder's listing, the files' footers and one column.

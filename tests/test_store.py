@@ -1,7 +1,9 @@
 """The store between runs: commit log, concurrent writers, parts that add up, and plans that read little."""
 
+import glob
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from samples import cpu_block, slow_line, write_logs
@@ -10,6 +12,7 @@ from test_ingest import NOW, counts, stamp
 from perfweave import EngineConfig
 from perfweave.operators import rollups
 from perfweave.operators.dedup import SLOW_KEY, accept_slow, unseen
+from perfweave.operators.dims import describe, names_of
 from perfweave.plans import cpu, slow
 from perfweave.plans.commits import PACK, CommitLog
 from perfweave.plans.ingest import import_logs
@@ -151,3 +154,34 @@ def test_planning_runs_no_job(spark, tmp_path):
         assert "Subquery" not in plan_of(q)
     assert [r.t for r in queries[0].collect()] == [(NOW - 500) // 60 * 60]
     assert slow.overview(tables, "lua", mode="raw").agg(F.sum("event_count")).first()[0] == 1
+
+
+def test_names_lie_by_id(spark, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"))
+    names = names_of(spark.range(40_000).selectExpr("'lua' AS source", "concat('task ', id) AS description"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # would fold files as small as these
+    try:
+        store.commit(1, "a", store.write("descriptions", "a", names), NOW)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    wanted = names.filter("description = 'task 7'").first().description_id
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_path}/s/descriptions/*/*.parquet")]
+    ids = [f.metadata.row_group(0).column(0).statistics for f in files if f.metadata.num_rows]
+    assert len(ids) > 1 and sum(i.min <= wanted <= i.max for i in ids) == 1
+    assert describe(store.tables().descriptions, wanted) == ("lua", "task 7")
+    plan = store.tables().descriptions.filter(f"description_id = {wanted}")._jdf.queryExecution().toString()
+    assert f"EqualTo(description_id,{wanted})" in plan
+
+
+def test_names_with_one_id_are_refused(spark, tmp_path, monkeypatch):
+    same = lambda source, description: F.when(source.isNotNull(), F.lit(5).cast("bigint"))
+    store = open_store(spark, str(tmp_path / "s"))
+    data = write_logs(tmp_path / "d", {"lua_slow.log": slow_line(stamp(NOW - 500))})
+    monkeypatch.setattr("perfweave.functions.keys.description_id", same)
+    import_logs(spark, data, store, NOW, EngineConfig(import_days=0))
+    assert [r.description_id for r in store.read("descriptions").collect()] == [5]
+    write_logs(tmp_path / "d", {"lua_slow_2.log": slow_line(stamp(NOW - 400)).replace("task", "other")})
+    with pytest.raises(ValueError, match="share the id 5"):
+        import_logs(spark, data, store, NOW, EngineConfig(import_days=0))
+    assert store.committed() == [1] and store.read("slow_events").count() == 1
