@@ -155,9 +155,9 @@ def blocks(fingerprint: str) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), block(F.col(fingerprint), i).alias("value")) for i in range(8)])
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-          item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """``id, row_key, item_id, start, n_words, similarity``: windows of an item's size that hold the item.
+def held_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+                 item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """``id, row_key, item_key, item_id, start, n_words, similarity``: all windows of an item's size that hold the item.
 
     ``start`` counts words from 0. Null and short texts have no windows; items of fewer than five words
     are not searched for, nor are null ones. Rows that repeat id and text are one document, with one ``row_key``.
@@ -181,7 +181,23 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         "id", "row_key", "item_key", "start", "end", F.slice("shingles", F.col("first"), F.col("end") - F.col("start") + 1).alias("window"))
     verified = held.join(known.select("item_key", "item_id", F.col("shingles").alias("item")), "item_key").withColumn(
         "similarity", weighted_similarity(F.col("window"), F.col("item"))).filter(F.col("similarity") >= similarity)
-    return verified.select("id", "row_key", "item_id", "start", (F.size("window") + SHINGLE_WORDS - 1).alias("n_words"), "similarity")
+    return verified.select("id", "row_key", "item_key", "item_id", "start", (F.size("window") + SHINGLE_WORDS - 1).alias("n_words"), "similarity")
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+          item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """``id, row_key, item_id, start, n_words, similarity``: the places of a document that hold an item.
+
+    Of ``held_windows`` that follow each other word by word the most similar one stands for the place, of equal ones the first.
+    """
+    held = held_windows(docs, items, id_col, text_col, item_id_col, item_text_col, similarity, radius)
+    # Twice the middle of a window: one more if a cut window grows by a word, two more if a whole one moves by one.
+    middle = F.col("start") * 2 + F.col("n_words")
+    in_order = Window.partitionBy("row_key", "item_key").orderBy("middle")
+    gaps = held.withColumn("middle", middle).withColumn("gap", F.coalesce(F.col("middle") - F.lag("middle").over(in_order) > 2, F.lit(False)).cast("int"))
+    best = gaps.withColumn("place", F.sum("gap").over(in_order)).groupBy("id", "row_key", "item_key", "item_id", "place").agg(
+        F.max(F.struct("similarity", (-F.col("middle")).alias("first"), "start", "n_words")).alias("w"))
+    return best.select("id", "row_key", "item_id", "w.start", "w.n_words", "w.similarity")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

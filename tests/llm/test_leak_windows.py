@@ -64,7 +64,7 @@ def test_all_windows(spark, monkeypatch, parts, broadcast):
     texts, items = cases()
     want = plain_leaks(texts, items)
     docs, bench = spark.createDataFrame(texts, DOCS).repartition(parts), spark.createDataFrame(items, ITEMS)
-    rows = decontamination.leaks(docs, bench).collect()
+    rows = decontamination.held_windows(docs, bench).collect()
     got = {(r.id, r.item_id, r.start, r.n_words): r.similarity for r in rows}
     assert len(got) == len(rows)
     # All windows within the threshold are within the radius too, here; elsewhere one in some ten thousand is not.
