@@ -121,29 +121,33 @@ def repeat_classes(segments: list[bytes], window: int) -> tuple[np.ndarray, np.n
     known = np.zeros(n + 1, dtype=bool)  # boundary i lies between the suffixes i-1 and i
     known[0] = known[n] = True
     sorted_symbols = symbols[order]
-    left = np.flatnonzero(np.append(True, sorted_symbols[1:] != sorted_symbols[:-1]))
-    right = np.append(left[1:], n)
-    known[right] = True
+    new = np.append(True, sorted_symbols[1:] != sorted_symbols[:-1])
+    known[np.append(np.flatnonzero(new)[1:], n)] = True
+    # The suffixes of all live intervals, and which interval each is in.
+    at, interval = np.arange(n), np.cumsum(new)
+    slots, taken = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     for _ in range(1, window):
-        if not len(left):
-            break
-        size = right - left
-        at = np.repeat(left - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        interval = np.repeat(np.arange(len(size)), size)
         to = longer[at]
         interval, to = interval[to >= 0], to[to >= 0]
-        by = np.lexsort((to, interval))
-        interval, to = interval[by], to[by]
-        # One extension for each symbol before: its suffixes stand side by side.
-        new = np.ones(len(to), dtype=bool)
-        new[1:] = (interval[1:] != interval[:-1]) | (sorted_symbols[to[1:]] != sorted_symbols[to[:-1]])
-        starts = np.flatnonzero(new)
-        if not len(starts):
+        # One extension for each symbol before: its suffixes stand side by side, apart from those of all others,
+        # so their places alone put them in order.
+        if len(to) < n // 64:
+            by = np.argsort(to)
+            interval, to = interval[by], to[by]
+        else:
+            slots[to], taken[to] = interval, True
+            to = np.flatnonzero(taken)
+            interval, taken[to] = slots[to], False
+        if not len(to):
             break
-        left, right = to[starts], to[np.append(starts[1:], len(to)) - 1] + 1
+        before = sorted_symbols[to]
+        new = np.append(True, (interval[1:] != interval[:-1]) | (before[1:] != before[:-1]))
+        right = to[np.append(np.flatnonzero(new)[1:], len(to)) - 1] + 1
         fresh = ~known[right]
-        left, right = left[fresh], right[fresh]
         known[right] = True
+        extension = np.cumsum(new)
+        live = fresh[extension - 1]
+        at, interval = to[live], extension[live]
     label = np.cumsum(known[:n])
     size = np.bincount(label)
     twice = size[label] > 1
