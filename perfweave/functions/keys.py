@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def description_id(source: Column, description: Column) -> Column:
+def description_id(source: Column, description: Column, attempt: int = 0) -> Column:
     """Positive 63-bit id of a (source, description) pair.
 
-    n distinct names collide with probability about n^2 / 2^64 (a million names: 3e-8);
-    ``operators.dims.id_collisions`` checks it.
+    n distinct names collide with probability about n^2 / 2^64 (a million names: 3e-8). A name whose id another
+    one has takes that of the next ``attempt`` (``operators.dims.free_ids``).
     """
-    h = F.xxhash64(source, description).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF).cast("bigint"))
+    named = F.xxhash64(source, description, F.lit(attempt)) if attempt else F.xxhash64(source, description)
+    h = named.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF).cast("bigint"))
     return F.when(h == 0, F.lit(1).cast("bigint")).otherwise(h)
 
 

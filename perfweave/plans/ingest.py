@@ -14,14 +14,14 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfweave.config import DEFAULT_CONFIG, EngineConfig
 from perfweave.functions import keys
 from perfweave.functions.time import epoch_date
 from perfweave.operators.dedup import accept_cpu, accept_slow, high_water, split_fresh, touched_days
-from perfweave.operators.dims import clashing_names, new_names
+from perfweave.operators.dims import clashing_names, free_ids, moved_names, new_names, with_ids
 from perfweave.operators.filters import keep_dedup_horizon, keep_import_window
 from perfweave.operators.parse_cpu import explode_stats, identified, parse_blocks, stats_only
 from perfweave.operators.parse_slow import parse_slow
@@ -30,6 +30,7 @@ from perfweave.plans.store import FACTS, Store, delete, run_together, stage
 from perfweave.schemas import PARTIALS
 from perfweave.sources.catalog import list_logs
 from perfweave.sources.ranges import (
+    CONTINUES,
     cut_ranges,
     range_count,
     read_records,
@@ -45,6 +46,10 @@ LARGE_RUN_BYTES = 4 * 1024**3
 MOST_ATTEMPTS = 50
 
 
+class NamesClash(Exception):
+    """Names met in a run have one id."""
+
+
 @dataclass(frozen=True)
 class ImportRun:
     run_id: int | None
@@ -76,18 +81,27 @@ def keep_slow_columns(parsed: DataFrame) -> DataFrame:
     rejected = ~F.col("status").isin("ok", "blank")
     return parsed.withColumn("bytes", F.octet_length("record").cast("bigint")).withColumn(
         "line", F.when(rejected, F.col("record").cast("string"))
-    ).drop("record", "range_start")
+    ).drop("record", "range_start", "continues")
 
 
 def keep_cpu_columns(parsed: DataFrame) -> DataFrame:
     """Parsed blocks and their statistics as staged, so that no later step parses again.
 
-    Rejected blocks keep their text.
+    Rejected blocks keep their text. ``is_part`` marks what continues a long report; the head that was put
+    before it does not count.
     """
-    sized = parsed.withColumn("bytes", F.octet_length("record").cast("bigint")).withColumn(
-        "line", F.when(F.col("status") == "bad timestamp", F.col("record").cast("string"))
-    )
-    return explode_stats(identified(sized.drop("record", "range_start", "severity")))
+    def head(size: str) -> Column:
+        return F.coalesce(F.col(f"continues.{size}"), F.lit(0).cast("bigint"))
+
+    if "continues" not in parsed.columns:
+        parsed = parsed.withColumn("continues", F.lit(None).cast(CONTINUES.removeprefix("continues ")))
+    sized = parsed.withColumns({
+        "bytes": F.octet_length("record").cast("bigint") - head("head_bytes"),
+        "lines": F.col("lines") - head("head_lines"),
+        "line": F.when(F.col("status") == "bad timestamp", F.col("record").cast("string")),
+        "is_part": F.col("continues").isNotNull(),
+    })
+    return explode_stats(identified(sized.drop("record", "range_start", "severity")).drop("continues"))
 
 
 def parse_slow_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_open: bool) -> DataFrame:
@@ -193,19 +207,26 @@ def load_rows(
     ``slow`` and ``cpu`` are staged parser output. ``files`` (file_key, source, action, ...) lists
     the files read; ``read_files`` turns it, joined with the counts, into their state. ``marks`` name
     what is stored: if a run carries one of them already, nothing is done and None returned.
+
+    Ids of names are taken to differ, as they nearly always do. If two of them clash, the run is written once
+    more with another id for one of them.
     """
-    first_load = not store.committed()
+    first_load, resolve = not store.committed(), False
     for attempt in range(MOST_ATTEMPTS):
         before = store.committed()
         if any(store.has_mark(m) for m in marks):
             return None
         number = len(before) + 1
         folder = store.folder(number)
-        wrote, high = _write_run(
-            store, slow, cpu, files, read_files, f"{scratch}/{attempt}", now, config, folder, by_source,
-            bool(before), first_load,
-        )
-        if store.commit(number, folder, wrote, now, marks=list(marks), high_water=high):
+        try:
+            wrote, high = _write_run(
+                store, slow, cpu, files, read_files, f"{scratch}/{attempt}", now, config, folder, by_source,
+                bool(before), first_load, resolve,
+            )
+        except NamesClash:
+            resolve = True
+            continue
+        if store.commit(number, folder, wrote, now, marks=list(marks), high_water=high, moved_names=resolve):
             return number
     raise RuntimeError(f"{MOST_ATTEMPTS} other runs were quicker")
 
@@ -213,10 +234,12 @@ def load_rows(
 def _write_run(
     store: Store, slow: DataFrame, cpu: DataFrame, files: DataFrame, read_files: Callable[[DataFrame], DataFrame] | None,
     scratch: str, now: int, config: EngineConfig, folder: str, by_source: bool, incremental: bool, first_load: bool,
+    resolve: bool = False,
 ) -> tuple[dict[str, dict], list[list]]:
     """Writes a run's tables into ``folder``; returns what its record says of them, and its high-water marks.
 
     A first load that another run overtook is checked against that one whole: no row is too old for it.
+    Names that clash raise ``NamesClash``, or with ``resolve`` get ids of their own.
     """
     known_marks = store.high_water()
     cutoff = config.import_cutoff(now)
@@ -246,10 +269,19 @@ def _write_run(
         "file_no", "offset", "is_open", "source", "severity", "occurred_at", "execution_ms", "description", "detail"
     )
     blocks = cpu.filter("stat_no = 0")
-    reports = in_scope(blocks.filter("n_stats > 0"), "reported_at")
+    reports = in_scope(blocks.filter("n_stats > 0 AND NOT is_part"), "reported_at")
     stats = in_scope(stats_only(cpu), "reported_at")
     # Names of rows that turn out to be stored are known already, so all may be offered.
     named = events.select("source", "description").unionByName(stats.select("source", "description"))
+    known_names, moved = store.closed("descriptions"), None
+    new = new_names(named, known_names)
+    if resolve:
+        new = free_ids(new, known_names, lambda df, name: stage(df, f"{scratch}/{name}"))
+        moved = moved_names(known_names.unionByName(new))
+    elif store.has_moved_names():
+        moved = moved_names(known_names)
+    if moved is not None:
+        stats = with_ids(stats, moved)
     stats = stats.drop("description", "file_key")
     left = _left_open(store, files)
     if left is not None:
@@ -292,9 +324,7 @@ def _write_run(
         return wrote if read_files is None else wrote | store.write("import_files", folder, read_files(audited))
 
     by_date = epoch_date(F.col("reported_at"))
-    slow_facts = events.withColumn(
-        "description_id", keys.description_id(F.col("source"), F.col("description"))
-    ).withColumn("event_date", epoch_date(F.col("occurred_at")))
+    slow_facts = with_ids(events, moved).withColumn("event_date", epoch_date(F.col("occurred_at")))
     facts = {
         "slow_events": (slow_facts, ("description_id", "occurred_at")),
         "cpu_reports": (reports.withColumn("event_date", by_date), ("reported_at",)),
@@ -306,13 +336,15 @@ def _write_run(
         jobs.append(partial(store.write, table, folder, rows.filter("NOT is_open"), sort_by, by_source))
         jobs.append(partial(store.write, f"open_{table}", folder, rows.filter("is_open").drop("file_key").join(numbers, "file_no")))
     jobs += [
-        partial(store.write, "descriptions", folder, new_names(named, store.closed("descriptions"))),
+        partial(store.write, "descriptions", folder, new),
         partial(store.write, "quarantine", folder, _quarantine(slow).unionByName(_quarantine(blocks))),
     ]
     wrote = {k: v for one in run_together(jobs) for k, v in one.items()}
 
-    if "descriptions" in wrote:
-        _refuse_clashes(store, folder)
+    if "descriptions" in wrote and not resolve:
+        written_names = store.read_folders("descriptions", [folder])
+        if not clashing_names(written_names, known_names).isEmpty():
+            raise NamesClash
 
     # From here on the run's own facts are read, which are few columns and sorted.
     written = {t: store.read_folders(t, [folder] if t in wrote else []) for t in FACTS}
@@ -324,14 +356,6 @@ def _write_run(
     return wrote, [[r["source"], r["severity"], r["max_ts"]] for r in marks.collect()]
 
 
-def _refuse_clashes(store: Store, folder: str) -> None:
-    """Two names with one id would be taken for one function: such a run is not stored."""
-    clash = clashing_names(store.read_folders("descriptions", [folder]), store.closed("descriptions")).first()
-    if clash is not None:
-        names = [(clash["source"], clash["description"]), (clash["other_source"], clash["other_description"])]
-        raise ValueError(f"Names share the id {clash['description_id']}: {names}")
-
-
 def _left_open(store: Store, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(reports, statistics, events) read from the open ends of files that have been replaced since."""
     opened = [store.open_rows(t) for t in ("cpu_reports", "cpu_stats", "slow_events")]

@@ -100,6 +100,10 @@ class Store:
         """Whether a run carries ``mark``: what it stored is not to be stored again."""
         return any(mark in r["marks"] for r in self.log.records())
 
+    def has_moved_names(self) -> bool:
+        """Whether a name has another id than its own hash."""
+        return any(r.get("moved_names") for r in self.log.records())
+
     def folder(self, number: int) -> str:
         """A folder name for an attempt at run ``number``; names sort as runs do."""
         return f"{number:012d}-{uuid.uuid4().hex}"

@@ -35,10 +35,21 @@ PROBE_BYTES = 64 * 1024
 # Fixed value: a line that begins a report (or a slow event).
 _STAMP = rb"\n\[(\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2})\]"
 
+# Fixed value: a statistics line with a name.
+_STAT = rb"\n[ \t\x0b\f\r]+\d+[ \t\x0b\f\r]+\d+[ \t\x0b\f\r]+[\d.]+%[ \t\x0b\f\r]+[\d.]+%[ \t\x0b\f\r]+[^ \t\x0b\f\r\n]"
+_COLUMN_HEADER = b"Time (ms)"
+
+# A longer record comes in parts, so a task never holds much more.
+MOST_RECORD_BYTES = 64 * 1024 * 1024
+# What must be known of the text behind a cut: a stamp or the figures of a statistic that lie across it.
+LOOK_AHEAD_BYTES = 4096
+
+CONTINUES = "continues STRUCT<offset: BIGINT, head_bytes: BIGINT, head_lines: BIGINT>"
 RECORD_SCHEMA = (
     "file_key STRING, source STRING, severity STRING, range_start BIGINT, "
-    "offset BIGINT, record BINARY, is_open BOOLEAN"
+    f"offset BIGINT, record BINARY, is_open BOOLEAN, {CONTINUES}"
 )
+_CONTINUES = pa.struct([("offset", pa.int64()), ("head_bytes", pa.int64()), ("head_lines", pa.int64())])
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -73,6 +84,81 @@ def _slices(buf: bytes, starts: np.ndarray, stop: int) -> pa.Array:
     )
 
 
+class _Long:
+    """A record longer than ``most`` bytes, cut at places that its own bytes alone decide.
+
+    A report is cut before statistics, and every part but the first is given the report's head (its lines up to
+    the first statistic), so that it parses like a report; ``continues`` tells it from one. Text without a stamp,
+    or without statistics in its first ``most`` bytes, is cut at a line feed, or else anywhere. A single
+    statistic or slow event is never cut.
+    """
+
+    def __init__(self, offset: int, text: bytes, blocks: bool, most: int):
+        self.offset, self.blocks, self.most = offset, blocks, most
+        self.stamped = re.match(_STAMP, b"\n" + text[:64]) is not None
+        self.head: bytes | None = None
+        if self.stamped and blocks:
+            header = text.find(_COLUMN_HEADER, 0, most)
+            stat = re.compile(_STAT).search(text, header, most + LOOK_AHEAD_BYTES) if header >= 0 else None
+            if stat and stat.start() < most:
+                self.head = text[: stat.start()]
+            else:
+                self.stamped = False
+        self.begun = False
+
+    def cut(self, text: bytes, whole: bool) -> int | None:
+        """Length of the next part, which ``text`` begins with; None if more must be read to tell."""
+        if whole and len(text) <= self.most:
+            return len(text)
+        if not whole and len(text) < self.most + LOOK_AHEAD_BYTES:
+            return None
+        if not self.stamped:
+            return (text.rfind(b"\n", 0, self.most) + 1 if self.blocks else 0) or self.most
+        at = None
+        if self.head is not None:
+            # The first statistic of the text is never cut off.
+            for m in re.compile(_STAT).finditer(text, 0 if self.begun else len(self.head) + 1):
+                if at is None or m.start() < self.most:
+                    at = m.start() + 1
+                if m.start() >= self.most:
+                    break
+        return at if at is not None else len(text) if whole else None
+
+    def part(self, at: int, text: bytes) -> tuple[np.ndarray, pa.Array, tuple | None]:
+        """The part at file offset ``at``, as ``read_range`` gives it."""
+        continues = None
+        if self.begun and self.head is not None:
+            head = self.head + b"\n"
+            text, continues = head + text, (self.offset, len(head), head.count(b"\n"))
+        self.begun = True
+        return np.array([at], dtype=np.int64), _slices(text, np.zeros(1, dtype=np.int64), len(text)), continues
+
+    def parts(self, at: int, text: bytes, whole: bool) -> Iterator[tuple[int, tuple]]:
+        """Parts that ``text`` from file offset ``at`` on holds, with where each ends in it."""
+        done = 0
+        while done < len(text) and (n := self.cut(text[done:], whole)) is not None:
+            done += n
+            yield done, self.part(at + done - n, text[done - n : done])
+
+
+def _finished(
+    buf: bytes, starts: np.ndarray, stop: int, origin: int, blocks: bool, most: int, long: _Long | None
+) -> Iterator[tuple[np.ndarray, pa.Array, tuple | None]]:
+    """The records of ``buf`` from ``starts[0]`` to ``stop``; ``long`` is the one that the first goes on with."""
+    bounds = np.append(starts, stop)
+    cut = np.diff(bounds) > most
+    cut[0] |= long is not None
+    done = 0
+    for i in [*np.flatnonzero(cut).tolist(), len(starts)]:
+        if done < i:
+            yield starts[done:i] + origin, _slices(buf, starts[done:i], int(bounds[i])), None
+        if i < len(starts):
+            text, at = buf[int(bounds[i]) : int(bounds[i + 1])], int(starts[i]) + origin
+            record = long if long is not None and i == 0 else _Long(at, text, blocks, most)
+            yield from (part for _, part in record.parts(at, text, True))
+        done = i + 1
+
+
 def read_range(
     f,
     start: int,
@@ -82,13 +168,22 @@ def read_range(
     hold_open: bool = False,
     limit: int | None = None,
     read_bytes: int = READ_BYTES,
-) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """(file offsets, record bytes) of the records whose first byte lies in [start, end).
+    most: int = MOST_RECORD_BYTES,
+) -> Iterator[tuple[np.ndarray, pa.Array, tuple | None]]:
+    """(file offsets, record bytes, continues) of the records whose first byte lies in [start, end).
 
     ``base`` is where reading of the file begins and always starts a record. With ``hold_open``
     the file's last, possibly unfinished record is left for a later read. ``limit`` is taken for
-    the end of the file when it grows meanwhile.
+    the end of the file when it grows meanwhile. A record longer than ``most`` bytes comes in parts (see
+    ``_Long``); ``continues`` is (offset of the report, bytes and lines put before the part) for a
+    report's further parts and None for all else.
     """
+    if hold_open:
+        if limit is None:
+            f.seek(0, 2)
+            limit = f.tell()
+        limit = open_tail_offset(f, limit, base, blocks)
+    long: _Long | None = None
     if start <= base:
         f.seek(base)
         carry, origin, at_base = b"\n", base - 1, True
@@ -104,17 +199,15 @@ def read_range(
             starts = np.insert(starts, 0, 1)
         starts = starts[starts < len(buf)]
         offsets = starts + origin
-        inside = int(np.searchsorted(offsets, end))
+        # A long record begun in the range may go on beyond it.
+        inside = max(int(np.searchsorted(offsets, end)), int(long is not None))
         if inside < len(starts):
             if inside:
-                yield offsets[:inside], _slices(buf, starts[:inside], int(starts[inside]))
+                yield from _finished(buf, starts[:inside], int(starts[inside]), origin, blocks, most, long)
             return
         if not data:
-            stop = len(buf)
-            if hold_open and len(starts) and (blocks or not buf.endswith(b"\n")):
-                stop, starts, offsets = int(starts[-1]), starts[:-1], offsets[:-1]
             if len(starts):
-                yield offsets, _slices(buf, starts, stop)
+                yield from _finished(buf, starts, len(buf), origin, blocks, most, long)
             return
         if len(starts) == 0 and origin + len(buf) >= end:
             # Past the range without a record of its own. A boundary may straddle the buffer's
@@ -123,14 +216,24 @@ def read_range(
                 return
         if len(starts) > 1:
             last = int(starts[-1])
-            yield offsets[:-1], _slices(buf, starts[:-1], last)
-            carry, origin, at_base, step = buf[last - 1:], int(offsets[-1]) - 1, False, read_bytes
+            yield from _finished(buf, starts[:-1], last, origin, blocks, most, long)
+            carry, origin, at_base, step, long = buf[last - 1:], int(offsets[-1]) - 1, False, read_bytes, None
             # The carried record's start stays recognisable: its line feed is kept, except that
             # the record at `base` may not look like one.
         elif len(starts) == 1:
             at_base = at_base and int(starts[0]) == 1
+            first, done = int(starts[0]), 0
+            if len(buf) - first >= most + LOOK_AHEAD_BYTES:
+                text = buf[first:]
+                long = long or _Long(int(offsets[0]), text, blocks, most)
+                for done, part in long.parts(int(offsets[0]), text, False):
+                    yield part
+            if done:
+                # What is left starts where it starts, whatever it looks like.
+                carry, origin, at_base, step = b"\n" + text[done:], int(offsets[0]) + done - 1, True, read_bytes
+                continue
             if not at_base:
-                carry, origin = buf[int(starts[0]) - 1:], int(offsets[0]) - 1
+                carry, origin = buf[first - 1:], int(offsets[0]) - 1
             else:
                 carry = buf
             step = min(step * 2, 16 * read_bytes)
@@ -142,14 +245,15 @@ def read_range(
 def open_tail_offset(f, size: int, base: int, blocks: bool) -> int:
     """Offset of the still-open end of a file: its last report, or its last partial line.
 
-    Reads backwards from the end only as far as that record reaches.
+    Reads backwards from the end only as far as that record reaches, piece by piece.
     """
-    span = PROBE_BYTES
+    span, hi = PROBE_BYTES, size
     while True:
-        lo = max(base, size - span)
-        f.seek(max(lo - 1, 0))
-        buf = f.read(size - max(lo - 1, 0))
+        lo = max(base, hi - span)
         origin = max(lo - 1, 0)
+        f.seek(origin)
+        # A stamp may lie across the end of the piece.
+        buf = f.read(min(hi + 64, size) - origin)
         if lo <= base:
             buf, origin = b"\n" + buf[base - origin:], base - 1
         starts = record_starts(buf, blocks)
@@ -157,23 +261,25 @@ def open_tail_offset(f, size: int, base: int, blocks: bool) -> int:
             return int(starts[-1]) + origin
         if lo <= base:
             return base
-        span *= 4
+        span, hi = min(span * 4, READ_BYTES), lo
 
 
 def first_line_hash(f) -> str | None:
     """sha256 of the first non-empty line, line end removed; None for a file without one."""
-    carry, step = b"", PROBE_BYTES
-    while True:
-        data = f.read(step)
-        *lines, carry = (carry + data).split(b"\n")
-        if not data:
-            lines.append(carry)
-        for line in lines:
-            if line := line.rstrip(b"\r"):
-                return hashlib.sha256(line).hexdigest()
-        if not data:
-            return None
-        step *= 2
+    digest, begun, returns = hashlib.sha256(), False, b""
+    while data := f.read(PROBE_BYTES):
+        while data:
+            line, feed, data = data.partition(b"\n")
+            # Carriage returns count only if something follows them.
+            line = returns + line
+            text = line.rstrip(b"\r")
+            if text:
+                digest.update(text)
+                begun = True
+            if feed and begun:
+                return digest.hexdigest()
+            returns = b"" if feed else line[len(text):]
+    return digest.hexdigest() if begun else None
 
 
 def first_stamp(f, pos: int, limit: int, log_tz: str) -> tuple[int, int] | None:
@@ -221,6 +327,12 @@ def seek_offset(f, size: int, cutoff: int, log_tz: str, step: int = PROBE_BYTES)
     return size
 
 
+def continues_column(continues: tuple | None, n: int) -> pa.Array:
+    """Column ``continues`` of n records read together."""
+    value = None if continues is None else dict(zip(("offset", "head_bytes", "head_lines"), continues))
+    return pa.array([value] * n, _CONTINUES)
+
+
 def _plus(df: DataFrame, column: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(column).fields])
 
@@ -312,7 +424,8 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
 
     Columns of ``RECORD_SCHEMA``; ``offset`` is the record's byte position in its file, and ``is_open``
     marks a record from the file's ``open_offset`` on (if the ranges have one), which may still grow. In
-    block mode, text before the first timestamp of a file is a record of its own.
+    block mode, text before the first timestamp of a file is a record of its own. Further parts of a report
+    longer than ``MOST_RECORD_BYTES`` carry its offset and the size of the head put before them in ``continues``.
     """
     open_at = F.col("open_offset") if "open_offset" in ranges.columns else F.lit(None).cast("bigint")
     needed = ranges.select(
@@ -320,14 +433,16 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
         F.coalesce(open_at, F.col("file_size")).alias("open_offset"),
     )
 
+    most = MOST_RECORD_BYTES
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 with open_log(row["path"]) as f:
                     parts = read_range(
-                        f, row["range_start"], row["range_end"], row["start_offset"], blocks, hold_open, row["file_size"]
+                        f, row["range_start"], row["range_end"], row["start_offset"], blocks, hold_open, row["file_size"], most=most
                     )
-                    for offsets, records in parts:
+                    for offsets, records, continues in parts:
                         n = len(records)
                         fixed = [
                             pa.repeat(pa.scalar(row[c], t), n)
@@ -337,8 +452,11 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
                             )
                         ]
                         yield pa.RecordBatch.from_arrays(
-                            [*fixed, pa.array(offsets, pa.int64()), records, pa.array(offsets >= row["open_offset"])],
-                            names=["file_key", "source", "severity", "range_start", "offset", "record", "is_open"],
+                            [
+                                *fixed, pa.array(offsets, pa.int64()), records,
+                                pa.array(offsets >= row["open_offset"]), continues_column(continues, n),
+                            ],
+                            names=["file_key", "source", "severity", "range_start", "offset", "record", "is_open", "continues"],
                         )
 
     return needed.mapInArrow(run, RECORD_SCHEMA)

@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Bytes before a position that tell whether the file is still the one that was read.
 LAST_BYTES = 256
 
-TAIL_SCHEMA = "file_key STRING, offset BIGINT, record BINARY"
+TAIL_SCHEMA = f"file_key STRING, offset BIGINT, record BINARY, {ranges.CONTINUES}"
 
 
 class _Range(InputPartition):
@@ -123,8 +123,9 @@ class _TailReader(DataSourceStreamReader):
             cut = ranges.open_tail_offset(f, at + left, at, blocks)
             if cut > at or left < self.max_bytes:
                 return cut
-            _, records = next(ranges.read_range(f, at, at + 1, at, blocks, limit=end))
-            return at + len(records[0].as_py())
+            for _, records, continues in ranges.read_range(f, at, at + 1, at, blocks, limit=end):
+                at += len(records[0].as_py()) - (continues[1] if continues else 0)
+            return at
 
     def latestOffset(self) -> dict:
         """Position of every log up to its last finished record.
@@ -184,12 +185,13 @@ class _TailReader(DataSourceStreamReader):
                 following = ranges.first_stamp(f, part.end, part.size, self.log_tz)
                 if following is not None and following[0] < self.cutoff:
                     return
-            for offsets, records in ranges.read_range(
+            for offsets, records, continues in ranges.read_range(
                 f, part.start, part.end, part.base, _holds_blocks(part.name), limit=part.size
             ):
                 names = pa.repeat(pa.scalar(part.name), len(records))
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(offsets, pa.int64()), records], names=["file_key", "offset", "record"]
+                    [names, pa.array(offsets, pa.int64()), records, ranges.continues_column(continues, len(records))],
+                    names=["file_key", "offset", "record", "continues"],
                 )
 
 

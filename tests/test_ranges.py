@@ -35,17 +35,61 @@ def split_blocks(data):
     return out
 
 
-def read_all(data, step, blocks, base=0, hold=False, chunk=7, limit=None):
+def read_all(data, step, blocks, base=0, hold=False, chunk=7, limit=None, **more):
     got = []
     f = io.BytesIO(data)
     size = len(data) if limit is None else limit
     for lo in range(base, size, step):
         hi = min(lo + step, size)
-        for offsets, records in ranges.read_range(f, lo, hi, base, blocks, hold, limit, chunk):
-            got += list(zip(offsets.tolist(), records.to_pylist()))
+        for offsets, records, continues in ranges.read_range(f, lo, hi, base, blocks, hold, limit, chunk, **more):
+            assert continues is None or len(records) == 1 and more
+            got += [(*r, continues)[: 3 if more else 2] for r in zip(offsets.tolist(), records.to_pylist())]
     return got
 
 
+STAT = b"  7  70  0.5%  0.25%  "
+LONG_LINE = st.one_of(
+    LINE, st.sampled_from([b"Thread: 3 Cpu usage: 1%", b" Time (ms)  Calls", STAT + b"ping", STAT + b"flush", STAT, b"b" * 70])
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LONG_LINE, max_size=40), st.integers(1, 400), st.integers(1, 300), st.booleans())
+def test_long_records_come_in_parts(lines, step, chunk, blocks):
+    """Parts are the same however the file is cut and read, and make up the records."""
+    data, most = b"\n".join(lines), 60
+    before, ranges.LOOK_AHEAD_BYTES = ranges.LOOK_AHEAD_BYTES, 64
+    try:
+        got = read_all(data, step, blocks, chunk=chunk, most=most)
+        assert got == read_all(data, len(data) + 1, blocks, chunk=len(data) + 1, most=most)
+    finally:
+        ranges.LOOK_AHEAD_BYTES = before
+    at = 0
+    for offset, record, continues in got:
+        assert offset == at
+        if continues is not None:
+            first, head_bytes, head_lines = continues
+            head, record = record[:head_bytes], record[head_bytes:]
+            assert data[first:].startswith(head) and head.count(b"\n") == head_lines and record.startswith(STAT)
+        at += len(record)
+    assert at == len(data)
+    records = split_blocks(data) if blocks else split_lines(data)
+    assert {o for o, _ in records} <= {o for o, _, _ in got}
+    stamped = [o for o, text in records if ranges.re.match(ranges._STAMP, b"\n" + text)]
+    for offset, record, continues in got:
+        if continues is None and offset not in stamped:
+            assert len(record) <= most  # text without a stamp never takes more
+
+
+@pytest.mark.parametrize("head", [b"", b"\n\r\r\n\r\n"])
+def test_first_line_is_hashed_in_pieces(head):
+    line = b"\r" * 3 + b"x" * (3 * ranges.PROBE_BYTES) + b"\r\rz"
+    want = ranges.hashlib.sha256(line).hexdigest()
+    for end in (b"", b"\r", b"\r\r\n", b"\nmore"):
+        assert ranges.first_line_hash(io.BytesIO(head + line + end)) == want
+    assert ranges.first_line_hash(io.BytesIO(head)) is None
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(LINE, max_size=25), st.booleans(), st.integers(1, 200), st.integers(1, 120), st.booleans())
 def test_any_cut_gives_the_same_records(lines, ends, step, chunk, blocks):

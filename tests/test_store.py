@@ -78,7 +78,10 @@ def test_two_writers_lose_nothing(spark, tmp_path):
 
 
 def same(a, b):
-    rows = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(a.columns)).collect()) for df in (a, b)]
+    rows = [
+        sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(a.columns)).collect()), key=repr)
+        for df in (a, b)
+    ]
     assert rows[0] == rows[1]
 
 
@@ -174,14 +177,60 @@ def test_names_lie_by_id(spark, tmp_path):
     assert f"EqualTo(description_id,{wanted})" in plan
 
 
-def test_names_with_one_id_are_refused(spark, tmp_path, monkeypatch):
-    same = lambda source, description: F.when(source.isNotNull(), F.lit(5).cast("bigint"))
-    store = open_store(spark, str(tmp_path / "s"))
+def test_names_that_share_an_id_get_their_own(spark, tmp_path, monkeypatch):
+    def same(source, description, attempt=0):
+        return F.when(source.isNotNull(), F.lit(5 + attempt).cast("bigint"))
+
+    store, config = open_store(spark, str(tmp_path / "s")), EngineConfig(import_days=0)
     data = write_logs(tmp_path / "d", {"lua_slow.log": slow_line(stamp(NOW - 500))})
     monkeypatch.setattr("perfweave.functions.keys.description_id", same)
-    import_logs(spark, data, store, NOW, EngineConfig(import_days=0))
-    assert [r.description_id for r in store.read("descriptions").collect()] == [5]
-    write_logs(tmp_path / "d", {"lua_slow_2.log": slow_line(stamp(NOW - 400)).replace("task", "other")})
-    with pytest.raises(ValueError, match="share the id 5"):
-        import_logs(spark, data, store, NOW, EngineConfig(import_days=0))
-    assert store.committed() == [1] and store.read("slow_events").count() == 1
+    import_logs(spark, data, store, NOW, config)
+    write_logs(tmp_path / "d", {"lua_slow_2.log": slow_line(stamp(NOW - 400), name="other")})
+    import_logs(spark, data, store, NOW, config)
+    # Both clash with the first name, then with the second, then with each other.
+    write_logs(tmp_path / "d", {
+        "lua_slow_3.log": slow_line(stamp(NOW - 300), name="third") + slow_line(stamp(NOW - 290), name="other"),
+        "lua.log": cpu_block(stamp(NOW - 200), name="fn") + cpu_block(stamp(NOW - 170), name="other"),
+    })
+    import_logs(spark, data, store, NOW, config)
+    ids = {r.description: r.description_id for r in store.read("descriptions").collect()}
+    assert ids == {"task": 5, "other": 6, "fn": 7, "third": 8}
+    # Known names keep their ids in later runs.
+    write_logs(tmp_path / "d", {"lua_slow_4.log": "".join(slow_line(stamp(NOW - 100), name=n) for n in ids)})
+    import_logs(spark, data, store, NOW, config)
+    assert {r.description: r.description_id for r in store.read("descriptions").collect()} == ids
+    events = store.read("slow_events").groupBy("description", "description_id").count().collect()
+    assert {(r.description, r.description_id): r["count"] for r in events} == {
+        ("task", 5): 2, ("other", 6): 3, ("third", 8): 2, ("fn", 7): 1,
+    }
+    stats = store.read("cpu_stats").select("description_id", "reported_at").collect()
+    assert {tuple(r) for r in stats} == {(7, NOW - 200), (6, NOW - 170)}
+    assert {r.description_id: r.event_count for r in store.read_rollup("slow_function_bucket_agg").groupBy(
+        "description_id").agg(F.sum("event_count").alias("event_count")).collect()} == {5: 2, 6: 3, 7: 1, 8: 2}
+
+
+def test_long_records_import_in_parts(spark, tmp_path, monkeypatch):
+    """A report and an untimed file, both far longer than what is read at once."""
+    lines = "".join(f"{i:10d}{i:10d}       50.00000%        0.50000% fn {i}\n  more of {i}\n" for i in range(1, 60))
+    header = cpu_block(stamp(NOW - 400)).split("\n")
+    report = "\n".join([header[0], "Thread: 3 Cpu usage: 41.5% Idle: 58.25% Other: 0.25% Players online: 12", header[1]]) + "\n" + lines + "\n"
+    data = write_logs(tmp_path / "d", {
+        "lua.log": cpu_block(stamp(NOW - 500)) + report + cpu_block(stamp(NOW - 300)),
+        "dispatcher.log": "no report here\n" * 200, "sql_slow.log": "x" * 3000 + "\n" + slow_line(stamp(NOW - 100)),
+    })
+    config = EngineConfig(import_days=0, range_bytes=1000)
+    whole, parts = open_store(spark, str(tmp_path / "whole")), open_store(spark, str(tmp_path / "parts"))
+    import_logs(spark, data, whole, NOW, config)
+    monkeypatch.setattr("perfweave.sources.ranges.MOST_RECORD_BYTES", 500)
+    monkeypatch.setattr("perfweave.sources.ranges.LOOK_AHEAD_BYTES", 128)
+    import_logs(spark, data, parts, NOW, config)
+    for table in ("cpu_reports", "cpu_stats", "slow_events", "descriptions"):
+        same(whole.read(table), parts.read(table))
+    assert whole.read("cpu_stats").count() == 61 and whole.read("cpu_reports").count() == 3
+    for name in rollups.all_rollups(*[whole.read(t) for t in ("cpu_reports", "cpu_stats", "slow_events")]):
+        same(whole.read_rollup(name).drop("event_date"), parts.read_rollup(name).drop("event_date"))
+    audits = [s.read("ingest_audit").filter("source <> 'sql'") for s in (whole, parts)]
+    same(*audits)
+    # A line without a stamp is rejected piece by piece, with all its text.
+    kept = parts.read("quarantine").filter("source = 'sql'").collect()
+    assert len(kept) == 6 and "".join(r.line for r in sorted(kept, key=lambda r: r.offset)).rstrip("\n") == "x" * 3000
