@@ -122,7 +122,7 @@ def parse_blocks(
 
 def identified(parsed: DataFrame) -> DataFrame:
     """Blocks with their report id; the parts of a long report have one."""
-    offset = F.coalesce("continues.offset", "offset") if "continues" in parsed.columns else F.col("offset")
+    offset = F.coalesce("report_offset", "offset") if "report_offset" in parsed.columns else F.col("offset")
     return parsed.withColumn(
         "report_id",
         keys.report_id(F.col("source"), F.col("reported_at"), F.col("file_key"), offset),
@@ -132,7 +132,7 @@ def identified(parsed: DataFrame) -> DataFrame:
 def block_reports(parsed: DataFrame) -> DataFrame:
     """The header row of every block that has statistics."""
     reports = identified(parsed).filter("n_stats > 0")
-    return reports.filter("continues IS NULL") if "continues" in parsed.columns else reports
+    return reports.filter("report_offset IS NULL") if "report_offset" in parsed.columns else reports
 
 
 def explode_stats(blocks: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def keep_slow_columns(parsed: DataFrame) -> DataFrame:
     rejected = ~F.col("status").isin("ok", "blank")
     return parsed.withColumn("bytes", F.octet_length("record").cast("bigint")).withColumn(
         "line", F.when(rejected, F.col("record").cast("string"))
-    ).drop("record", "range_start", "continues")
+    ).drop("record", "range_start", *CONTINUES)
 
 
 def keep_cpu_columns(parsed: DataFrame) -> DataFrame:
@@ -91,17 +91,16 @@ def keep_cpu_columns(parsed: DataFrame) -> DataFrame:
     before it does not count.
     """
     def head(size: str) -> Column:
-        return F.coalesce(F.col(f"continues.{size}"), F.lit(0).cast("bigint"))
+        return F.coalesce(F.col(size), F.lit(0).cast("bigint"))
 
-    if "continues" not in parsed.columns:
-        parsed = parsed.withColumn("continues", F.lit(None).cast(CONTINUES.removeprefix("continues ")))
+    parsed = parsed.withColumns({c: F.lit(None).cast("bigint") for c in CONTINUES if c not in parsed.columns})
     sized = parsed.withColumns({
         "bytes": F.octet_length("record").cast("bigint") - head("head_bytes"),
         "lines": F.col("lines") - head("head_lines"),
         "line": F.when(F.col("status") == "bad timestamp", F.col("record").cast("string")),
-        "is_part": F.col("continues").isNotNull(),
+        "is_part": F.col("report_offset").isNotNull(),
     })
-    return explode_stats(identified(sized.drop("record", "range_start", "severity")).drop("continues"))
+    return explode_stats(identified(sized.drop("record", "range_start", "severity")).drop(*CONTINUES))
 
 
 def parse_slow_files(plan: DataFrame, n_ranges: int, config: EngineConfig, hold_open: bool) -> DataFrame:

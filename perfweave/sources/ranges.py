@@ -44,12 +44,13 @@ MOST_RECORD_BYTES = 64 * 1024 * 1024
 # What must be known of the text behind a cut: a stamp or the figures of a statistic that lie across it.
 LOOK_AHEAD_BYTES = 4096
 
-CONTINUES = "continues STRUCT<offset: BIGINT, head_bytes: BIGINT, head_lines: BIGINT>"
+# Flat columns: a struct would have Catalyst move its fields below the parse, and evaluate that twice.
+CONTINUES = ("report_offset", "head_bytes", "head_lines")
+CONTINUES_SCHEMA = ", ".join(f"{c} BIGINT" for c in CONTINUES)
 RECORD_SCHEMA = (
     "file_key STRING, source STRING, severity STRING, range_start BIGINT, "
-    f"offset BIGINT, record BINARY, is_open BOOLEAN, {CONTINUES}"
+    f"offset BIGINT, record BINARY, is_open BOOLEAN, {CONTINUES_SCHEMA}"
 )
-_CONTINUES = pa.struct([("offset", pa.int64()), ("head_bytes", pa.int64()), ("head_lines", pa.int64())])
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -327,10 +328,9 @@ def seek_offset(f, size: int, cutoff: int, log_tz: str, step: int = PROBE_BYTES)
     return size
 
 
-def continues_column(continues: tuple | None, n: int) -> pa.Array:
-    """Column ``continues`` of n records read together."""
-    value = None if continues is None else dict(zip(("offset", "head_bytes", "head_lines"), continues))
-    return pa.array([value] * n, _CONTINUES)
+def continues_columns(continues: tuple | None, n: int) -> list[pa.Array]:
+    """The columns of ``CONTINUES`` of n records read together."""
+    return [pa.repeat(pa.scalar(v, pa.int64()), n) for v in continues or (None,) * len(CONTINUES)]
 
 
 def _plus(df: DataFrame, column: str) -> T.StructType:
@@ -425,7 +425,7 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
     Columns of ``RECORD_SCHEMA``; ``offset`` is the record's byte position in its file, and ``is_open``
     marks a record from the file's ``open_offset`` on (if the ranges have one), which may still grow. In
     block mode, text before the first timestamp of a file is a record of its own. Further parts of a report
-    longer than ``MOST_RECORD_BYTES`` carry its offset and the size of the head put before them in ``continues``.
+    longer than ``MOST_RECORD_BYTES`` carry its offset and the size of the head put before them (``CONTINUES``).
     """
     open_at = F.col("open_offset") if "open_offset" in ranges.columns else F.lit(None).cast("bigint")
     needed = ranges.select(
@@ -454,9 +454,9 @@ def read_records(ranges: DataFrame, blocks: bool, hold_open: bool = False) -> Da
                         yield pa.RecordBatch.from_arrays(
                             [
                                 *fixed, pa.array(offsets, pa.int64()), records,
-                                pa.array(offsets >= row["open_offset"]), continues_column(continues, n),
+                                pa.array(offsets >= row["open_offset"]), *continues_columns(continues, n),
                             ],
-                            names=["file_key", "source", "severity", "range_start", "offset", "record", "is_open", "continues"],
+                            names=["file_key", "source", "severity", "range_start", "offset", "record", "is_open", *CONTINUES],
                         )
 
     return needed.mapInArrow(run, RECORD_SCHEMA)

@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Bytes before a position that tell whether the file is still the one that was read.
 LAST_BYTES = 256
 
-TAIL_SCHEMA = f"file_key STRING, offset BIGINT, record BINARY, {ranges.CONTINUES}"
+TAIL_SCHEMA = f"file_key STRING, offset BIGINT, record BINARY, {ranges.CONTINUES_SCHEMA}"
 
 
 class _Range(InputPartition):
@@ -190,8 +190,8 @@ class _TailReader(DataSourceStreamReader):
             ):
                 names = pa.repeat(pa.scalar(part.name), len(records))
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(offsets, pa.int64()), records, ranges.continues_column(continues, len(records))],
-                    names=["file_key", "offset", "record", "continues"],
+                    [names, pa.array(offsets, pa.int64()), records, *ranges.continues_columns(continues, len(records))],
+                    names=["file_key", "offset", "record", *ranges.CONTINUES],
                 )
 
 
