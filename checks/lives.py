@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from perfweave.operators.dedup import SLOW_KEY, SLOW_STREAM, high_water
 from perfweave.plans import sample_views as views
 from perfweave.plans.ingest import import_logs
-from perfweave.plans.store import Store, open_store, scratch_dir
+from perfweave.plans.store import Store, delete, open_store, scratch_dir, stage
 from perfweave.schemas import ROLLUPS
 from perfweave.sources.catalog import list_logs, total_log_bytes
 from perfweave.streaming import rollups as s
@@ -57,18 +57,19 @@ def _half_written(text: DataFrame) -> DataFrame:
 def _growing(spark, sf_dir) -> Store:
     """Imported in mid-write, then when the files are complete."""
     d = scratch_dir(spark)
-    text = _slow_text(spark, sf_dir).unionByName(_cpu_text(spark, sf_dir))
+    text = stage(_slow_text(spark, sf_dir).unionByName(_cpu_text(spark, sf_dir)), f"{d}/text")
     store = open_store(spark, f"{d}/store")
     for rows in (_half_written(text), text):
         _write(rows, f"{d}/logs")
         import_logs(spark, f"{d}/logs", store, NOW, CONFIG)
+    delete(spark, f"{d}/text")
     return store
 
 
 def _overlapping(spark, sf_dir) -> str:
     """Three imports: a part of the logs; daily files that overlap it; rolling files rotated since."""
     d = scratch_dir(spark)
-    slow, reports = _slow_text(spark, sf_dir), _cpu_text(spark, sf_dir)
+    slow, reports = stage(_slow_text(spark, sf_dir), f"{d}/slow"), stage(_cpu_text(spark, sf_dir), f"{d}/reports")
     store, at = open_store(spark, f"{d}/store"), F.col("at")
     daily = slow.filter((at > CUT - 3 * DAY) & (at <= CUT + 8 * DAY)).withColumn(
         "file_name", F.replace("file_name", F.lit(".log"), F.lit("_2024-01-31.log"))
@@ -81,6 +82,8 @@ def _overlapping(spark, sf_dir) -> str:
     for rows in steps:
         _write(rows, f"{d}/logs")
         import_logs(spark, f"{d}/logs", store, NOW, CONFIG)
+    for made in ("slow", "reports"):
+        delete(spark, f"{d}/{made}")
     return store.root
 
 
@@ -138,7 +141,7 @@ def replaced_stats(spark, sf_dir):
 def _capped(spark, sf_dir) -> Store:
     """Tailed without a limit in mid-write, then in three steps when the files are complete."""
     d = scratch_dir(spark)
-    text = _slow_text(spark, sf_dir).unionByName(_cpu_text(spark, sf_dir))
+    text = stage(_slow_text(spark, sf_dir).unionByName(_cpu_text(spark, sf_dir)), f"{d}/text")
     store = open_store(spark, f"{d}/store")
 
     def tail(**more) -> None:
@@ -149,6 +152,7 @@ def _capped(spark, sf_dir) -> Store:
     _write(text, f"{d}/logs")
     size = total_log_bytes(list_logs(spark, f"{d}/logs", CONFIG)).first()["total_bytes"]
     tail(finalize=True, max_bytes=size // 4)
+    delete(spark, f"{d}/text")
     return store
 
 
