@@ -150,3 +150,20 @@ def test_paths_with_blanks_and_percent_signs(tmp_path):
         (tmp_path / name).write_bytes(b"abc")
         for path in (f"{tmp_path}/{name}", f"file://{tmp_path}/{name}", f"file:{tmp_path}/{name}"):
             assert ranges.open_log(path).read() == b"abc"
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_a_range_is_not_read_far_beyond(blocks):
+    data = (STAMPS[0] + b"\n" + b"x" * 80 + b"\n") * 20_000
+    f = Counted(data)
+    got = [records for _, records, _ in ranges.read_range(f, 0, 100_000, 0, blocks)]
+    assert data.startswith(b"".join(r.as_py() for rs in got for r in rs)) and f.taken <= 100_000 + 2 * ranges.PROBE_BYTES
