@@ -143,3 +143,19 @@ def test_header_metrics(spark):
 def test_odd_numbers(spark):
     text = f"{HEAD}\n{HDR}  99999999999999999999 1 1.2.3% ..% a\n"
     assert stats(spark, text) == [(9223372036854775807, 1, 1.2, 0.0, "a")]
+
+
+def test_statistics_are_split_by_patterns_compiled_once(spark, capsys):
+    """``split`` compiles a pattern of more than one character for every row."""
+    rows = block_stats(identified(block(spark, f"{HEAD}\n{META}{HDR}{row(1, 'a  b')}")))
+    rows.explain("formatted")
+    plan = capsys.readouterr().out
+    # Only a header that shares its line with other text is split by its own pattern.
+    assert plan.count("split(regexp_replace(") >= 3 and "split(_body" not in plan and "split(ltrim(" not in plan
+    assert [r.description for r in rows.collect()] == ["a  b"]
+
+
+def test_bytes_beyond_ascii_in_statistics(spark):
+    text = f"{HEAD}\n{META}{HDR}".encode() + b" 1\t2 3.5%  4.5%\x0b \xc4\x80 \x00n\xb6 5%\n" + row(2, "b").encode()
+    found = block_stats(identified(block(spark, text))).orderBy("stat_no").select("rel_usage", "real_usage", F.hex("description").alias("d"))
+    assert [tuple(r) for r in found.collect()][0] == (3.5, 4.5, b"\xc4\x80 \x00n\xb6 5%".hex().upper())
