@@ -9,8 +9,10 @@ small without leaving anything out.
 
 A text's evidence is its likelihood ratio normalised by length: the power mean of order ``POWER`` of the
 ratios of its words, in logarithms, so a few words that are much likelier in toxic text are not drowned
-by many that say little. A logistic curve, fitted on labelled rows that the models have not seen, turns it
-into a score.
+by many that say little. There is one of the whole models and one of their lower level, words without the
+word before. A rare pair that one class has a few times more often, as copied passages do, has a ratio as
+high as an expression that tells the classes apart, and only texts that the models have not seen show which
+it is: a logistic curve, fitted on such labelled rows, weighs both and turns them into a score.
 """
 
 from __future__ import annotations
@@ -80,19 +82,24 @@ class Model:
     # Hashes of neighbouring words (``pair_hash``), sorted, and their discounted counts.
     pair: np.ndarray
     pair_count: np.ndarray
-    curve: tuple[float, float] = (2.0, -2.0)
+    # Weights of the evidence of the whole models and of words alone, and the curve's constant.
+    curve: tuple[float, float, float] = (2.0, 0.0, -2.0)
     places: _Places | None = None
 
     def ratios(self, text: str | None) -> np.ndarray:
-        """Log-likelihood ratio of every word; 0 for one that the models know from below only."""
+        """Log-likelihood ratios of every word, behind the word before it (row 0) and alone (row 1).
+
+        They are 0 for a word that the models know from below only.
+        """
         tokens = words(text)
         if not tokens or not len(self.word):
-            return np.zeros(len(tokens))
+            return np.zeros((2, len(tokens)))
         if self.places is None:
             self.places = _Places(self.word)
         at = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
         known = at >= 0
-        p = self.p_word[at]
+        alone = self.p_word[at]
+        p = alone.copy()
         both = np.flatnonzero(known[1:] & known[:-1])
         both = both[self.weight[at[both]].any(1)]
         if len(both):
@@ -102,21 +109,26 @@ class Model:
             count = np.where((self.pair[k] == key)[:, None], self.pair_count[k], 0)
             w = self.weight[before]
             p[both + 1] = w * count / self.follow[before] + (1 - w) * p[both + 1]
-        ratio = np.zeros(len(at))
-        ratio[known] = np.log(p[known, 0]) - np.log(p[known, 1])
+        ratio = np.zeros((2, len(at)))
+        for row, q in zip(ratio, (p[known], alone[known]), strict=True):
+            row[known] = np.log(q[:, 0]) - np.log(q[:, 1])
         return ratio
 
-    def evidence(self, text: str | None) -> float:
-        """Logarithm of the power mean of the words' likelihood ratios; 0 without words."""
+    def evidences(self, text: str | None) -> np.ndarray:
+        """Logarithms of the power means of the words' likelihood ratios, as in ``ratios``; 0 without words."""
         ratio = POWER * self.ratios(text)
-        if not len(ratio):
-            return 0.0
-        top = ratio.max()
-        return float(top + np.log(np.exp(ratio - top).mean())) / POWER
+        if not ratio.shape[1]:
+            return np.zeros(2)
+        top = ratio.max(1)
+        return (top + np.log(np.exp(ratio - top[:, None]).mean(1))) / POWER
+
+    def evidence(self, text: str | None) -> float:
+        """That of the whole models."""
+        return float(self.evidences(text)[0])
 
     def score(self, text: str | None) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * self.evidence(text) + b, -30, 30))))
+        *weights, constant = self.curve
+        return float(1 / (1 + np.exp(-np.clip(self.evidences(text) @ weights + constant, -30, 30))))
 
 
 def fold(doc_id: Column) -> Column:
@@ -222,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     after = _collected(follow.select("before", "n0", "n1", "top0", "top1"), lambda rows: rows, 5)
     seen = _collected(kept.select("before", "word", "top0", "top1"), lambda rows: np.stack([pair_hash(rows[:, 0], rows[:, 1]), rows[:, 2], rows[:, 3]], 1), 3)
     if len(whole) < 2:
-        return Model(*[np.zeros(0)] * 6, curve=(0.0, -2.0))
+        return Model(*[np.zeros(0)] * 6, curve=(0.0, 0.0, -2.0))
     known, seen = known[np.argsort(known[:, 0])], seen[np.argsort(seen[:, 0])]
     word = np.ascontiguousarray(known[:, 0])
     shared = (known[:, 3] + 0.5) / (sums["docs"] + 0.5 * (sums["words"] + 1))
@@ -238,28 +250,45 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     return model
 
 
-def _fit_curve(sample: DataFrame, model: Model) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of ``x`` and the constant, by Newton's method."""
+    x = np.column_stack([x, np.ones(len(y))])
+    scale = np.maximum(np.abs(x).max(0), 1e-9)
+    x, w = x / scale, np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(
+            (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([1e-3] * len(w)), x.T @ (p - y) + 1e-3 * w
+        )
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w / scale
+
+
+def _fit_curve(sample: DataFrame, model: Model) -> tuple[float, float, float]:
+    """Logistic regression on both evidences; one that would count against toxicity is left out."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "a": [shared.value.evidence(t) for t in batch["text"]]})
+            seen = np.array([shared.value.evidences(t) for t in batch["text"]]).reshape(-1, 2)
+            yield pd.DataFrame({"toxic": batch["toxic"].to_numpy(), "pairs": seen[:, 0], "words": seen[:, 1]})
 
-    seen = sample.mapInPandas(measure, "toxic int, a double").toPandas()
+    seen = sample.mapInPandas(measure, "toxic int, pairs double, words double").toPandas()
     shared.unpersist()
     y = seen["toxic"].to_numpy(float)
     if len(y) < 8 or y.min() == y.max():
         return model.curve
-    x = np.stack([seen["a"], np.ones(len(y))], 1)
-    scale = np.maximum(np.abs(x).max(0), 1e-9)
-    x, w = x / scale, np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([1e-3] * 2), x.T @ (p - y) + 1e-3 * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return tuple((w / scale).tolist())
+    x = seen[["pairs", "words"]].to_numpy()
+    used = np.array([True, True])
+    weights = _logistic(x, y)
+    while (weights[:-1] < 0).any() and used.sum() > 1:
+        used[np.flatnonzero(used)[weights[:-1].argmin()]] = False
+        weights = _logistic(x[:, used], y)
+    curve = np.zeros(3)
+    curve[[*np.flatnonzero(used), 2]] = weights
+    return tuple(curve.tolist())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
