@@ -49,14 +49,16 @@ def parse_slow(lines: DataFrame, line_col: str = "line", log_tz: str = "UTC") ->
         .otherwise("ok")
     )
     ok = F.col("status") == "ok"
-    return cut.withColumn("status", status).select(
-        *lines.columns,
+    found = (
         "status",
         F.when(ok, F.col("_at")).alias("occurred_at"),
         F.when(ok, leading_int(F.substring(rest, F.lit(len(_LEAD) + 1), ms_at - len(_LEAD) - 1))).alias("execution_ms"),
         F.when(ok, chars_to_bytes(F.when(fuller, told).otherwise(named))).alias("description"),
         F.when(ok, chars_to_bytes(told)).alias("detail"),
     )
+    # A row of one generated row: a filter on the status is not moved below the generator, where it would
+    # compute the fields anew for each time it names one.
+    return cut.withColumn("status", status).select(*lines.columns, F.inline_outer(F.array(F.struct(*found))))
 
 
 def slow_rows(parsed: DataFrame) -> DataFrame:
