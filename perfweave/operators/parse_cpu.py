@@ -30,14 +30,13 @@ _META = (
     rf"{_WS}+Other:{_WS}*{_NUM}%{_WS}+Players online:{_WS}*(\d+)"
 )
 _SCI_NUM = r"([\d.+\-eE]+)"
-_STAT_LINE = rf"\n{_WS}+\d+{_WS}+\d+{_WS}+[\d.]+%{_WS}+[\d.]+%{_WS}"
-_STAT_HEAD = rf"\n(?={_STAT_LINE[2:]})"
-_NAMED_STAT = rf"{_STAT_LINE}+[^ \t\x0B\f\r\n]"
-# The figures a statistic begins with, and the blanks behind them.
-_FIGURES = rf"^{_WS}*(\d+){_WS}+(\d+){_WS}+([\d.]+)%{_WS}+([\d.]+)%{_WS}+"
+# A statistics row up to its name. No part can begin where the one before it goes on, so none is tried again shorter.
+_STATISTIC = rf"\n{_WS}++(\d++){_WS}++(\d++){_WS}++([\d.]++)%{_WS}++([\d.]++)%{_WS}++"
 _HEADER = "Time (ms)"
-# No character of the text, all of which are bytes.
+# No characters of the text, all of which are bytes: before a statistic, and behind each of its figures.
 _CUT = "\u0100"
+_FIELD = "\u0101"
+_NAMELESS = rf"{_FIELD}(?=[\n{_CUT}]|\z)"
 _MAX_LONG = 9223372036854775807
 
 
@@ -46,18 +45,22 @@ def _digits(s: Column) -> Column:
     return F.coalesce(s.try_cast("bigint"), F.lit(_MAX_LONG))
 
 
-def _split(s: Column, pattern: str, groups: int = 0, limit: int = -1) -> Column:
-    """``s`` split where ``pattern`` matches, or also between its ``groups`` if it has any.
+def _split(s: Column, pattern: str, groups: int) -> Column:
+    """``s`` split where ``pattern`` matches and between its ``groups``.
 
     The pattern is compiled once and not for every row, as ``split`` does it.
     """
-    between = "".join(f"${i}{_CUT}" for i in range(1, groups + 1)) or _CUT
-    return F.split(F.regexp_replace(s, pattern, between), _CUT, limit)
+    return F.split(F.regexp_replace(s, pattern, "".join(f"${i}{_CUT}" for i in range(1, groups + 1))), _CUT)
+
+
+def _nameless(marked: Column) -> Column:
+    """Whether a text has a statistic without a name."""
+    return marked.endswith(_FIELD) | marked.contains(f"{_FIELD}\n") | marked.contains(f"{_FIELD}{_CUT}")
 
 
 def _number(s: Column) -> Column:
-    """Plain number, or else the number the string begins with."""
-    return F.coalesce(F.when(~(s.contains("e") | s.contains("E")), s.try_cast("double")), leading_float(s))
+    """Plain number, or else the number the string begins with. Only ``sci_notation`` lets an exponent get here."""
+    return F.coalesce(s.try_cast("double"), leading_float(s))
 
 
 def parse_blocks(
@@ -66,8 +69,9 @@ def parse_blocks(
     """Adds status, lines, reported_at, the header metrics, n_stats and ``stat_texts`` to raw blocks.
 
     ``status``: ``ok`` (has statistics), ``empty`` (none), ``prelude`` (text before the first
-    report of a file) or ``bad timestamp``. ``stat_texts`` has one text per statistic, in order:
-    its line and the lines that continue its description.
+    report of a file) or ``bad timestamp``. ``stat_texts`` has what precedes the first statistic, then one text
+    per statistic, in order: its four figures, with a mark behind each, and its description with the lines that
+    continue it. One pass over the body finds all statistics and takes them apart.
     ``sci_notation`` accepts header numbers such as 3.7e-05, which otherwise leave all five
     header metrics NULL.
     """
@@ -81,7 +85,10 @@ def parse_blocks(
     first_line = F.substring_index(text, "\n", 1)
     is_block = first_line.rlike(r"^\[\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}\]")
     stamp = F.substring(F.substring_index(first_line, "]", 1), 2, 32)
-    number = _number if not sci_notation else (lambda s: F.coalesce(s.try_cast("double"), leading_float(s)))
+
+    marked = F.regexp_replace(body, _STATISTIC, _CUT + "".join(f"${i}{_FIELD}" for i in range(1, 5)))
+    texts = F.split(marked, _CUT)
+    n_nameless = F.when(_nameless(marked), F.regexp_count(marked, F.lit(_NAMELESS))).otherwise(0)
 
     def metric(i: int) -> Column:
         return F.get("_figures", F.lit(i - 1))
@@ -110,10 +117,14 @@ def parse_blocks(
         # The last header metrics line before the column header counts.
         .withColumn("_meta", F.when(pre.contains("Thread:"), F.regexp_extract(pre, rf"(?s)^.*\n({meta})", 1)))
         .withColumn("_figures", F.when(found != "", _split(found, meta, 5)))
-        .withColumn("n_stats", F.coalesce(F.regexp_count(body, F.lit(_NAMED_STAT)), F.lit(0)).cast("bigint"))
+        # Both in one projection, which computes what they have in common once.
+        .withColumns({
+            "_texts": texts,
+            "n_stats": F.coalesce(F.array_size(texts) - 1 - n_nameless, F.lit(0)).cast("bigint"),
+        })
     )
     has_meta = found != ""
-    line_feeds = F.length(raw) - F.length(F.replace(raw, F.lit("\n")))
+    line_feeds = F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit("\n")))
     return cut.select(
         *blocks.columns,
         F.when(~F.col("_is_block"), "prelude")
@@ -124,12 +135,12 @@ def parse_blocks(
         (line_feeds + F.when(raw.endswith("\n"), 0).otherwise(1)).cast("bigint").alias("lines"),
         "reported_at",
         F.when(has_meta, _digits(metric(1))).alias("thread_id"),
-        F.when(has_meta, number(metric(2))).alias("cpu_usage"),
-        F.when(has_meta, number(metric(3))).alias("idle"),
-        F.when(has_meta, number(metric(4))).alias("other"),
+        F.when(has_meta, _number(metric(2))).alias("cpu_usage"),
+        F.when(has_meta, _number(metric(3))).alias("idle"),
+        F.when(has_meta, _number(metric(4))).alias("other"),
         F.when(has_meta, _digits(metric(5))).alias("players_online"),
         "n_stats",
-        F.when(F.col("n_stats") > 0, _split(body, _STAT_HEAD)).alias("stat_texts"),
+        F.when(F.col("n_stats") > 0, F.col("_texts")).alias("stat_texts"),
     )
 
 
@@ -155,7 +166,7 @@ def explode_stats(blocks: DataFrame) -> DataFrame:
     ``stat_texts`` is replaced by stat_no, description, time_ms, calls, rel_usage, real_usage.
     """
     keep = [c for c in blocks.columns if c != "stat_texts"]
-    is_stat, name = F.col("stat_no") > 0, F.get("_token", F.lit(4))
+    is_stat = F.col("stat_no") > 0
 
     def token(i: int) -> Column:
         return F.get("_token", F.lit(i))
@@ -166,12 +177,13 @@ def explode_stats(blocks: DataFrame) -> DataFrame:
         # the array before exploding it, and so evaluate the whole parse twice.
         blocks.select(*keep, F.posexplode_outer("stat_texts").alias("_no", "_text"))
         .withColumn("stat_no", F.coalesce("_no", F.lit(0)))
-        .withColumn("_token", F.when(is_stat, _split(F.col("_text"), _FIGURES, 4, 5)))
-        .filter(~is_stat | ((name != "") & ~name.startswith("\n")))
+        # On the text, as Catalyst would take it apart anew for each field that a filter names.
+        .filter(~is_stat | ~_nameless(F.col("_text")))
+        .withColumn("_token", F.when(is_stat, F.split("_text", _FIELD, 5)))
         .select(
             *keep,
             "stat_no",
-            chars_to_bytes(trim_text(name)).alias("description"),
+            chars_to_bytes(trim_text(token(4))).alias("description"),
             F.when(is_stat, _digits(token(0))).alias("time_ms"),
             F.when(is_stat, _digits(token(1))).alias("calls"),
             F.when(is_stat, _number(token(2))).alias("rel_usage"),
