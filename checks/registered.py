@@ -424,7 +424,8 @@ def import_cpu_stats(spark, sf_dir):
     store = _imported(spark, sf_dir)
     names = store.read("descriptions").select("description_id", "description")
     reports = store.read("cpu_reports").select("report_id", "cpu_usage")
-    return rounded(store.read("cpu_stats").join(names, "description_id").join(reports, "report_id").select(
+    # Names come last: rows are shuffled without them.
+    return rounded(store.read("cpu_stats").join(reports, "report_id").join(names, "description_id").select(
         "source", "reported_at", "description", "time_ms", "calls", "rel_usage", "real_usage", "cpu_usage", "players_online"
     ))
 

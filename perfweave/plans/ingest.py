@@ -26,7 +26,7 @@ from perfweave.operators.filters import keep_dedup_horizon, keep_import_window
 from perfweave.operators.parse_cpu import explode_stats, identified, parse_blocks, stats_only
 from perfweave.operators.parse_slow import parse_slow
 from perfweave.operators.resume import READING, ingest_audit, resume_plan
-from perfweave.plans.store import FACTS, Store, delete, run_together, stage
+from perfweave.plans.store import FACTS, Store, delete, run_together, shuffles_removed, stage
 from perfweave.schemas import PARTIALS
 from perfweave.sources.catalog import list_logs
 from perfweave.sources.ranges import (
@@ -138,7 +138,8 @@ def import_logs(
     """
     scratch = store.scratch()
     try:
-        return _import(spark, data_dir, store, now, config, finalize, scratch)
+        with shuffles_removed(spark):
+            return _import(spark, data_dir, store, now, config, finalize, scratch)
     finally:
         delete(spark, scratch)
 
