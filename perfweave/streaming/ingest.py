@@ -13,7 +13,7 @@ from perfweave.config import DEFAULT_CONFIG, EngineConfig
 from perfweave.operators.parse_cpu import parse_blocks
 from perfweave.operators.parse_slow import parse_slow
 from perfweave.plans.ingest import keep_cpu_columns, keep_slow_columns, load_rows
-from perfweave.plans.store import Store, delete, run_together, stage
+from perfweave.plans.store import Store, delete, run_together, shuffles_removed, stage
 from perfweave.sources.tail import planned_position, tail_logs
 
 
@@ -26,24 +26,32 @@ def store_batch(
         return
     scratch = store.scratch()
     try:
-        raw = stage(records, f"{scratch}/raw")
-        if raw.isEmpty():
-            return
-
-        def of(kind: str) -> DataFrame:
-            return raw.filter(kind).drop("type", "is_rolling")
-
-        slow, cpu = run_together([
-            lambda: stage(keep_slow_columns(parse_slow(of("type <> 'cpu'"), "record", config.log_tz)), f"{scratch}/slow"),
-            lambda: stage(keep_cpu_columns(parse_blocks(of("type = 'cpu'"), "record", config.log_tz)), f"{scratch}/cpu"),
-        ])
-        files = raw.select("file_key", "source").distinct().withColumn("action", F.lit("stream"))
-        # Positions live in the stream's checkpoint, so the batch import's state has nothing to add.
-        load_rows(store, slow, cpu, files, None, scratch, now, config, [mark])
+        # A batch belongs to a session of the stream's own.
+        with shuffles_removed(store.spark), shuffles_removed(records.sparkSession):
+            _store(records, store, scratch, mark, now, config)
     finally:
         delete(store.spark, scratch)
 
 
+def _store(records: DataFrame, store: Store, scratch: str, mark: str, now: int, config: EngineConfig) -> None:
+    raw = stage(records, f"{scratch}/raw")
+    if raw.isEmpty():
+        return
+
+    def of(kind: str) -> DataFrame:
+        return raw.filter(kind).drop("type", "is_rolling")
+
+    slow, cpu = run_together([
+        lambda: stage(keep_slow_columns(parse_slow(of("type <> 'cpu'"), "record", config.log_tz)), f"{scratch}/slow"),
+        lambda: stage(keep_cpu_columns(parse_blocks(of("type = 'cpu'"), "record", config.log_tz)), f"{scratch}/cpu"),
+    ])
+    files = stage(raw.select("file_key", "source").distinct(), f"{scratch}/files")
+    # The text has been parsed; what is stored comes from the rows.
+    delete(store.spark, f"{scratch}/raw")
+    # Positions live in the stream's checkpoint, so the batch import's state has nothing to add.
+    load_rows(store, slow, cpu, files.withColumn("action", F.lit("stream")), None, scratch, now, config, [mark])
+
+
 def tail_into_store(
     spark: SparkSession,
     data_dir: str,
