@@ -59,10 +59,12 @@ def _growing(spark, sf_dir) -> Store:
     d = scratch_dir(spark)
     text = stage(_slow_text(spark, sf_dir).unionByName(_cpu_text(spark, sf_dir)), f"{d}/text")
     store = open_store(spark, f"{d}/store")
-    for rows in (_half_written(text), text):
-        _write(rows, f"{d}/logs")
-        import_logs(spark, f"{d}/logs", store, NOW, CONFIG)
+    _write(_half_written(text), f"{d}/logs")
+    import_logs(spark, f"{d}/logs", store, NOW, CONFIG)
+    _write(text, f"{d}/logs")
     delete(spark, f"{d}/text")
+    import_logs(spark, f"{d}/logs", store, NOW, CONFIG)
+    delete(spark, f"{d}/logs")
     return store
 
 
@@ -82,7 +84,7 @@ def _overlapping(spark, sf_dir) -> str:
     for rows in steps:
         _write(rows, f"{d}/logs")
         import_logs(spark, f"{d}/logs", store, NOW, CONFIG)
-    for made in ("slow", "reports"):
+    for made in ("slow", "reports", "logs"):
         delete(spark, f"{d}/{made}")
     return store.root
 
@@ -94,7 +96,8 @@ def _slow_rows(store: Store) -> DataFrame:
 def _stat_rows(store: Store) -> DataFrame:
     names = store.read("descriptions").select("description_id", "description")
     reports = store.read("cpu_reports").select("report_id", "cpu_usage")
-    rows = store.read("cpu_stats").join(names, "description_id").join(reports, "report_id").select(
+    # Names come last: rows are shuffled without them.
+    rows = store.read("cpu_stats").join(reports, "report_id").join(names, "description_id").select(
         "source", "reported_at", "description", "time_ms", "calls", "rel_usage", "real_usage", "cpu_usage", "players_online"
     )
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
@@ -150,9 +153,10 @@ def _capped(spark, sf_dir) -> Store:
     _write(_half_written(text), f"{d}/logs")
     tail()
     _write(text, f"{d}/logs")
+    delete(spark, f"{d}/text")
     size = total_log_bytes(list_logs(spark, f"{d}/logs", CONFIG)).first()["total_bytes"]
     tail(finalize=True, max_bytes=size // 4)
-    delete(spark, f"{d}/text")
+    delete(spark, f"{d}/logs")
     return store
 
 
