@@ -43,7 +43,7 @@ _RUN_TABLES = {
     "cpu_reports": schemas.CPU_REPORTS,
     "cpu_stats": schemas.CPU_STATS,
     "slow_events": schemas.SLOW_EVENTS,
-    "import_files": schemas.IMPORT_FILES,
+    "import_files": schemas.STORED_FILES,
     "ingest_audit": schemas.INGEST_AUDIT,
     "quarantine": schemas.QUARANTINE,
     **schemas.PARTIALS,

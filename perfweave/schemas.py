@@ -59,9 +59,12 @@ SLOW_FUNCTION_AGG = _schema(
 
 IMPORT_FILES = _schema(
     "file_key STRING, path STRING, file_size BIGINT, file_mtime BIGINT, byte_offset BIGINT, "
-    "max_occurred_at BIGINT, first_line STRING, updated_at BIGINT, open_offset BIGINT"
+    "max_occurred_at BIGINT, first_line STRING, updated_at BIGINT"
 )
 
+# As stored: besides, where the record begins that was open at the file's end.
+STORED_FILES = T.StructType([*IMPORT_FILES.fields, T.StructField("open_offset", T.LongType())])
+
 HIGH_WATER = _schema("source STRING, severity STRING, max_ts BIGINT")
 
 INGEST_AUDIT = _schema(
